@@ -1,11 +1,14 @@
 """The registered queries of this package, one per operator, and their DuckDB twins."""
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op7_token_files": tokens.op7_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
