@@ -1,6 +1,6 @@
 """The registered queries of this package, one per operator, and their DuckDB twins."""
 
-from . import exact_dedup, mixing, near_dedup, packing, tokens, url_filter
+from . import embedding_dedup, exact_dedup, mixing, near_dedup, packing, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_token_files": tokens.op7_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
