@@ -1,10 +1,12 @@
 """The registered queries of this package, one per operator, and their DuckDB twins."""
 
-from . import embedding_dedup, exact_dedup, mixing, near_dedup, packing, tokens, url_filter
+from . import embedding_dedup, exact_dedup, language, mixing, near_dedup, packing, quality, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_quality": quality.op3_quality,
+    "op4_language": language.op4_language,
     "op5_mixing": mixing.op5_mixing,
     "op7_token_files": tokens.op7_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
