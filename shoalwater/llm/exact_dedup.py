@@ -138,8 +138,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     owners = max(OWNERS, -(-prints.count() // 1_000_000))
     found = pin(prints.join(suspects(prints, owners), ["part", "pos"], "left_semi"), "suspects")
 
-    # byte verification: the suspects' normalised texts, grouped by their bytes
-    ids = found.select(F.col("doc_id").alias("_id")).distinct()
+    # byte verification: the suspects' normalised texts, grouped by their bytes. The ids grow with
+    # the corpus, so they are never broadcast, however few a small input has
+    ids = found.select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     texts = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_id"]), "left_semi").select(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, "").cast("binary").alias("t"))
     bytes_ = texts.groupBy(F.sha2("t", 256).alias("text_sha256"), "t").agg(F.count("*").alias("n"))
     checked = bytes_.groupBy("text_sha256").agg(F.count("*").alias("n_texts"))
@@ -147,7 +148,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     stays = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("doc"), (-F.col("part")).alias("part"), (-F.col("pos")).alias("pos")))
     groups = found.groupBy("text_sha256").agg(F.count("*").alias("group_size"), stays.alias("s")).join(checked, "text_sha256")
     groups = groups.select("text_sha256", "group_size", (-F.col("s.doc")).alias("keep"), (-F.col("s.part")).alias("keep_part"), (-F.col("s.pos")).alias("keep_pos"), F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts have one sha256"))).alias("broken"))
-    out = prints.join(groups, "text_sha256", "left")
+    # pinned: both sides of the join are then plain exchanges, and a hot group's rows can be split
+    out = prints.join(pin(groups, "groups"), "text_sha256", "left")
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
