@@ -1,6 +1,6 @@
 """The registered queries of this package, one per operator, and their DuckDB twins."""
 
-from . import embedding_dedup, exact_dedup, language, mixing, near_dedup, packing, quality, tokens, url_filter
+from . import embedding_dedup, exact_dedup, html_extract, language, mixing, near_dedup, packing, quality, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_language": language.op4_language,
     "op5_mixing": mixing.op5_mixing,
+    "op6_html_text": html_extract.op6_html_text,
     "op7_token_files": tokens.op7_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
