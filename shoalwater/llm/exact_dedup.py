@@ -160,6 +160,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def keepers(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are found again by doc_id; where an id occurs more than once, by id and text.
+    """
+    found = pin(dedup(docs), "dedup")
+    many = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    once = kept.join(many, kept["_id"].eqNullSafe(many["_id"]), "left_anti").hint("merge")
+    single = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(once["_id"]), "left_semi")
+    if many.isEmpty():
+        return single
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "").cast("binary"), 256)
+    again = docs.join(many, docs["doc_id"].cast("long").eqNullSafe(many["_id"]), "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"])
+    again = again.join(kept.withColumnRenamed("_sha", "_kept"), again["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.col("_sha") == F.col("_kept")), "left_semi")
+    return single.unionByName(again.drop("_sha"))
+
+
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 

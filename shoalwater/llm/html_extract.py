@@ -263,6 +263,8 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator) -> tuple[
     after = [f() for f, p in ((comments, 0.4), (side, 0.5), (advert, 0.2), (form, 0.2), (foot, 0.8), (notice, 0.2)) if rng.random() < p]
     if rng.random() < 0.3:
         body = wrap("div", body + side())
+    if rng.random() < 0.1:  # a bare fragment
+        return pick("", "<body>") + "".join(f"<p>{esc(t)}</p>" if k or rng.random() < 0.5 else esc(t) for k, (_, t) in enumerate(blocks)), [t for _, t in blocks]
     return "<html><body>" + "".join(before) + body + "".join(after) + "</body></html>", [t for _, t in blocks]
 
 

@@ -212,6 +212,13 @@ def predict(docs: DataFrame, model: Unigrams, *keep: str) -> DataFrame:
     return lean.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def keepers(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of ``docs`` whose language could be told, all columns; a null lang is filled with it."""
+    own = docs.columns
+    told = predict(docs, fit(docs, path), *[c for c in own if c != "doc_id"])
+    return told.where(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*own)
+
+
 def op4_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs, model_path())).select("doc_id", "held_out", "lang_pred", "score")

@@ -196,5 +196,11 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; rows of one doc_id stay or go together."""
+    gone = groups(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+
+
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
