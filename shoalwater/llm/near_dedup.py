@@ -32,8 +32,10 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: How far under the least similarity an estimate may be: about 5.5 standard deviations.
 MARGIN = 0.15
+#: Bits of the whole set's parity bitmap.
+PARITY_BITS = 1024
 #: Buckets of up to so many classes compare all pairs of different components at once.
-SMALL = 64
+SMALL = 512
 
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -69,8 +71,14 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return sets
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For non-empty sets: class hash (n, 2), band keys (n, BANDS), odd sketches (n, words of 64 bits)."""
+def _parities(rows: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bitmaps, as rows of 64-bit words, of the positions that occur an odd number of times."""
+    odd = (np.bincount(rows * bits + at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For non-empty sets: class hash (n, 2), band keys (n, BANDS), odd sketches of the samples and parity bitmaps of the sets (words of 64 bits)."""
     every, first = np.concatenate(sets), np.cumsum([0, *[len(s) for s in sets[:-1]]])
     ident = np.stack([np.add.reduceat(mix(every), first), np.add.reduceat(mix(every ^ _STEP), first)], axis=1)
     low = (every >> np.uint64(32)).astype(np.uint32)
@@ -81,9 +89,11 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     keys = np.zeros((len(sets), BANDS), np.uint64) + _TAG[SAMPLES : SAMPLES + BANDS]
     for j in range(ROWS):
         keys = mix(keys * _STEP + wide[:, j::ROWS])
-    at = (mix(wide ^ _TAG[:SAMPLES]) % np.uint64(SKETCH_BITS)).astype(np.int64) + np.arange(len(sets))[:, None] * SKETCH_BITS
-    odd = (np.bincount(at.ravel(), minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8)
-    return ident.view(np.int64), keys.view(np.int64), np.packbits(odd.reshape(len(sets), SKETCH_BITS), axis=1).view(np.int64)
+    at = (mix(wide ^ _TAG[:SAMPLES]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    n = len(sets)
+    sketch = _parities(np.repeat(np.arange(n), SAMPLES), at.ravel(), n, SKETCH_BITS)
+    parity = _parities(np.repeat(np.arange(n), [len(s) for s in sets]), (every % np.uint64(PARITY_BITS)).astype(np.int64), n, PARITY_BITS)
+    return ident.view(np.int64), keys.view(np.int64), sketch, parity
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -92,7 +102,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (the set's class), bands, sketch; nulls where the set is empty."""
+    """doc_id, n_shingles, c1, c2 (the set's class), bands, sketch, parity; nulls where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,15 +113,15 @@ def signed(docs: DataFrame) -> DataFrame:
                 some = np.flatnonzero(sizes)
                 ids = b.column(0).slice(a, z - a)
                 if len(some):
-                    ident, keys, sketch = signatures([sets[i] for i in some])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(sizes[some]), pa.array(ident[:, 0].copy()), pa.array(ident[:, 1].copy()), _lists(keys), _lists(sketch)], names=names)
+                    ident, keys, sketch, parity = signatures([sets[i] for i in some])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(sizes[some]), pa.array(ident[:, 0].copy()), pa.array(ident[:, 1].copy()), _lists(keys), _lists(sketch), _lists(parity)], names=names)
                 if len(some) < len(sets):
                     none = np.flatnonzero(sizes == 0)
                     n = len(none)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(none)), pa.array(sizes[none]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(none)), pa.array(sizes[none]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.list_(pa.int64()))] * 3], names=names)
 
-    names = ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"]
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>")
+    names = ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "parity"]
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -137,16 +147,27 @@ def largest_distance(similarity: float) -> int:
     return math.floor(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _distance(a: str, b: str, bits: int) -> Column:
+    """Differing bits of two bitmaps; written out word by word, so that it is compiled."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)), F.lit(0))
+
+
+def _possible(x: str, y: str, percent: int) -> Column:
+    """May two classes (structs n, sketch, parity) be a link? By set sizes, sketch and parity bitmap.
+
+    Sets of a and b shingles that differ in d have similarity (a + b - d) / (a + b + d); no
+    more bits of the bitmaps differ than shingles do.
+    """
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    bound = _distance(f"{x}.parity", f"{y}.parity", PARITY_BITS) * (100 + percent) <= (a + b) * (100 - percent)
+    return sizes & bound & (_distance(f"{x}.sketch", f"{y}.sketch", SKETCH_BITS) <= largest_distance(percent / 100 - MARGIN))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are links: first by sketch and set sizes, then on full sets."""
-    small = classes.select("id", "n", "sketch")
-    side = lambda c: small.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(_distance("sa", "sb") <= largest_distance(percent / 100 - MARGIN))
+    """Those of the pairs (a, b) that are links: first by their marks, then on full sets."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.struct("n", "sketch", "parity").alias(f"m{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("ma", "mb", percent))
     near = pin(near.select("a", "b").distinct(), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = pin(full_sets(docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")), "sets")
@@ -165,7 +186,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     marks = pin(signed(docs), "signatures")
     known = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = pin(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = pin(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "classes")
 
     buckets = classes.select(F.explode("bands").alias("key"), "id")
     shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
@@ -173,16 +194,18 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = rows.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = pin(_confirmed(pairs, classes, docs, percent), "links")
     found = pin(components(links), "components")
-    rows, hubs_each = rows.select("key", "id"), 8
+    rows, hubs_each = rows.select("key", "id"), 32
     while True:
         where = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
         rows = pin(where.join(mixed, "key"), "buckets")
         if rows.isEmpty():
             break
+        marked = pin(rows.join(classes.select("id", F.struct("n", "sketch", "parity").alias("m")), "id"), "marked")
         deal = F.when(F.col("n") <= SMALL, F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(hubs_each)))
-        hubs = pin(rows.groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "component")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component")), "hubs")
-        pairs = rows.join(hubs, "key").where("component <> hub_component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        hubs = pin(marked.groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "component", "m")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"), F.col("h.m").alias("hub_m")), "hubs")
+        # what the marks rule out is not even a row of the join
+        pairs = marked.join(hubs, "key").where("component <> hub_component").where(_possible("m", "hub_m", percent)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         more = pin(_confirmed(pairs, classes, docs, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
