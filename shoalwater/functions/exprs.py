@@ -140,4 +140,4 @@ def domain(url) -> Column:
 
 def compass(direction) -> Column:
     names = F.array(*[F.lit(x) for x in ("N", "NE", "E", "SE", "S", "SW", "W", "NW")])
-    return F.element_at(names, (F.floor((F.pmod(_c(direction), F.lit(360.0)) + 22.5) / 45) % 8 + 1).cast("int"))
+    return F.get(names, (F.floor((F.pmod(_c(direction), F.lit(360.0)) + 22.5) / 45) % 8).cast("int"))

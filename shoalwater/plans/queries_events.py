@@ -21,9 +21,9 @@ def pf01(spark, d):
     return readings(spark, d).select("event_id", exprs.in_sector("dir_deg").alias("inside"), exprs.in_sector("dir_deg", (300, 40)).alias("wrapped"))
 
 
-@query("PF-02", f"WITH {READINGS} SELECT event_id, round(CASE WHEN speed_kn IS NULL THEN NULL WHEN dir_deg IS NULL THEN CASE WHEN speed_kn = 0 THEN 0.0 END ELSE speed_kn * cos(radians(dir_deg - 270)) END, 6) AS component FROM readings")
+@query("PF-02", f"WITH {READINGS} SELECT event_id, round(CASE WHEN speed_kn IS NULL THEN NULL WHEN dir_deg IS NULL THEN CASE WHEN speed_kn = 0 THEN 0.0 END ELSE speed_kn * cos(radians(dir_deg - 270)) END, 6) + 0.0 AS component FROM readings")
 def pf02(spark, d):
-    return readings(spark, d).select("event_id", F.round(exprs.favourable_component("speed_kn", "dir_deg"), 6).alias("component"))
+    return readings(spark, d).select("event_id", (F.round(exprs.favourable_component("speed_kn", "dir_deg"), 6) + F.lit(0.0)).alias("component"))
 
 
 @query("PF-04", f"WITH {TEMPS} SELECT event_id FROM temps WHERE temp_c BETWEEN -2 AND 15")
@@ -275,7 +275,7 @@ def j12(spark, d):
 
 @query("W-24", f"""WITH {READINGS}, {TEMPS}, b AS (SELECT r.event_id, r.station, r.us, {IN_SECTOR}::INT AS fav, speed_kn, temp_c FROM readings r JOIN temps t USING (event_id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY us, event_id) AS k, avg(fav) OVER bk AS share, avg(CASE WHEN fav = 1 THEN speed_kn END) OVER bk AS speed, min(temp_c) OVER (PARTITION BY station ORDER BY us RANGE BETWEEN CURRENT ROW AND {DAY_US} FOLLOWING) AS low FROM b WINDOW bk AS (PARTITION BY station ORDER BY us RANGE BETWEEN {12 * HOUR_US} PRECEDING AND CURRENT ROW))
-SELECT event_id, station, round(speed, 6) AS setup_kn, temp_c - low >= 2 AS responded FROM f WHERE k % 6 = 1 AND share >= 0.6""")
+SELECT event_id, station, round(speed, 9) AS setup_kn, temp_c - low >= 2 AS responded FROM f WHERE k % 6 = 1 AND share >= 0.6""")
 def w24(spark, d):
     joined = readings(spark, d).join(temps(spark, d).select("event_id", "temp_c"), "event_id")
-    return events.setup_response(joined).withColumn("setup_kn", F.round("setup_kn", 6))
+    return events.setup_response(joined).withColumn("setup_kn", F.round("setup_kn", 9))
