@@ -1,13 +1,12 @@
-"""Shared pieces: work tables in the cluster's shared folder, text hashing, components."""
+"""Shared pieces: words, their hashes, training rows, and components of a graph."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import new_path, pin, shared_dir  # noqa: F401  (re-exported)
+
 #: The contract's white space, `[\x20\x09-\x0D]`, and its complement, a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,33 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (a local session) a folder is made for it.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def pin(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage, so that lost executors cost a re-read and not a recomputation, and
-    fixes results that later steps refer to by row.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text) -> F.Column:
     """Number of words of a text column, 0 for null. JVM-side."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
