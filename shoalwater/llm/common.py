@@ -104,22 +104,24 @@ def blocks_of(texts: list, limit: int = 1_000_000):
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (node, component), the smallest node of each.
 
-    ``edges``: columns a, b. Alternating large-star and small-star rounds: each is two
-    aggregations and two joins on the node, so a hub with very many links is pre-aggregated
-    and its join can be split. Work tables are pinned; only a count and a sum reach the driver.
+    ``edges``: columns a, b. Alternating large-star and small-star rounds until the graph is
+    stars around the smallest nodes. Each is an aggregation and a join on the node, so a hub
+    with very many links is pre-aggregated and its join can be split. Every round is pinned;
+    only a count reaches the driver.
     """
-    spark = edges.sparkSession
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now, before = pin(now, "edges"), None
-    while True:
-        size = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if size == before or not size["n"]:
-            break
-        before = size
+    ordered = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = pin(edges.select(ordered.alias("e")).select("e.*").where("a <> b").distinct(), "edges")
+    while not _are_stars(now):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = pin(small, "edges")
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = pin(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Has every node one parent at most, and no parent a parent? Edges (a, b) with b < a, distinct."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b"), F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()

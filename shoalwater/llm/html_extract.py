@@ -272,7 +272,7 @@ class Trees:
     """Gradient-boosted trees of fixed depth for a logistic loss, on binned features."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else c for c in x.T]
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         self.bias = float(np.log(rate / (1 - rate)))

@@ -215,8 +215,10 @@ def predict(docs: DataFrame, model: Unigrams, *keep: str) -> DataFrame:
 def keepers(docs: DataFrame, path: str) -> DataFrame:
     """The rows of ``docs`` whose language could be told, all columns; a null lang is filled with it."""
     own = docs.columns
-    told = predict(docs, fit(docs, path), *[c for c in own if c != "doc_id"])
-    return told.where(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*own)
+    safe = [f"_c{i}" for i in range(len(own))]  # no column of the input can clash with a result's
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(own, safe)])
+    told = predict(renamed, fit(docs, path), *safe).where(F.col("lang_pred") != UNDETERMINED)
+    return told.select(*[F.coalesce(n, "lang_pred").alias(c) if c == "lang" else F.col(n).alias(c) for c, n in zip(own, safe)])
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

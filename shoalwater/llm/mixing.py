@@ -85,7 +85,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     The document that a budget cuts gives its first words, joined by single spaces.
     """
     own = docs.columns
-    got = take(docs, **options).where("taken > 0")
+    clash = {c: f"_own_{c}" for c in own if c in ("size", "source_size", "target", "taken")}
+    got = take(docs.withColumnsRenamed(clash), **options).where("taken > 0")
     part = F.col("taken") - F.floor(F.col("taken") / F.col("size")) * F.col("size")
     words = F.array_remove(F.split(F.col("text"), SPACE + "+"), "")
     cut = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")
@@ -93,7 +94,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     out = got.withColumn("text", F.explode(copies))
     if "n_chars" in own:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*own)
+    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in own])
 
 
 ORACLE = r"""

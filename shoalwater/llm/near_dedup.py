@@ -34,8 +34,10 @@ SKETCH_BITS = 512
 MARGIN = 0.15
 #: Bits of the whole set's parity bitmap.
 PARITY_BITS = 1024
-#: Buckets of up to so many classes compare all pairs of different components at once.
-SMALL = 512
+#: Buckets of up to so many classes compare their pairs of different components at once, inside
+#: the join; larger ones take hubs, four times as many each round.
+SMALL = 4096
+HUBS = 64
 
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -147,28 +149,38 @@ def largest_distance(similarity: float) -> int:
     return math.floor(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
 
 
-def _distance(a: str, b: str, bits: int) -> Column:
-    """Differing bits of two bitmaps; written out word by word, so that it is compiled."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)), F.lit(0))
+def _marks(prefix: str) -> list[Column]:
+    """A class's size, sketch and parity words as columns of their own: comparing them is plain compiled arithmetic."""
+    words = [F.col(name)[i].alias(f"{prefix}_{name}{i}") for name, bits in (("sketch", SKETCH_BITS), ("parity", PARITY_BITS)) for i in range(bits // 64)]
+    return [F.col("n").alias(f"{prefix}_n"), *words]
+
+
+def _mark_names(prefix: str) -> list[str]:
+    return [f"{prefix}_n", *(f"{prefix}_{name}{i}" for name, bits in (("sketch", SKETCH_BITS), ("parity", PARITY_BITS)) for i in range(bits // 64))]
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """May two classes (structs n, sketch, parity) be a link? By set sizes, sketch and parity bitmap.
+    """May two classes, by their marks, be a link? By set sizes, sketch and parity bitmap.
 
     Sets of a and b shingles that differ in d have similarity (a + b - d) / (a + b + d); no
     more bits of the bitmaps differ than shingles do.
     """
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    distance = lambda name, bits: sum((F.bit_count(F.col(f"{x}_{name}{i}").bitwiseXOR(F.col(f"{y}_{name}{i}"))) for i in range(bits // 64)), F.lit(0))
+    a, b = F.col(f"{x}_n"), F.col(f"{y}_n")
     sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    bound = _distance(f"{x}.parity", f"{y}.parity", PARITY_BITS) * (100 + percent) <= (a + b) * (100 - percent)
-    return sizes & bound & (_distance(f"{x}.sketch", f"{y}.sketch", SKETCH_BITS) <= largest_distance(percent / 100 - MARGIN))
+    bound = distance("parity", PARITY_BITS) * (100 + percent) <= (a + b) * (100 - percent)
+    return sizes & bound & (distance("sketch", SKETCH_BITS) <= largest_distance(percent / 100 - MARGIN))
+
 
+def _marked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that their marks do not rule out."""
+    side = lambda c: classes.select(F.col("id").alias(c), *_marks(c))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a", "b", percent)).select("a", "b").distinct()
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are links: first by their marks, then on full sets."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.struct("n", "sketch", "parity").alias(f"m{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("ma", "mb", percent))
-    near = pin(near.select("a", "b").distinct(), "near")
+
+def _confirmed(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are links by their full sets."""
+    near = pin(near, "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = pin(full_sets(docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")), "sets")
     left = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -192,26 +204,31 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     rows = pin(buckets.join(shared, "key").where("id <> hub"), "buckets")
     pairs = rows.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = pin(_confirmed(pairs, classes, docs, percent), "links")
-    found = pin(components(links), "components")
-    rows, hubs_each = rows.select("key", "id"), 32
+    found = components(_confirmed(_marked(pairs, classes, percent), docs, percent))
+    rows, hubs = rows.select("key", "id"), HUBS
     while True:
         where = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-        rows = pin(where.join(mixed, "key"), "buckets")
+        rows = pin(where.join(mixed.withColumnRenamed("n", "bucket_n"), "key").join(classes.select("id", *_marks("own")), "id"), "mixed")
         if rows.isEmpty():
             break
-        marked = pin(rows.join(classes.select("id", F.struct("n", "sketch", "parity").alias("m")), "id"), "marked")
-        deal = F.when(F.col("n") <= SMALL, F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(hubs_each)))
-        hubs = pin(marked.groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "component", "m")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"), F.col("h.m").alias("hub_m")), "hubs")
-        # what the marks rule out is not even a row of the join
-        pairs = marked.join(hubs, "key").where("component <> hub_component").where(_possible("m", "hub_m", percent)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        more = pin(_confirmed(pairs, classes, docs, percent), "links")
+        # what the marks rule out is not even a row of these joins
+        as_hub = lambda df: df.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"), *[F.col(f"own{n[3:]}").alias(n) for n in _mark_names("hub")])
+        small = rows.where(F.col("bucket_n") <= SMALL)
+        near = small.join(as_hub(small), "key").where("id < hub AND component <> hub_component").where(_possible("own", "hub", percent)).select("id", "hub")
+        rest = rows.where(F.col("bucket_n") > SMALL)
+        first = F.min(F.struct("id", "component", *_mark_names("own"))).alias("h")
+        hub = as_hub(rest.groupBy("key", F.pmod(F.xxhash64("id", "key"), F.lit(hubs)).alias("deal")).agg(first).select("key", "h.*"))
+        large = not rest.isEmpty()
+        if large:
+            hub = pin(hub, "hubs")
+            near = near.union(rest.join(hub, "key").where("component <> hub_component").where(_possible("own", "hub", percent)).select("id", "hub"))
+        more = pin(_confirmed(near.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), docs, percent), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            found = pin(components(links), "components")
-        rows = rows.select("key", "id").join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs_each *= 4
+            found = components(more.union(found.where("node <> component")))
+        if not large:
+            break
+        rows, hubs = rest.select("key", "id").join(hub.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti"), 4 * hubs
 
     roots = classes.select("c1", "c2", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("root"))
     out = marks.select("doc_id", "n_shingles", "c1", "c2").join(roots, ["c1", "c2"], "left")
