@@ -4,10 +4,9 @@ Thin evidence gives null with a reason, never a number. Quantiles are exact with
 interpolation. Ranks come from value histograms and prefix sums, so no group is one task.
 """
 
-from __future__ import annotations
-
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import finite
@@ -158,11 +157,9 @@ def spearman(rows: DataFrame, key: str, x: str, y: str, least: int = 10) -> Data
 
 def normal_tail(z: str = "z"):
     """Two-sided normal tail of a result column; on a handful of result rows, so a pandas UDF is fine."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(v: pd.Series) -> pd.Series:
-        return v.map(lambda q: None if q is None or q != q else math.erfc(q / math.sqrt(2)))
+        return v.map(lambda q: math.erfc(q / math.sqrt(2)), na_action="ignore")
 
     return tail(F.col(z))
 

@@ -109,7 +109,7 @@ def run_tracker(stream: DataFrame, threshold_kn: float, spacing_h: float, min_ru
     schema = "station string, start_us long, end_us long, duration_h double, peak_kn double, n int"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, last, peak, n, broken = state.get if state.exists else (None, None, None, 0.0, 0, False)
+        start, end, last, peak, n = state.get if state.exists else (None, None, None, 0.0, 0)
         out = []
 
         def close() -> None:
@@ -125,22 +125,19 @@ def run_tracker(stream: DataFrame, threshold_kn: float, spacing_h: float, min_ru
             return
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         for us, speed, fav in zip(rows["us"].tolist(), rows["speed_kn"].tolist(), rows["fav"].tolist()):
-            if last is not None and us - last > gap * 3.6e9:
-                broken = True
+            lull = not fav and start is not None and us - end > grace_h * 3.6e9
+            if start is not None and (lull or us - last > gap * 3.6e9):
+                close()
+                start = None
             if fav:
-                if start is not None and broken:
-                    close()
-                    start = None
                 if start is None:
                     start, peak, n = us, 0.0, 0
-                end, peak, n, broken = us, max(peak, speed), n + 1, False
-            elif end is not None and us - end > grace_h * 3.6e9:
-                broken = True
+                end, peak, n = us, max(peak, speed), n + 1
             last = us
-        state.update((start, end, last, peak, n, broken))
+        state.update((start, end, last, peak, n))
         state.setTimeoutTimestamp(max(int(last / 1000 + (gap + grace_h) * 3.6e6) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["station", "start_us", "end_us", "duration_h", "peak_kn", "n"])
 
     fav = exprs.in_sector("dir_deg") & (F.col("speed_kn") >= threshold_kn)
     rows = stream.withWatermark("ts", delay).select("event_id", "station", "ts", F.unix_micros("ts").alias("us"), "speed_kn", fav.alias("fav"))
-    return rows.groupBy("station").applyInPandasWithState(step, schema, "start_us long, end_us long, last_us long, peak_kn double, n int, broken boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("station").applyInPandasWithState(step, schema, "start_us long, end_us long, last_us long, peak_kn double, n int", "append", GroupStateTimeout.EventTimeTimeout)
