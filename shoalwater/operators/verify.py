@@ -138,7 +138,7 @@ def average_rank(rows: DataFrame, value: str, keys: list[str], name: str = "rank
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    joined = counts.join(F.broadcast(span), keys) if keys else counts.join(F.broadcast(span))
+    joined = counts.join(span, keys) if keys else counts.join(F.broadcast(span))
     cut = joined.withColumn("_r", F.coalesce(F.floor(F.try_divide((F.col(value) - F.col("_lo")) * ranges, F.col("_hi") - F.col("_lo"))), F.lit(0)))
     sums = cut.groupBy(*keys, "_r").agg(F.sum("_n").alias("_s"))
     starts = sums.withColumn("_start", F.sum("_s").over(W.partitionBy(*keys).orderBy("_r")) - F.col("_s")).drop("_s")

@@ -219,7 +219,7 @@ def ras14(spark, d):
     edges = r.groupBy("river").agg(F.percentile("slope", F.array(*[F.lit(x) for x in (0.25, 0.9, 0.99)])).alias("p"))
     s, p = F.col("slope"), [F.round(F.col("p")[i], 6) for i in range(3)]
     label = F.when(s.isNull(), "unknown").when(s >= p[2], "barrier").when(s >= p[1], "rapid").when(s <= p[0], "pool").otherwise("riffle")
-    return r.join(F.broadcast(edges), "river").groupBy("river", label.alias("class")).agg(F.count("*").alias("n"))
+    return r.join(edges, "river").groupBy("river", label.alias("class")).agg(F.count("*").alias("n"))
 
 
 LEAPS = [("steelhead", 3.4), ("coho", 2.2), ("chinook", 2.4), ("walleye", 0.6)]
