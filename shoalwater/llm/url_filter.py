@@ -132,7 +132,8 @@ def judge(pages: DataFrame, rules: DataFrame, path_lengths: list[int], listed: D
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     with_keys = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), path_lengths))
     lists = {"rule": rules, "listed": listed} if listed is not None else {"rule": rules}
-    universe = with_keys.select(F.explode("keys").alias("key")).distinct()
+    # pinned: every cascade and each of its levels reads the keys, the pages are read once
+    universe = pin(with_keys.select(F.explode("keys").alias("key")).distinct(), "universe")
     try:
         cascades = {(name, action): Cascade(universe, df.where(F.col("action") == action).select("key"), max_bits) for name, df in lists.items() for action in ("block", "allow")}
     except OverflowError:
