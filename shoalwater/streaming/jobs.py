@@ -15,14 +15,12 @@ from ..session import new_path
 def events_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
     """The event files under ``path`` as a stream with event time ``ts``.
 
-    A file name is also accepted: its folder is read with the name as the filter.
+    ``path`` is a folder of Parquet files or one such file; as a pattern, the source takes both.
     """
-    folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -33,6 +31,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("append").parquet(out)
 
+    spark.createDataFrame([], stream.schema).write.parquet(out)  # a stream without rows has a table, too
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
