@@ -31,12 +31,12 @@ END_ID = 2
 MAGIC = b"SHTOKEN1"
 HEAD = struct.Struct("<8s32s")
 FOOT = struct.Struct("<QQ8s")
-#: Bounds of the dictionary: its bytes, the documents and the ids of each that train it.
+#: Bounds of the dictionary: its bytes, about how many documents and how many ids of each train it.
 DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_DOCS = 1000
 DICTIONARY_IDS = 4096
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 900_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -98,7 +98,9 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
             out = [e.encode(t[: DICTIONARY_IDS * 8])[: DICTIONARY_IDS * 4] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
-    chosen = texts_of(docs).select("doc_id", F.substring("t", 1, DICTIONARY_IDS * 8).alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)
+    # chosen by a threshold on a hash, so that no task has to gather candidates from all others
+    share = min(1_000_000, DICTIONARY_DOCS * 1_000_000 // max(1, docs.count()) + 1)
+    chosen = texts_of(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).select("doc_id", F.substring("t", 1, DICTIONARY_IDS * 8).alias("t"))
     samples = [bytes(r["ids"]) for r in chosen.mapInArrow(ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s]).as_bytes()
