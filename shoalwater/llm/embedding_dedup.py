@@ -52,8 +52,25 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _united(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest id of each row's component under the pairs of row numbers."""
+    low = ids.copy()
+    while True:
+        m = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, m)
+        np.minimum.at(new, b, m)
+        if (new == low).all():
+            return low
+        low = new
+
+
 def neighbours(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
-    """Verified pairs (a, b) of class ids from all passes."""
+    """Links (a, b) between classes that join whatever the verified pairs of all passes join.
+
+    A block unites its own verified pairs and sends one link a vector, to the smallest id that it
+    is joined with there: a dense group gives links in proportion to its size.
+    """
     spark = classes.sparkSession
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,12 +112,17 @@ def neighbours(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, c
             rows = np.flatnonzero(group == g)
             x = np.stack([np.frombuffer(u) for u in pdf["u"].iloc[rows]])
             ids, first = pdf["id"].to_numpy()[rows], pdf["rank"].to_numpy()[rows] // BLOCK == own
+            near_a, near_b = [], []
             for step in range(1, min(window, len(rows) - 1) + 1):
                 near = np.flatnonzero((np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine) & first[:-step])
-                out_a.append(ids[near])
-                out_b.append(ids[near + step])
+                near_a.append(near)
+                near_b.append(near + step)
+            if near_a:
+                low = _united(ids, np.concatenate(near_a), np.concatenate(near_b))
+                out_a.append(low[low != ids])
+                out_b.append(ids[low != ids])
         a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     return blocks.groupBy("block").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
 
