@@ -113,7 +113,7 @@ class ShardWriter:
 
     def __init__(self, out, dictionary: bytes):
         self.out, self.at = out, 0
-        self.frames = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
+        self.frames = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         self.ids: list[int | None] = []
         self.offsets: list[int] = []
         self.counts: list[int] = []
