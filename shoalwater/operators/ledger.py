@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs
+from ..session import small
 
 
 def violations(kinds, species, precisions, places) -> Column:
@@ -37,9 +38,9 @@ def evolve(old: DataFrame, new: DataFrame, stamped: dict[str, object]) -> DataFr
 def longest_alias(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """id with the place of the longest alias that its lower-cased text contains; first listed on ties.
 
-    ``aliases`` (alias, place, ord) is a checked-small dictionary and goes to every task.
+    ``aliases``: alias, place, ord; a small dictionary goes to every task.
     """
-    hits = texts.join(F.broadcast(aliases), F.contains(F.lower("text"), F.col("alias"))).groupBy("id").agg(F.max_by("place", F.struct(F.length("alias"), -F.col("ord"))).alias("place"))
+    hits = texts.join(small(aliases), F.contains(F.lower("text"), F.col("alias"))).groupBy("id").agg(F.max_by("place", F.struct(F.length("alias"), -F.col("ord"))).alias("place"))
     return texts.select("id").join(hits, "id", "left")
 
 
@@ -50,7 +51,7 @@ def closed(rows: DataFrame, rules: DataFrame) -> DataFrame:
     rules always close, the others within their annual window.
     """
     window = exprs.in_annual_window("date", "start", "end")
-    hits = rows.join(F.broadcast(rules), F.contains(F.lower("place"), F.col("match"))).where(F.col("hard") | window).groupBy("id").agg(F.min_by("rule", "ord").alias("rule"))
+    hits = rows.join(small(rules), F.contains(F.lower("place"), F.col("match"))).where(F.col("hard") | window).groupBy("id").agg(F.min_by("rule", "ord").alias("rule"))
     return rows.join(hits, "id", "left")
 
 
@@ -83,7 +84,7 @@ def next_window(days: DataFrame, calendar: DataFrame) -> DataFrame:
     this = F.make_date(F.year("date"), F.floor(number / 100).cast("int"), (number % 100).cast("int"))
     start = F.when(this > F.col("date"), this).otherwise(F.add_months(this, 12))
     wait = F.datediff(start, F.col("date"))
-    return days.join(F.broadcast(calendar)).groupBy("date").agg(F.min(F.struct(wait.alias("days"), "id")).alias("m")).select("date", "m.days", "m.id")
+    return days.join(small(calendar)).groupBy("date").agg(F.min(F.struct(wait.alias("days"), "id")).alias("m")).select("date", "m.days", "m.id")
 
 
 def first_unprocessed(rows: DataFrame, done: DataFrame, key: str, n: int) -> DataFrame:
@@ -96,7 +97,7 @@ def run_windows(rows: DataFrame, calendar: DataFrame, tolerance: int = 30, least
     n = lambda c: F.regexp_replace(F.when(F.col(c) == "freeze_up", "12-01").otherwise(F.col(c)), "-", "").cast("int")
     doy = lambda c: exprs.day_of_year(F.floor(n(c) / 100).cast("int"), (n(c) % 100).cast("int"))
     entries = calendar.select("id", "species", doy("start").alias("a"), doy("end").alias("z")).where("a <= z")
-    hit = rows.join(F.broadcast(entries), "species").where((F.col("doy") >= F.col("a") - tolerance) & (F.col("doy") <= F.col("z") + tolerance))
+    hit = rows.join(small(entries), "species").where((F.col("doy") >= F.col("a") - tolerance) & (F.col("doy") <= F.col("z") + tolerance))
     got = hit.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("year").alias("years"), F.percentile("doy", F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
     return got.where((F.col("n") >= least_reports) & (F.col("years") >= least_years)).select("id", "n", "years", F.round(F.col("p")[0], 3).alias("start_doy"), F.round(F.col("p")[1], 3).alias("end_doy"))
 
