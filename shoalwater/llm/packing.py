@@ -22,8 +22,6 @@ from .tokens import encoder, texts_of, vocabulary_path
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length that are ranked in one group.
-RANK_ROWS = 20_000
 
 
 class Plan:
@@ -149,21 +147,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``lengths`` (with a column length, 1 to capacity) with sequence_id and offset added.
 
-    The input is read several times: pin it first. Each length's rows are dealt to groups of
-    about ``RANK_ROWS`` by a hash, counted, and ranked within the group, so a length that many
-    pieces share is no single task. Equal rows are interchangeable.
+    The input is read several times: pin it first. The n rows of a length are dealt by a hash to
+    about sqrt(n) groups, counted, and ranked within the group, so a length that many pieces
+    share is no single task. Equal rows are interchangeable.
     """
     counted = lengths.groupBy("length").agg(F.count("*").alias("n"))
     counts = {int(r["length"]): int(r["n"]) for r in counted.collect()}  # at most `capacity` rows
     plan = Plan(counts, capacity)
     places = np.array(sorted(plan.places), dtype=np.int64).reshape(-1, 5)
 
-    groups = {x: max(1, n // RANK_ROWS) for x, n in counts.items() if n >= 2 * RANK_ROWS}
-    split = F.lit(1)
-    if groups:
-        split = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for x in groups.items() for v in x]), F.col("length").cast("int")), F.lit(1))
     own = lengths.columns
-    dealt = lengths.withColumn("_group", F.pmod(F.xxhash64(*own), split))
+    split = F.floor(F.sqrt("_all")).cast("long")  # one row a length: at most `capacity`, so it is broadcast
+    dealt = lengths.join(F.broadcast(counted.withColumnRenamed("n", "_all")), "length").withColumn("_group", F.pmod(F.xxhash64(*own), split)).select(*own, "_group")
     starts = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(W.partitionBy("length").orderBy("_group")) - F.col("_n")).drop("_n")
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_group").orderBy(*own)) - 1).join(starts, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
 
