@@ -12,7 +12,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -162,16 +161,15 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(W.partitionBy("length").orderBy("_group")) - F.col("_n")).drop("_n")
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_group").orderBy(*own)) - 1).join(starts, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = places[:, 0] * (1 << 40) + places[:, 1]
         for b in batches:
-            at = np.searchsorted(key, b["length"].to_numpy() * (1 << 40) + b["_rank"].to_numpy(), side="right") - 1
-            b["sequence_id"] = places[at, 3] + b["_rank"].to_numpy() - places[at, 1]
-            b["offset"] = places[at, 4]
-            yield b[[*own, "sequence_id", "offset"]]
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            at = np.searchsorted(key, length * (1 << 40) + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(places[at, 3] + rank - places[at, 1]), pa.array(places[at, 4])], names=[*own, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.schema)
-    return ranked.select(*own, "_rank").mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*own, "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
