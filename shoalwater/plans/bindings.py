@@ -44,6 +44,17 @@ READINGS = """readings AS (SELECT event_id, event_type AS station, epoch_us(ts)
   CASE WHEN event_id % 23 <> 0 THEN (((epoch_us(ts) // 3600000000) * 5 + event_id % 20) % 360)::DOUBLE END AS dir_deg, user_id % 10 AS member FROM events)"""
 
 
+def readings_hourly(spark: SparkSession, sf_dir: str, one_station: bool = False) -> DataFrame:
+    """One reading per station and hour: mean speed (of whole hundredths), last known direction; event_id is the hour."""
+    h = F.floor(F.col("us") / HOUR_US)
+    g = readings(spark, sf_dir, one_station).groupBy("station", h.alias("event_id")).agg((F.sum(F.round(F.col("speed_kn") * 100).cast("long")) / F.count("*") / 100).alias("speed_kn"), F.max_by("dir_deg", F.when(F.col("dir_deg").isNotNull(), F.struct("us", "event_id"))).alias("dir_deg"))
+    return g.select("event_id", "station", (F.col("event_id") * HOUR_US).alias("us"), "speed_kn", "dir_deg")
+
+
+READINGS_HOURLY = READINGS.replace("readings AS", "raw AS", 1) + """, readings AS (SELECT us // 3600000000 AS event_id, station, us // 3600000000 * 3600000000 AS us, sum(round(speed_kn * 100)::BIGINT)::DOUBLE / count(*) / 100 AS speed_kn,
+  arg_max(dir_deg, (us, event_id)) FILTER (dir_deg IS NOT NULL) AS dir_deg FROM raw GROUP BY station, us // 3600000000)"""
+
+
 def temps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, station, us, temp_c, issued (us): lake temperature with later re-issues."""
     e = load(spark, sf_dir, "events").withColumn("us", micros("ts"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import events
-from .bindings import DAY_US, HOUR_US, READINGS, TEMPS, FLOWS, flows, readings, temps
+from .bindings import DAY_US, FLOWS, HOUR_US, READINGS, READINGS_HOURLY, TEMPS, flows, readings, readings_hourly, temps
 from .registry import query
 
 #: Fixed values of the queries: the instant of as-of look-ups and the tune and validate days.
@@ -169,10 +169,10 @@ rn AS (SELECT station, run, min(us) AS start_us, max(us) AS end_us, any_value(sp
 runs AS (SELECT station, start_us, end_us, CASE WHEN end_us > start_us THEN (end_us - start_us) / {HOUR_US}.0::DOUBLE ELSE spacing / {HOUR_US}.0::DOUBLE END AS duration_h, peak_kn, CASE WHEN md < 0 THEN md + 360 ELSE md END AS mean_dir, n FROM rn)"""
 
 
-@query("W-04", f"WITH {READINGS}, {RUNS} SELECT station, start_us, end_us, round(duration_h, 6) AS duration_h, peak_kn, round(mean_dir, 6) AS mean_dir, n FROM runs WHERE duration_h >= 6")
+@query("W-04", f"WITH {READINGS_HOURLY}, {RUNS} SELECT station, start_us, end_us, round(duration_h, 6) AS duration_h, round(peak_kn, 6) AS peak_kn, round(mean_dir, 6) AS mean_dir, n FROM runs WHERE duration_h >= 6")
 def w04(spark, d):
-    found = events.runs(readings(spark, d), 13.0)
-    return found.withColumns({"duration_h": F.round("duration_h", 6), "mean_dir": F.round("mean_dir", 6)})
+    found = events.runs(readings_hourly(spark, d), 13.0)
+    return found.withColumns({"duration_h": F.round("duration_h", 6), "peak_kn": F.round("peak_kn", 6), "mean_dir": F.round("mean_dir", 6)})
 
 
 MEMBER_DAYS = f"""m AS (SELECT *, {IN_SECTOR} AND speed_kn >= 13 AS fav, us - lag(us) OVER (PARTITION BY member ORDER BY us, event_id) AS step FROM readings), ms AS (SELECT member, quantile_cont(step, 0.5) FILTER (step > 0) AS spacing FROM m GROUP BY member),
@@ -234,10 +234,10 @@ def w06h(spark, d):
     return events.sessions(t.withColumn("top", top).where("top - temp_c >= 8"))
 
 
-@query("W-09", f"""WITH {READINGS}, {RUNS}, r AS (SELECT station AS rs, start_us, end_us FROM runs WHERE duration_h >= 6), q AS (SELECT event_id, station, us FROM readings WHERE event_id % 7 = 0), j AS (SELECT q.*, start_us AS run_us, end_us FROM q ASOF LEFT JOIN r ON q.station = r.rs AND q.us >= r.start_us)
+@query("W-09", f"""WITH {READINGS_HOURLY}, {RUNS}, r AS (SELECT station AS rs, start_us, end_us FROM runs WHERE duration_h >= 6), q AS (SELECT event_id, station, us FROM readings WHERE event_id % 7 = 0), j AS (SELECT q.*, start_us AS run_us, end_us FROM q ASOF LEFT JOIN r ON q.station = r.rs AND q.us >= r.start_us)
 SELECT station, us, run_us, CASE WHEN run_us IS NULL THEN 'neutral' WHEN us <= end_us THEN CASE WHEN us - run_us < 10 * {HOUR_US} THEN 'setup' ELSE 'peak' END WHEN us - end_us < 12 * {HOUR_US} THEN 'peak' WHEN us - end_us < 48 * {HOUR_US} THEN 'relaxation' ELSE 'neutral' END AS phase FROM j""")
 def w09(spark, d):
-    r = readings(spark, d)
+    r = readings_hourly(spark, d)
     return events.phase_at(events.runs(r, 13.0), r.where("event_id % 7 = 0").select("station", "us"))
 
 

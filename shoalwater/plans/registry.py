@@ -28,9 +28,9 @@ def query(key: str, sql: str | None = None):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sustained runs of all events as one station, and the phase at the last reading."""
     from ..operators import events
-    from .bindings import readings
+    from .bindings import readings_hourly
 
-    rows = readings(spark, sf_dir, one_station=True)
+    rows = readings_hourly(spark, sf_dir, one_station=True)
     return events.phase_at(events.runs(rows, threshold_kn=13.0), rows.groupBy("station").max("us").withColumnRenamed("max(us)", "us"))
 
 
