@@ -135,7 +135,8 @@ def count_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     size = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = members.join(size, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiles = pin(dealt.groupBy("component", "tile", "tiles").agg(F.collect_list(F.struct("id", "copies", "v")).alias("rows")), "tiles")
+    # dealt anew by tile: the join above left a whole component in one partition
+    tiles = pin(dealt.repartition("component", "tile").groupBy("component", "tile", "tiles").agg(F.collect_list(F.struct("id", "copies", "v")).alias("rows")), "tiles")
     left = tiles.select("component", F.col("rows").alias("x"), F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
     pairs = left.join(tiles.select("component", "tile", F.col("rows").alias("y")), ["component", "tile"]).select((F.col("i") == F.col("tile")).alias("same"), "x", "y")
 
