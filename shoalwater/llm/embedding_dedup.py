@@ -6,9 +6,10 @@ passes are united to components. A pass is cut into blocks by rank, each with th
 neighbours of the next, so every block has the same size whatever the vectors look like.
 
 A window cannot hold all partners of a vector in a large group of near copies. Exact copies are
-one class beforehand, and within each component found every two members are then compared
-in blocks (tiles), so the links are counted fully there; only links between two components that no
-pass brought together could be missed.
+one class beforehand; vectors of different components of the passes are then compared exactly, all of a
+label in blocks, so that no link between two components is missed; and within each component every two
+members are compared in blocks (tiles), so the links are counted fully there. The result is exact; the
+products grow with the square of a label's distinct vectors.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SIGNS = 62
 BLOCK = 4096
 #: Members of a component that meet in one tile, about.
 TILE = 256
+#: Vectors of a label that meet as many others in one block of the exact comparison, about.
+SPAN = 1024
 
 
 def _planes(dim: int, pass_: int) -> np.ndarray:
@@ -127,6 +130,35 @@ def neighbours(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, c
     return blocks.groupBy("block").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
+def missed_links(classes: DataFrame, found: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """Links (a, b) between components whose members are similar, by exact comparison of blocks.
+
+    ``found``: node, component. A label's vectors are dealt to spans by a hash; a task compares two
+    spans, leaves out pairs of one component, and sends one link a component that it joins.
+    """
+    own = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("label", F.size("v").alias("dim"), F.coalesce("component", "id").alias("component"), "id", "v")
+    size = own.groupBy("label", "dim").agg(F.ceil(F.count("*") / SPAN).cast("int").alias("spans"))
+    dealt = own.join(size, ["label", "dim"]).withColumn("span", F.pmod(F.xxhash64("id"), F.col("spans")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("spans") - 1)))
+    cells = met.select("label", "dim", F.least("span", "other").alias("i"), F.greatest("span", "other").alias("j"), "span", "component", "v")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        span, component, x = pdf["span"].to_numpy(), pdf["component"].to_numpy(), _unit(pdf["v"].tolist())
+        left, right = np.flatnonzero(span == pdf["i"].iloc[0]), np.flatnonzero(span == pdf["j"].iloc[0])
+        nodes, number = np.unique(component, return_inverse=True)
+        low = nodes.copy()
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            a, b = np.nonzero((x[rows] @ x[right].T >= cosine) & (number[rows, None] != number[right]))
+            if len(a):
+                # joined with the links of the rows before, which low holds
+                held = np.searchsorted(nodes, low)
+                low = _united(nodes, np.concatenate((number[rows][a], held)), np.concatenate((number[right][b], np.arange(len(nodes)))))
+        return pd.DataFrame({"a": low[low != nodes], "b": nodes[low != nodes]})
+
+    return cells.groupBy("label", "dim", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def count_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(id, linked): vectors linked with each class, copies counted, by exact comparison of tiles.
 
@@ -169,6 +201,9 @@ def dedup(rows: DataFrame, passes: int = PASSES, window: int = WINDOW, cosine: f
     classes = pin(every.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     links = pin(neighbours(classes, passes, window, cosine), "links")
     found = pin(components(links), "components")
+    missed = pin(missed_links(classes, found, cosine), "missed")
+    if not missed.isEmpty():
+        found = pin(components(links.union(missed)), "components")
     counts = count_links(classes.join(found.withColumnRenamed("node", "id"), "id").select("component", "id", "copies", "v"), cosine)
     per_class = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").join(counts, "id", "left")
     per_class = per_class.select("label", "v", F.coalesce("component", "id").alias("root"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"))

@@ -157,6 +157,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_star(spark):
+    """Far more copies of one vector than a window holds, few of them similar to each other."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3001, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    base, side = x[0], x[1:] - (x[1:] @ x[0])[:, None] * x[0]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[1:] = 0.982 * base + math.sqrt(1 - 0.982**2) * side
+    x = x[rng.permutation(3001)].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in embedding_dedup.dedup(df).collect()}
+    assert near.sum(axis=1).max() == 3000
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (int(n), 0, i == 0) for i, n in enumerate(near.sum(axis=1))}
+
+
 # ------------------------------------------------------------------------------- classifiers
 
 
