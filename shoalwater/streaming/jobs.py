@@ -74,10 +74,25 @@ def late_fill(stream: DataFrame, static: DataFrame, key: str, value: str) -> Dat
     return stream.join(static.select(key, value), key, "left")
 
 
+def known_changes(rows: DataFrame) -> DataFrame:
+    """event_id, station, ts, open: of a batch, each station's and hour's first known state and its changes.
+
+    Each hour is a task's group of its own, so that a station's state group holds what changed only.
+    """
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["open"].notna()].sort_values(["ts", "event_id"])
+        return pdf[(pdf["open"] != pdf["open"].shift())].drop(columns="hour")
+
+    hour = rows.select("event_id", "station", "ts", "open", F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour"))
+    return hour.groupBy("station", "hour").applyInPandas(reduce, "event_id long, station string, ts timestamp, open boolean")
+
+
 def transitions(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A row for each change of a station's state; null keeps the last; a first state only if true.
 
-    The last state of a station is kept; rows of a batch are taken in time order.
+    The last state of a station is kept; rows of a batch are taken in time order, hours first
+    reduced to their changes.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,15 +109,42 @@ def transitions(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
             state.update((last,))
         yield pd.DataFrame(out, columns=["event_id", "station", "ts", "state"])
 
-    rows = stream.withWatermark("ts", delay).select("event_id", "station", "ts", "open")
+    rows = known_changes(stream).withWatermark("ts", delay)
     return rows.groupBy("station").applyInPandasWithState(step, "event_id long, station string, ts timestamp, state boolean", "last boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_samples(rows: DataFrame, width_h: float) -> DataFrame:
+    """The samples of a batch that runs depend on: event_id, station, ts, us, fav, peak_kn, n.
+
+    ``width_h``: at most the data gap and the grace, so that nothing can end a run between two samples of
+    one bucket. Of a station's bucket stay the first and the last sample, the first favourable one, the
+    last one before it and the last favourable one, which has the peak and the number of those left out.
+    """
+    width = max(1, int(width_h * 3_600_000_000))
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["us", "event_id"], ignore_index=True)
+        fav = pdf["fav"].fillna(False).to_numpy(dtype=bool)
+        some = fav.nonzero()[0]
+        n, peak = fav.astype(int), pdf["speed_kn"].where(fav, 0.0).to_numpy(dtype=float, copy=True)
+        stay = {0, len(pdf) - 1}
+        if len(some):
+            first, last = int(some[0]), int(some[-1])
+            stay |= {first, last, max(0, first - 1)}
+            if first < last:
+                n[last], peak[last] = len(some) - 1, peak[some].max()
+        return pdf.assign(fav=fav, n=n, peak_kn=peak).loc[sorted(stay), ["event_id", "station", "ts", "us", "fav", "peak_kn", "n"]]
+
+    bucket = rows.withColumn("bucket", F.floor(F.col("us") / width))
+    return bucket.groupBy("station", "bucket").applyInPandas(reduce, "event_id long, station string, ts timestamp, us long, fav boolean, peak_kn double, n int")
+
+
 def run_tracker(stream: DataFrame, threshold_kn: float, spacing_h: float, min_run_h: float = 6.0, grace_h: float = 2.0, delay: str = "1 hour") -> DataFrame:
     """Sustained runs per station as they end: by a lull beyond the grace or a data gap.
 
     The median spacing is not known ahead, so it is a parameter. An open run is closed by the
-    event-time timer once the watermark is past its last sample, the gap and the grace.
+    event-time timer once the watermark is past its last sample, the gap and the grace. A state
+    group holds the few samples of each short bucket of time that matter (``run_samples``).
     """
     gap = 2 * spacing_h
     schema = "station string, start_us long, end_us long, duration_h double, peak_kn double, n int"
@@ -123,7 +165,7 @@ def run_tracker(stream: DataFrame, threshold_kn: float, spacing_h: float, min_ru
             yield pd.DataFrame(out, columns=["station", "start_us", "end_us", "duration_h", "peak_kn", "n"])
             return
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        for us, speed, fav in zip(rows["us"].tolist(), rows["speed_kn"].tolist(), rows["fav"].tolist()):
+        for us, speed, fav, more in zip(rows["us"].tolist(), rows["peak_kn"].tolist(), rows["fav"].tolist(), rows["n"].tolist()):
             lull = not fav and start is not None and us - end > grace_h * 3.6e9
             if start is not None and (lull or us - last > gap * 3.6e9):
                 close()
@@ -131,12 +173,13 @@ def run_tracker(stream: DataFrame, threshold_kn: float, spacing_h: float, min_ru
             if fav:
                 if start is None:
                     start, peak, n = us, 0.0, 0
-                end, peak, n = us, max(peak, speed), n + 1
+                end, peak, n = us, max(peak, speed), n + more
             last = us
         state.update((start, end, last, peak, n))
         state.setTimeoutTimestamp(max(int(last / 1000 + (gap + grace_h) * 3.6e6) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["station", "start_us", "end_us", "duration_h", "peak_kn", "n"])
 
     fav = exprs.in_sector("dir_deg") & (F.col("speed_kn") >= threshold_kn)
-    rows = stream.withWatermark("ts", delay).select("event_id", "station", "ts", F.unix_micros("ts").alias("us"), "speed_kn", fav.alias("fav"))
+    samples = stream.select("event_id", "station", "ts", F.unix_micros("ts").alias("us"), F.col("speed_kn").cast("double").alias("speed_kn"), fav.alias("fav"))
+    rows = run_samples(samples, min(gap, grace_h)).withWatermark("ts", delay)
     return rows.groupBy("station").applyInPandasWithState(step, schema, "start_us long, end_us long, last_us long, peak_kn double, n int", "append", GroupStateTimeout.EventTimeTimeout)

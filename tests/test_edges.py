@@ -176,3 +176,41 @@ def test_stream_tracker_agrees_with_batch(spark, tmp_path):
     got = sorted((r["start_us"], r["end_us"]) for r in jobs.run_to_table(jobs.run_tracker(stream, 13.0, 1.0), "tracker").collect())
     want = sorted((r["start_us"], r["end_us"]) for r in events.runs(df, 13.0).collect())
     assert got == want and len(want) == 2
+
+
+def test_state_groups_hold_what_matters(spark, tmp_path):
+    """Dense streams: few rows reach a state group, and the runs and alerts are those of all rows."""
+    n, spacing = 6000, 0.01
+    hours = [24 + i * spacing + (5.0 if i > 2500 else 0.0) + (0.6 if i > 4000 else 0.0) for i in range(n)]
+    blows = [i % 2000 < 1300 or i % 7 == 0 and i % 2000 < 1500 for i in range(n)]
+    rows = [(i, "a", int(h * 3_600_000_000), 14.0 + i % 5, 270.0 if b else (90.0 if i % 3 else None)) for i, (h, b) in enumerate(zip(hours, blows))]
+    df = spark.createDataFrame(rows, "event_id long, station string, us long, speed_kn double, dir_deg double").withColumn("ts", F.timestamp_micros("us"))
+    opened = df.withColumn("open", F.when(F.col("dir_deg").isNotNull(), F.col("dir_deg") == 270))
+    opened.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(opened.schema).parquet(str(tmp_path / "in"))
+
+    start, want, last = None, [], None
+    for i, _, us, speed, direction in rows:
+        fav = direction == 270
+        if start is not None and ((not fav and us - end > 2 * 3.6e9) or us - last > 0.5 * 3.6e9):
+            want.append((start, end, peak, count))
+            start = None
+        if fav:
+            if start is None:
+                start, peak, count = us, 0.0, 0
+            end, peak, count = us, max(peak, speed), count + 1
+        last = us
+    got = sorted((r["start_us"], r["end_us"], r["peak_kn"], r["n"]) for r in jobs.run_to_table(jobs.run_tracker(stream, 13.0, 0.25), "dense").collect())
+    assert got == [w for w in want if w[1] - w[0] >= 6 * 3.6e9] and len(got) > 1
+    samples = df.select("event_id", "station", "ts", "us", "speed_kn", (F.col("dir_deg") == 270).alias("fav"))
+    assert jobs.run_samples(samples, 0.5).count() <= 5 * len({us // 1_800_000_000 for _, _, us, _, _ in rows})
+
+    state, changes = None, []
+    for i, _, us, _, direction in rows:
+        if direction is not None:
+            if (direction == 270) != state and (state is not None or direction == 270):
+                changes.append((i, us, direction == 270))
+            state = direction == 270
+    alerts = jobs.run_to_table(jobs.transitions(stream), "dense").select("event_id", F.unix_micros("ts").alias("us"), "state")
+    assert sorted(map(tuple, alerts.collect())) == changes
+    assert jobs.known_changes(opened).count() <= len(changes) + len({us // 3_600_000_000 for _, _, us, _, _ in rows})
