@@ -21,8 +21,10 @@ from .common import crc32_of_id, is_training, mix, table
 VOCABULARY = "piece_bpe_32k.model"
 #: Training documents of a language, about; chosen by a hash of the id.
 SAMPLE = 800
-#: Bytes of a word that are segmented together; a longer word is cut at a character.
-CHUNK = 40
+#: Words of up to so many bytes, start mark included, keep all their forward sums; longer ones the last few, rescaled.
+SHORT = 40
+#: Long words taken together, starts whose pieces are looked up at once, and steps between rescalings.
+TOGETHER, AHEAD, RESCALE = 128, 256, 8
 #: Probability of a byte that no piece covers, and what is added to every piece's count.
 UNKNOWN, SMOOTH = 1e-6, 0.05
 #: Words that a Python worker keeps.
@@ -55,21 +57,6 @@ def _hash(piece: bytes) -> int:
     return int(h[0])
 
 
-def chunks_of(word: str) -> list[bytes]:
-    """A word with its start mark, in runs of up to ``CHUNK`` bytes of whole characters."""
-    raw = _START + word.encode("utf-8", "replace")
-    if len(raw) <= CHUNK:
-        return [raw]
-    out, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + CHUNK)
-        while end < len(raw) and raw[end] & 0xC0 == 0x80:
-            end -= 1
-        out.append(raw[at:end])
-        at = end
-    return out
-
-
 class Unigrams:
     """Piece probabilities by language, and the forward recursion over many words at once."""
 
@@ -96,16 +83,19 @@ class Unigrams:
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """(words, languages): the log of the sum over all segmentations."""
-        parts = [(c, i) for i, w in enumerate(words) for c in chunks_of(w)]
+        raw = [_START + w.encode("utf-8", "replace") for w in words]
         out = np.zeros((len(words), len(self.languages)))
         by_length: dict[int, list[int]] = {}
-        for k, (c, _) in enumerate(parts):
+        for k, c in enumerate(raw):
             by_length.setdefault(len(c), []).append(k)
         for n, members in by_length.items():
-            for a in range(0, len(members), 20_000):
+            for a in range(0, len(members) if n <= SHORT else 0, 20_000):
                 own = members[a : a + 20_000]
-                codes = _CODE[np.frombuffer(b"".join([parts[k][0] for k in own]), np.uint8).reshape(len(own), n)]
-                np.add.at(out, [parts[k][1] for k in own], np.log(self._forward(codes)))
+                codes = _CODE[np.frombuffer(b"".join([raw[k] for k in own]), np.uint8).reshape(len(own), n)]
+                out[own] = np.log(self._forward(codes))
+        long = sorted((k for k, c in enumerate(raw) if len(c) > SHORT), key=lambda k: len(raw[k]))
+        for a in range(0, len(long), TOGETHER):
+            out[long[a : a + TOGETHER]] = self._log_forward([raw[k] for k in long[a : a + TOGETHER]])
         return out
 
     def _forward(self, codes: np.ndarray) -> np.ndarray:
@@ -124,6 +114,45 @@ class Unigrams:
                     alpha[j + 1, miss] += alpha[i, miss] * UNKNOWN
         return alpha[n]
 
+    def _log_forward(self, words: list[bytes]) -> np.ndarray:
+        """The log of the forward sum over whole words of any length, sorted by length, in bounded memory.
+
+        ``sums[k]`` belongs to the place k bytes on; a word's own is read where it ends, so what
+        the shorter ones find behind their end does not count.
+        """
+        p = np.concatenate((self.p, np.zeros((1, self.p.shape[1]))))  # the last row, -1, is no piece
+        out = np.zeros((len(words), p.shape[1]))
+        ends = np.array([len(w) for w in words])
+        first, at = 0, 0
+        sums, scale = np.zeros((self.longest + 1, *out.shape)), np.zeros_like(out)
+        sums[0] = 1.0
+        while first < len(words):
+            codes = _CODE[np.frombuffer(b"".join([w[at : at + AHEAD + self.longest].ljust(AHEAD + self.longest, b"\0") for w in words[first:]]), np.uint8).reshape(len(words) - first, -1)]
+            h = np.zeros((len(words) - first, AHEAD), np.uint64)
+            piece = np.empty((AHEAD, self.longest, len(words) - first), np.int32)
+            for j in range(self.longest):
+                h = h * _BASE + codes[:, j : j + AHEAD]
+                piece[:, j] = self.find(h.ravel()).reshape(h.shape).T
+            began = first
+            for i in range(AHEAD):
+                while first < len(words) and ends[first] == at + i:
+                    out[first] = np.log(sums[0, first]) + scale[first]
+                    first += 1
+                if first == len(words):
+                    return out
+                live = piece[i, :, first - began :]
+                here = sums[0, first:].copy()
+                sums[1:, first:] += here * p[live]
+                sums[1, first:][live[0] < 0] += UNKNOWN * here[live[0] < 0]
+                sums[:-1] = sums[1:]
+                sums[-1] = 0.0
+                if i % RESCALE == 0:
+                    top = sums[:, first:].max(axis=0)
+                    sums[:, first:] /= top
+                    scale[first:] += np.log(top)
+            at += AHEAD
+        return out
+
 
 class Scorer:
     """Log probabilities of whole texts; words that were seen are not segmented again."""

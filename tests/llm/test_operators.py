@@ -209,6 +209,23 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(long).all()
 
 
+def test_long_words_are_not_cut():
+    """Pieces across any place of a long word count: the sums agree with the recursion over the whole word."""
+    pieces = ["\x01", "\x01a", "a", "b", "ab", "ba", "bba", "aabba", "ü", "üa"]
+    raw = [x.encode() for x in pieces]
+    model = language.Unigrams(raw, ["x", "y"], np.arange(20, dtype=float).reshape(10, 2) ** 2)
+    words = ["ab" * 19 + "a", "ab" * 20, "aabba" * 30, "ab" * 300, "ü" * 100, "aüaab" * 90 + "c", "b" * 255, "b" * 256, "a" * 1100, "ab"]
+
+    def total(word: bytes, k: int) -> float:
+        logs = [0.0]
+        for n in range(1, len(word) + 1):
+            into = [logs[n - len(x)] + math.log(model.p[i, k]) for i, x in enumerate(raw) if word[:n].endswith(x)]
+            logs.append(np.logaddexp.reduce(into + [logs[n - 1] + math.log(language.UNKNOWN)] * (word[n - 1 : n] not in raw)))
+        return logs[-1]
+
+    assert np.allclose(model.log_probabilities(words), [[total(b"\x01" + w.encode(), k) for k in (0, 1)] for w in words], rtol=1e-9)
+
+
 def test_quality(spark, make_text, odd_docs, no_docs):
     rows = [(i, make_text(i, 60) if i % 4 else make_text(i, 60).upper().replace(" ", "!! "), int(i % 4 > 0)) for i in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
