@@ -30,6 +30,11 @@ def is_training(column="doc_id") -> F.Column:
     return (crc32_of_id(column) % 3) != 1
 
 
+def hash_bound(wanted: int, n: int) -> int:
+    """The 64-bit hash that about ``wanted`` of ``n`` rows do not exceed; all, where there are no more."""
+    return min(2**63 - 1, -(2**63) + wanted * 2**64 // max(1, n))
+
+
 # ------------------------------------------------------------------ hashing of words in numpy
 
 _rng = np.random.default_rng(20240229)
@@ -49,17 +54,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _INVERSE = np.uint64(pow(int(_ODD), -1, 2**64))
-_kept: dict[int, np.ndarray] = {}
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    """The first n powers of base modulo 2**64, kept for the next block."""
-    have = _kept.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        have[0] = 1
-        _kept[int(base)] = have = np.multiply.accumulate(have)
-    return have[:n]
+#: Bytes that are hashed at once: the memory that a very long text takes stays near that of its words.
+WINDOW = 1 << 20
+_POWERS = np.full(WINDOW + 1, _ODD, dtype=np.uint64)
+_BACK = np.full(WINDOW + 1, _INVERSE, dtype=np.uint64)
+_POWERS[0] = _BACK[0] = 1
+_POWERS, _BACK = np.multiply.accumulate(_POWERS), np.multiply.accumulate(_BACK)
 
 
 class Words:
@@ -68,7 +68,7 @@ class Words:
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
         gap = (data == 32) | ((data >= 9) & (data <= 13))
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
+        edge = np.flatnonzero(np.concatenate(([~gap[:1].all()], gap[1:] != gap[:-1], [len(data) > 0 and not gap[-1]])))
         self.data, self.start, self.end = data, edge[0::2], edge[1::2]
         bounds = np.cumsum([len(t) + 1 for t in texts])
         self.text = np.searchsorted(bounds, self.start, side="right")
@@ -76,13 +76,22 @@ class Words:
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: sums of byte codes times powers, then mixed."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        n = len(self.data)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data] * _powers(n, _ODD), dtype=np.uint64)))
-        back = _powers(n, _INVERSE)
-        h = (sums[self.end] - sums[self.start]) * back[self.start]
+        """A 64-bit hash of each word's bytes: sums of byte codes times powers, then mixed.
+
+        Window by window; a word that crosses windows has its parts' sums added.
+        """
+        h = np.zeros(len(self.start), np.uint64)
+        for at in range(0, len(self.data), WINDOW):
+            stop = min(len(self.data), at + WINDOW)
+            first, last = np.searchsorted(self.end, at, side="right"), np.searchsorted(self.start, stop)
+            if first == last:
+                continue
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data[at:stop]] * _POWERS[: stop - at], dtype=np.uint64)))
+            a, z = np.maximum(self.start[first:last], at) - at, np.minimum(self.end[first:last], stop) - at
+            part = (sums[z] - sums[a]) * _BACK[a]
+            if self.start[first] < at:  # its bytes before this window count first
+                part[:1] *= np.uint64(pow(int(_ODD), int(at - self.start[first]), 2**64))
+            h[first:last] += part
         return mix(h ^ ((self.end - self.start).astype(np.uint64) * _ODD))
 
 

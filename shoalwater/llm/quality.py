@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, blocks_of, crc32_of_id, is_training, table
+from .common import Words, blocks_of, crc32_of_id, hash_bound, is_training, table
 
 #: Bound of the labelled sample; rows are chosen by a hash of their id.
 SAMPLE = 4000
@@ -40,7 +40,7 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     h = w.hashes()
     kind = _CLASS[w.data]
     long_ = np.minimum(w.end - w.start, 255)
-    upper = np.concatenate(([0], np.cumsum(kind == 1)))
+    upper = np.concatenate(([0], np.cumsum(kind == 1, dtype=np.int32)))
     uppers = upper[w.end] - upper[w.start]
     first, last = kind[w.start], kind[w.end - 1]
     before = kind[np.maximum(w.start, w.end - 2)]
@@ -96,10 +96,10 @@ class Voter:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text, label of about ``sample`` labelled training rows, chosen by a hash of the id."""
+    """text, label of the ``sample`` labelled training rows with the smallest hash of the id."""
     marked = labels.where(F.col("quality").isNotNull() & is_training()).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label"))
-    share = min(1.0, sample / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    near = marked.where(F.xxhash64("_id") <= hash_bound(2 * sample, marked.count()))
+    chosen = near.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("_label").cast("double").alias("label"))
 
 
@@ -109,11 +109,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            rows = [np.flatnonzero(c) for t in texts for c in term_counts([t])]
-            values = [term_counts([t])[0][r] for t, r in zip(texts, rows)]
+            counts = [term_counts([t])[0] for t in texts]
+            rows = [np.flatnonzero(c) for c in counts]
+            values = [c[r] for c, r in zip(counts, rows)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["label", "term", "n"])
 
     got = labelled_sample(docs, labels, sample).mapInArrow(counted, "label double, term array<int>, n array<float>").collect()
+    got.sort(key=lambda r: (r["term"], r["n"], r["label"]))  # reruns agree to the last bit
     counts = np.zeros((len(got), TERMS), np.float32)
     for row, r in zip(counts, got):
         row[r["term"]] = r["n"]
@@ -121,7 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter:
 
 
 def score(docs: DataFrame, voter: Voter) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts get the labels' mean."""
+    """doc_id, held_out, score, predicted of every row; null and empty texts get the labels' mean.
+
+    Whole texts of any length; repeated rows give repeated results; neighbours that tie at the last
+    place are chosen alike for equal texts. An empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import new_path, pin, table
+from .common import hash_bound, new_path, pin, table
 
 #: The vocabulary of the contract, and the id that ends a document.
 VOCABULARY = "word_bpe_49k.json"
@@ -35,8 +36,16 @@ FOOT = struct.Struct("<QQ8s")
 DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_DOCS = 1000
 DICTIONARY_IDS = 4096
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 900_000
+#: Words, and parts of words, whose ids a Python worker keeps: about 200 bytes each.
+KEPT_WORDS = 400_000
+# How the vocabulary's pre-tokenizer cuts words of printable ASCII and of the Latin letters from U+00C0 to
+# U+00FF, how it lower-cases them, and what it writes for their bytes from 0x9F on that have no character of their own.
+PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+LOWER = bytes.maketrans(bytes([*range(65, 91), *range(0x80, 0x9F)]), bytes([*range(97, 123), *range(0xA0, 0xBF)]))
+PARTS = re.compile(rb"'(?:[stmd]|re|ve|ll)|(?:[a-z]|\xc3[\x9f-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
+BYTE_CHARS = {0x9F: "\u0141", 0xA0: "\u0142", 0xAD: "\u0143"}
+#: Begins a special token's string, which a tokenizer looks for before it lower-cases.
+SPECIAL = b"<|"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -47,31 +56,52 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Kept(dict):
+    """What ``make`` gives for a key; the first ``most`` of them are kept."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: bytes) -> bytes:
+        made = self.make(key)
+        if len(self) < self.most:
+            self[key] = made
+        return made
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose pre-tokenizer drops white space.
 
-    Such a tokenizer treats each word alone, so the ids of a text are those of its words, and
-    a worker encodes a frequent word once. ``encode`` gives little-endian unsigned 32-bit ids.
+    Such a tokenizer treats each word alone, so the ids of a text are those of its words. A plain
+    word is lower-cased and cut into parts here, and the library's model encodes the parts; any
+    other word goes through the whole tokenizer. Words and parts that were seen are kept, up to a
+    bound. ``encode`` gives little-endian unsigned 32-bit ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words = Kept(self._word, KEPT_WORDS)
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            parts = [word.lower()]
+        elif SPECIAL not in word and PLAIN.fullmatch(word):
+            parts = PARTS.findall(word.translate(LOWER))
+        else:
+            return _packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if parts != [word]:  # a part is a word of its own
+            return b"".join(map(self.words.__getitem__, parts))
+        return _packed([t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))])
 
     def encode(self, text: bytes) -> bytes:
-        words, known, fresh = text.split(), self.known, {}
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            fresh = {w: np.asarray(x.ids, dtype="<u4").tobytes() for w, x in zip(new, ids)}
-            if len(known) + len(fresh) <= KEPT_WORDS:
-                known.update(fresh)
-                fresh = {}
-        if fresh:
-            return b"".join([fresh[w] if w in fresh else known[w] for w in words])
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -90,7 +120,10 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A zstandard dictionary from the first ids of a bounded, hash-chosen sample of documents."""
+    """A zstandard dictionary from the first ids of at most ``DICTIONARY_DOCS`` documents, those with the smallest hash.
+
+    It only sets how well frames compress, not what they hold.
+    """
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -98,9 +131,9 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
             out = [e.encode(t[: DICTIONARY_IDS * 8])[: DICTIONARY_IDS * 4] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
-    # chosen by a threshold on a hash, so that no task has to gather candidates from all others
-    share = min(1_000_000, DICTIONARY_DOCS * 1_000_000 // max(1, docs.count()) + 1)
-    chosen = texts_of(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).select("doc_id", F.substring("t", 1, DICTIONARY_IDS * 8).alias("t"))
+    # a threshold on the 64-bit hash leaves about twice as many, so only those are ordered
+    near = texts_of(docs.where(F.xxhash64("doc_id") <= hash_bound(2 * DICTIONARY_DOCS, docs.count())))
+    chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(DICTIONARY_DOCS).select("doc_id", F.substring("t", 1, DICTIONARY_IDS * 8).alias("t"))
     samples = [bytes(r["ids"]) for r in chosen.mapInArrow(ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s]).as_bytes()
@@ -166,6 +199,7 @@ class ShardReader:
 def write_shards(docs: DataFrame, out_dir: str, path: str, end_id: int = END_ID) -> tuple[DataFrame, bytes]:
     """Encode ``docs`` and write shards in ascending doc_id order (null ids first).
 
+    Rows of equal doc_id are ordered by their texts' bytes, so reruns agree.
     Returns the manifest (shard, file, n_docs, n_tokens, n_bytes, start) and the dictionary. A
     task writes a file of its own name and only files in the manifest are read, so a task that
     ran twice does no harm. ``out_dir``: a URI in the shared store.
@@ -191,7 +225,7 @@ def write_shards(docs: DataFrame, out_dir: str, path: str, end_id: int = END_ID)
             row = {"shard": TaskContext.get().partitionId(), "file": name, "n_docs": len(writer.ids), "n_tokens": tokens, "n_bytes": writer.at}
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
-    ordered = texts_of(docs).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    ordered = texts_of(docs).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "t")
     shards = pin(ordered.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, n_bytes long"), "shards")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), dictionary

@@ -57,6 +57,19 @@ def test_word_hashes_follow_words():
     assert b is None
 
 
+def test_word_hashes_across_windows(monkeypatch):
+    texts = [b"abcdefghij" * 3 + b" ab", b"ab", b" abcdefghij" * 4, b"abcdefghij" * 3]
+    whole = common.Words(texts).hashes()
+    monkeypatch.setattr(common, "WINDOW", 7)
+    assert (common.Words(texts).hashes() == whole).all() and whole[0] == whole[-1] and whole[1] == whole[2] and len(set(whole.tolist())) == 3
+
+
+def test_hash_bound_never_falls_to_nothing():
+    for n in (1, 1000, 10**9, 10**12):
+        share = (common.hash_bound(1600, n) + 2**63) / 2**64
+        assert abs(share * n - min(n, 1600)) < 1
+
+
 def test_near_dedup_brute(spark, odd_docs, make_text):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     for g in range(6):  # groups of near copies around one text, at several distances
@@ -288,7 +301,10 @@ def test_token_files(spark, odd_docs, no_docs):
 
 def test_encoder_equals_whole_text():
     e = tokens.WordEncoder(tokens.vocabulary_path())
-    for text in ("It's 2024-01-01, it'S <|endoftext|>x\u00a0y \u0130 \u03a3\u03a3 don't\x1cstop", "é e\u0301 \ud55c\uad6d\uc5b4 \U0001f600\U0001f600!!", " "):
+    rng = np.random.default_rng(4)
+    alphabet = [*"abcABZ'stmdrevl09._-<|>\x00\x1c\x7f\x85 \t\n\u00a0\u3000\u00e9\u00c9e\u0301\u0130\u00df\u03a3\u03c2\u4f60\U0001f600\u212a\u00d7\u00f7\u00de", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "'LL"]
+    mixed = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 30, 2000)]
+    for text in (*mixed, "It's 2024-01-01, it'S <|endoftext|>x\u00a0y \u0130 \u03a3\u03a3 don't\x1cstop", "é e\u0301 \ud55c\uad6d\uc5b4 \U0001f600\U0001f600!!", " "):
         assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == _ids(text)
 
 
