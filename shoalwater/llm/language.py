@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import crc32_of_id, is_training, mix, table
+from .common import blocks_of, crc32_of_id, hash_bound, is_training, mix, table
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Training documents of a language, about; chosen by a hash of the id.
+#: Training documents of a language at most; those with the smallest hash of the id.
 SAMPLE = 800
 #: Words of up to so many bytes, start mark included, keep all their forward sums; longer ones the last few, rescaled.
 SHORT = 40
@@ -27,8 +27,8 @@ SHORT = 40
 TOGETHER, AHEAD, RESCALE = 128, 256, 8
 #: Probability of a byte that no piece covers, and what is added to every piece's count.
 UNKNOWN, SMOOTH = 1e-6, 0.05
-#: Words that a Python worker keeps.
-KEPT_WORDS = 500_000
+#: Words that a Python worker keeps, and about how many bytes of text it scores together.
+KEPT_WORDS, TOGETHER_BYTES = 150_000, 2_000_000
 UNDETERMINED = "und"
 
 _START = b"\x01"  # stands for the vocabulary's mark of a word's start
@@ -43,11 +43,13 @@ def model_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _vocabulary(path: str) -> list[bytes]:
+def _vocabulary(path: str) -> dict[int, bytes]:
+    """The pieces that stand for text, by id: no control, unknown or byte pieces."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [sp.id_to_piece(i).replace("▁", "\x01").encode() for i in range(sp.get_piece_size())]
+    text = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
+    return {i: sp.id_to_piece(i).replace("▁", "\x01").encode() for i in text}
 
 
 def _hash(piece: bytes) -> int:
@@ -70,12 +72,13 @@ class Unigrams:
         # where to begin in the sorted hashes, by their leading bits
         self.shift = np.uint64(64 - 20)
         self.slot = np.searchsorted(self.hashes, np.arange(1 << 20, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.deepest = int(np.bincount((self.hashes >> self.shift).astype(np.int64)).max())
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece number of each substring hash, or -1."""
         at, out = self.slot[(h >> self.shift).astype(np.int64)], np.full(len(h), -1, np.int32)
         last = len(self.hashes) - 1
-        for step in range(4):  # two of 32,000 hashes rarely share 20 leading bits
+        for step in range(self.deepest):  # as many hashes as share their leading bits
             here = np.minimum(at + step, last)
             hit = self.hashes[here] == h
             out[hit] = self.piece[here[hit]]
@@ -155,38 +158,46 @@ class Unigrams:
 
 
 class Scorer:
-    """Log probabilities of whole texts; words that were seen are not segmented again."""
+    """Log probabilities of whole texts; the first ``KEPT_WORDS`` words that were seen are not segmented again."""
 
     def __init__(self, model: Unigrams):
         self.model, self.known = model, {}
-        self.table = np.zeros((1024, len(model.languages)))
+        self.table = np.zeros((0, len(model.languages)))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         words = [t.lower().split() for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.known]
-        if new:
-            first = len(self.known)
-            while first + len(new) > len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[first : first + len(new)] = self.model.log_probabilities(new)
-            self.known.update(zip(new, range(first, first + len(new))))
-        out = np.zeros((len(texts), self.table.shape[1]))
+        found = self.model.log_probabilities(new)
+        first = len(self.known)
+        table = np.concatenate((self.table[:first], found))
+        stay = new[: max(0, KEPT_WORDS - first)]
+        if len(stay) + first > len(self.table):
+            self.table = np.concatenate((table[: first + len(stay)], np.zeros((min(first + len(stay), KEPT_WORDS - first - len(stay)), table.shape[1]))))
+        else:
+            self.table[first : first + len(stay)] = found[: len(stay)]
+        self.known.update(zip(stay, range(first, first + len(stay))))
+        rest = dict(zip(new[len(stay) :], range(first + len(stay), len(table))))
+        out = np.zeros((len(texts), table.shape[1]))
         for i, ws in enumerate(words):
             if ws:
-                out[i] = self.table[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+                rows = map(self.known.__getitem__, ws) if not rest else (rest[w] if w in rest else self.known[w] for w in ws)
+                out[i] = table[np.fromiter(rows, np.int64, len(ws))].sum(axis=0)
         return out
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """lang, text: about ``sample`` training documents of each language."""
+    """lang, text: the ``sample`` training documents of each language with the smallest hash of the id.
+
+    A threshold on the 64-bit hash leaves about twice as many, so only those are ordered.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & is_training())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return rows.select("lang", "text").limit(0)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, sample * 1_000_000 // n))])
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    most = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, hash_bound(2 * sample, n))])
+    near = rows.withColumn("_hash", F.xxhash64("doc_id")).where(F.col("_hash") <= most[F.col("lang")])
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_hash", "doc_id", "text"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= sample).select("lang", "text")
 
 
 def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> Unigrams:
@@ -207,17 +218,21 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> Unigrams:
 
     rows = training_sample(docs, sample).mapInPandas(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     pieces, languages = _vocabulary(path), sorted({r["lang"] for r in rows})
+    at, column = {i: k for k, i in enumerate(pieces)}, {x: k for k, x in enumerate(languages)}
     counts = np.zeros((len(pieces), len(languages)))
     for r in rows:
-        counts[r["piece"], languages.index(r["lang"])] = r["n"]
-    return Unigrams(pieces, languages, counts)
+        if r["piece"] in at:
+            counts[at[r["piece"]], column[r["lang"]]] = r["n"]
+    return Unigrams(list(pieces.values()), languages, counts)
 
 
 def predict(docs: DataFrame, model: Unigrams, *keep: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, and the columns ``keep``.
 
-    The score is the winner's posterior for equal priors. Null texts and texts without a letter are
-    ``und`` with score 0, as is every text where nothing could be learned.
+    The score is the winner's posterior for equal priors; of tied languages the first by code
+    point wins. Null, empty and letterless texts are ``und`` with score 0, as is every text where
+    nothing could be learned. Whole texts of any length; repeated rows give repeated results; an empty
+    table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +242,8 @@ def predict(docs: DataFrame, model: Unigrams, *keep: str) -> DataFrame:
             some = [i for i, t in enumerate(texts) if scorer and any(map(str.isalpha, t))]
             langs: list[str] = [UNDETERMINED] * len(texts)
             scores = np.zeros(len(texts))
-            for a in range(0, len(some), 500):
-                part = some[a : a + 500]
+            for a, z in blocks_of([texts[i] for i in some], TOGETHER_BYTES):
+                part = some[a:z]
                 log_p = scorer.scores([texts[i] for i in part])
                 best = log_p.argmax(axis=1)
                 scores[part] = 1.0 / np.exp(log_p - log_p.max(axis=1, keepdims=True)).sum(axis=1)
