@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_path, pin, shared_dir  # noqa: F401  (re-exported)
@@ -35,6 +38,29 @@ def hash_bound(wanted: int, n: int) -> int:
     return min(2**63 - 1, -(2**63) + wanted * 2**64 // max(1, n))
 
 
+# ------------------------------------------------------------------ what a Python worker keeps
+
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """The one object that a Python worker keeps from task to task: asking for another lets it go.
+
+    Workers are used again by later stages, so what several operators kept would add up.
+    """
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what an earlier stage's tasks left in this worker."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 # ------------------------------------------------------------------ hashing of words in numpy
 
 _rng = np.random.default_rng(20240229)

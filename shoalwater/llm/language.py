@@ -8,6 +8,7 @@ frequent word once. The language with the largest probability wins.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import blocks_of, crc32_of_id, hash_bound, is_training, mix, table
+from .common import blocks_of, crc32_of_id, hash_bound, held, is_training, mix, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Training documents of a language at most; those with the smallest hash of the id.
@@ -34,7 +35,6 @@ UNDETERMINED = "und"
 _START = b"\x01"  # stands for the vocabulary's mark of a word's start
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CODE = mix(np.arange(1, 257, dtype=np.uint64))
-_models: dict[str, tuple] = {}
 
 
 def model_path(name: str = VOCABULARY) -> str:
@@ -66,6 +66,7 @@ class Unigrams:
         p = counts + SMOOTH
         self.languages, self.p = languages, p / p.sum(axis=0, keepdims=True)
         self.longest = max(map(len, pieces))
+        self.name = (tuple(languages), len(pieces), zlib.crc32(self.p.tobytes()))
         hashes = np.array([_hash(x) for x in pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.piece = hashes[order], order.astype(np.int32)
@@ -236,7 +237,7 @@ def predict(docs: DataFrame, model: Unigrams, *keep: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model) if model.languages else None
+        scorer = held(("scorer", *model.name), lambda: Scorer(model)) if model.languages else None
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             some = [i for i, t in enumerate(texts) if scorer and any(map(str.isalpha, t))]

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Words, blocks_of, components, mix, pin, table
+from .common import Words, blocks_of, components, mix, pin, release, table
 
 #: Fixed values of the contract: words of a shingle, least similarity in percent.
 WIDTH = 5
@@ -107,6 +107,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, c1, c2 (the set's class), bands, sketch, parity; nulls where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts = b.column(1).to_pylist()
             for a, z in blocks_of(texts):
@@ -134,6 +135,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """id, shingles (sorted distinct hashes) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts = b.column(1).to_pylist()
             for a, z in blocks_of(texts):

@@ -23,7 +23,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import hash_bound, new_path, pin, table
+from .common import hash_bound, held, new_path, pin, table
 
 #: The vocabulary of the contract, and the id that ends a document.
 VOCABULARY = "word_bpe_49k.json"
@@ -37,7 +37,7 @@ DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_DOCS = 1000
 DICTIONARY_IDS = 4096
 #: Words, and parts of words, whose ids a Python worker keeps: about 200 bytes each.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 # How the vocabulary's pre-tokenizer cuts words of printable ASCII and of the Latin letters from U+00C0 to
 # U+00FF, how it lower-cases them, and what it writes for their bytes from 0x9F on that have no character of their own.
 PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -47,8 +47,6 @@ BYTE_CHARS = {0x9F: "\u0141", 0xA0: "\u0142", 0xAD: "\u0143"}
 #: Begins a special token's string, which a tokenizer looks for before it lower-cases.
 SPECIAL = b"<|"
 
-_encoders: dict[str, WordEncoder] = {}
-
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -109,9 +107,7 @@ def encoder(path: str) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator on odd input, on an empty table, and against brute force."""
 
+import functools
 import hashlib
 import math
 import re
@@ -274,10 +275,15 @@ def test_mixing(odd_docs, no_docs):
 # ------------------------------------------------------------------------------- tokens and packing
 
 
-def _ids(text):
+@functools.cache
+def _tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokens.vocabulary_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.vocabulary_path())
+
+
+def _ids(text):
+    return _tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_files(spark, odd_docs, no_docs):
