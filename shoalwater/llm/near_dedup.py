@@ -7,9 +7,10 @@ that the sketch does not rule out are confirmed on the full sets.
 
 Copies are one class before anything is compared. In a bucket each class is compared with a
 hub, not with every other; after the links found so far are joined to components, only pairs of
-*different* components that still share a bucket are looked at, hub after hub, until no
-bucket holds two components with an unseen pair. No link between different components is
-lost, and a large group of near copies costs about one comparison a member and bucket.
+*different* components that still share a bucket are looked at, all of them: a bucket is dealt to
+spans, and two spans at a time meet. No link between different components is lost, and a large
+group of near copies costs about one comparison a member and bucket. Only a bucket of very many
+classes that its hub does not link costs the square of their number, in comparisons, not in rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Words, blocks_of, components, mix, pin, release, table
+from .common import Words, blocks_of, components, mix, pin, release, repeated_ids, table
 
 #: Fixed values of the contract: words of a shingle, least similarity in percent.
 WIDTH = 5
@@ -34,10 +35,8 @@ SKETCH_BITS = 512
 MARGIN = 0.15
 #: Bits of the whole set's parity bitmap.
 PARITY_BITS = 1024
-#: Buckets of up to so many classes compare their pairs of different components at once, inside
-#: the join; larger ones take hubs, four times as many each round.
-SMALL = 4096
-HUBS = 64
+#: Classes of a bucket that meet as many others under one key of the join, about.
+SPAN = 4096
 
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -180,6 +179,21 @@ def _marked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a", "b", percent)).select("a", "b").distinct()
 
 
+def _different(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members of different components that their marks do not rule out.
+
+    ``rows``: key, id, component, bucket_n and marks. A bucket is dealt to spans of about ``SPAN`` members; two
+    spans meet in one key of the join, and what the marks rule out is not even a row of it.
+    """
+    spans = F.ceil(F.col("bucket_n") / SPAN).cast("int")
+    dealt = rows.withColumn("spans", spans).withColumn("span", F.pmod(F.xxhash64("id", "key"), F.col("spans")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("spans") - 1))).withColumn("i", F.least("span", "other")).withColumn("j", F.greatest("span", "other"))
+    left = met.where("span = i").select("key", "i", "j", "id", "component", *_mark_names("own"))
+    right = met.where("span = j").select("key", "i", "j", F.col("id").alias("hub"), F.col("component").alias("hub_component"), *[F.col(f"own{n[3:]}").alias(n) for n in _mark_names("hub")])
+    pairs = left.join(right, ["key", "i", "j"]).where("component <> hub_component AND (i < j OR id < hub)").where(_possible("own", "hub", percent))
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def _confirmed(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are links by their full sets."""
     near = pin(near, "near")
@@ -206,31 +220,15 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     rows = pin(buckets.join(shared, "key").where("id <> hub"), "buckets")
     pairs = rows.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    found = components(_confirmed(_marked(pairs, classes, percent), docs, percent))
-    rows, hubs = rows.select("key", "id"), HUBS
-    while True:
-        where = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-        rows = pin(where.join(mixed.withColumnRenamed("n", "bucket_n"), "key").join(classes.select("id", *_marks("own")), "id"), "mixed")
-        if rows.isEmpty():
-            break
-        # what the marks rule out is not even a row of these joins
-        as_hub = lambda df: df.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"), *[F.col(f"own{n[3:]}").alias(n) for n in _mark_names("hub")])
-        small = rows.where(F.col("bucket_n") <= SMALL)
-        near = small.join(as_hub(small), "key").where("id < hub AND component <> hub_component").where(_possible("own", "hub", percent)).select("id", "hub")
-        rest = rows.where(F.col("bucket_n") > SMALL)
-        first = F.min(F.struct("id", "component", *_mark_names("own"))).alias("h")
-        hub = as_hub(rest.groupBy("key", F.pmod(F.xxhash64("id", "key"), F.lit(hubs)).alias("deal")).agg(first).select("key", "h.*"))
-        large = not rest.isEmpty()
-        if large:
-            hub = pin(hub, "hubs")
-            near = near.union(rest.join(hub, "key").where("component <> hub_component").where(_possible("own", "hub", percent)).select("id", "hub"))
-        more = pin(_confirmed(near.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), docs, percent), "links")
-        if not more.isEmpty():
-            found = components(more.union(found.where("node <> component")))
-        if not large:
-            break
-        rows, hubs = rest.select("key", "id").join(hub.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti"), 4 * hubs
+    twice = repeated_ids(known.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "id"), ["c1", "c2"]).select(F.col("doc_id").alias("node"), "id"))
+    found = components(_confirmed(_marked(pairs, classes, percent), docs, percent).union(twice))
+    where = rows.select("key", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("bucket_n")).where("low < high").select("key", "bucket_n")
+    rest = pin(where.join(mixed, "key").join(classes.select("id", *_marks("own")), "id"), "mixed")
+    near = _different(rest, percent)
+    more = pin(_confirmed(near, docs, percent), "links")
+    if not more.isEmpty():
+        found = components(more.union(found.where("node <> component")))
 
     roots = classes.select("c1", "c2", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("root"))
     out = marks.select("doc_id", "n_shingles", "c1", "c2").join(roots, ["c1", "c2"], "left")

@@ -108,6 +108,23 @@ def test_near_dedup_brute(spark, odd_docs, make_text):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
 
 
+def test_near_dedup_of_repeated_ids(spark, make_text):
+    """Rows of one id are one node, so what their texts are linked with is one component."""
+    a, b = make_text(50, 80), make_text(51, 80)
+    docs = spark.createDataFrame([(5, a), (7, a + " x"), (7, b), (9, b + " y"), (11, make_text(52, 80))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.groups(docs).collect()) == [(5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False), (11, 11, True)]
+
+
+@pytest.mark.parametrize("span", [3, 10_000])
+def test_long_buckets_lose_no_link(spark, monkeypatch, span):
+    """Texts that share a long passage but are unlike otherwise: every bucket that they share holds many components."""
+    monkeypatch.setattr(near_dedup, "SPAN", span)
+    passage = " ".join(f"p{i}" for i in range(100))
+    texts = {i: passage + " " + " ".join(f"own{i // 2}x{k}" for k in range(40)) + (" tail" if i % 2 else "") for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.groups(docs).collect()} == {i: i // 2 * 2 for i in texts}
+
+
 def test_near_dedup_empty(no_docs):
     assert near_dedup.groups(no_docs).count() == 0 and near_dedup.keepers(no_docs).columns == no_docs.columns
 
@@ -372,7 +389,9 @@ def test_html_extraction(spark, make_text):
     assert html_extract.extract(empty, html_extract.train(empty)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hubs", [3, 1000])
+def test_components(spark, monkeypatch, hubs):
+    monkeypatch.setattr(common, "HUBS", hubs)
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (21, 21)] + [(30, 31 + i) for i in range(200)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
     assert {got[i] for i in (1, 2, 3, 7, 8, 9)} == {1} and got[21] == got[20] == 20 and all(got[30 + i] == 30 for i in range(201))
