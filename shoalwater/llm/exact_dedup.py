@@ -1,10 +1,11 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-Each partition sends its sorted 64-bit fingerprints to the fingerprints' owners as Golomb
-codes of their gaps, not as rows; an owner returns one bit for each: does it occur more than
-once? Only documents whose bit is set are suspects; their texts alone are shuffled, grouped
-by their bytes. Grouping combines on the map side, so a group of copies with a third
-of all rows sends one row from each task.
+The task that reads a partition's texts sends its sorted distinct 64-bit fingerprints to the
+fingerprints' owners as Golomb codes of their gaps, never as rows; an owner returns one bit
+for each: does it occur more than once? The answers of a partition are one small file in the
+shared folder, and the rows are marked where they lie. Only marked rows are suspects; their
+texts alone are shuffled, grouped by their bytes. Grouping combines on the map side, so a group of
+copies with a third of all rows sends one row from each task.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, pin, table
+from .common import SPACE, new_path, pin, table
 
 #: Fixed value: bytes that do not count when texts are compared, `[\x20\x09-\x0D]`.
 IGNORED = b" \t\n\x0b\x0c\r"
-#: Owners of fingerprint ranges; a message goes from each partition to each owner.
-OWNERS = 32
+#: Owners of fingerprint ranges, at least, and the fingerprints that one owns, about; a message goes from each partition to each owner.
+OWNERS, OWNED = 32, 10_000_000
 
 
 def golomb_encode(values: np.ndarray, low: int, width: int) -> bytes:
@@ -63,67 +66,87 @@ def _owner_range(owner: int, owners: int) -> tuple[int, int]:
     return owner * step, min(2**64, (owner + 1) * step) - owner * step
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: part, pos, doc_id, length, fp and the normalised text's sha256.
+def fingerprints(docs: DataFrame, owners: int) -> DataFrame:
+    """Rows and messages of one pass over the texts, told apart by ``owner``; the caller pins them.
 
-    ``fp`` is the first 8 bytes of the sha256 with the sign bit flipped, so that its order as
-    a long is the unsigned order. Pinned by the caller: part and pos name the row later.
+    A row (owner null): part, pos, doc_id, n_points, fp and the normalised text's sha256. ``fp`` is
+    the first 8 bytes of the sha256. A message of a part to an owner: the codes of the part's distinct
+    fingerprints in the owner's range, and of those that the part itself holds repeatedly.
     """
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pos = 0
+        pos, part, seen = 0, 0, []
         for batch in batches:
-            digests = []
-            for text in batch.column(2).to_pylist():
-                digests.append(hashlib.sha256((text or b"").translate(None, IGNORED)).digest())
-            n = len(digests)
-            fp = (np.frombuffer(b"".join(digests), ">u8").reshape(n, 4)[:, 0].astype(np.uint64) ^ np.uint64(2**63)).view(np.int64) if n else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(pos, pos + n)), batch.column(1), batch.column(3), pa.array(fp), pa.array([d.hex() for d in digests], pa.string())], names=["part", "pos", "doc_id", "n_points", "fp", "text_sha256"])
-            pos += n
+            n = batch.num_rows
+            digests = [hashlib.sha256((text.as_py() or b"").translate(None, IGNORED)).digest() for text in batch.column(2)]
+            fp = np.frombuffer(b"".join(digests), ">u8").reshape(n, 4)[:, 0].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(pos, pos + n)), batch.column(1), batch.column(3), pa.array(fp.view(np.int64)), pa.array([d.hex() for d in digests], pa.string()), *(pa.nulls(n, k) for k in kinds[6:])], names=names)
+            pos, part = pos + n, batch.column(0)[0].as_py() if n else part
+            seen.append(fp)
+        values, times = np.unique(np.concatenate(seen), return_counts=True) if pos else (np.zeros(0, np.uint64), np.zeros(0, int))
+        rows = []
+        for owner in range(owners if pos else 0):
+            low, width = _owner_range(owner, owners)
+            a, z = np.searchsorted(values, np.uint64(low)), np.searchsorted(values, np.uint64(low + width - 1), side="right")
+            if z > a:
+                rows.append((owner, golomb_encode(values[a:z], low, width), golomb_encode(values[a:z][times[a:z] > 1], low, width)))
+        if rows:
+            n, (owner, code, again) = len(rows), zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), *(pa.nulls(n, k) for k in kinds[1:6]), pa.array(owner, pa.int32()), pa.array(code), pa.array(again)], names=names)
 
     lean = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
-    return lean.mapInArrow(run, "part int, pos long, doc_id long, n_points long, fp long, text_sha256 string")
+    return lean.mapInArrow(run, _FIELDS)
 
 
-def suspects(prints: DataFrame, owners: int) -> DataFrame:
-    """The exchange. (part, pos) of the rows whose fingerprint occurs more than once.
+_FIELDS = "part int, pos long, doc_id long, n_points long, fp long, text_sha256 string, owner int, code binary, again binary"
 
-    A part sends each of its distinct fingerprints once, so an owner gets at most one copy of
-    a fingerprint from a part, however large a group of copies is; repeats inside a part are
-    suspects without asking. What crosses the network are codes and bitmaps: a few bytes and
-    one bit a document.
-    """
 
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(pdf["fp"].to_numpy().view(np.uint64) ^ np.uint64(2**63))
-        rows = []
-        for owner in range(owners):
-            low, width = _owner_range(owner, owners)
-            a, z = np.searchsorted(values, np.uint64(low)), np.searchsorted(values, np.uint64(low + width - 1), side="right")
-            if z > a:
-                rows.append((owner, int(pdf["part"].iloc[0]), golomb_encode(values[a:z], low, width)))
-        return pd.DataFrame(rows, columns=["owner", "part", "code"])
+def suspects(sent: DataFrame, owners: int) -> DataFrame:
+    """The exchange: the rows whose fingerprint occurs more than once.
+
+    A part sends each of its distinct fingerprints once, so an owner gets at most one copy of a
+    fingerprint from a part, however large a group of copies is. What crosses the network are
+    codes and bitmaps. A task reads the answers for the parts whose rows it holds.
+    """
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner = int(pdf["owner"].iloc[0])
-        low, _ = _owner_range(owner, owners)
+        low, _ = _owner_range(int(pdf["owner"].iloc[0]), owners)
         lists = [golomb_decode(c, low) for c in pdf["code"]]
         seen, times = np.unique(np.concatenate(lists), return_counts=True)
-        twice = seen[times > 1]
-        return pd.DataFrame({"part": pdf["part"], "owner": owner, "bits": [np.packbits(np.isin(v, twice)).tobytes() for v in lists]})
-
-    def mark(rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        values, inverse, times = np.unique(rows["fp"].to_numpy().view(np.uint64) ^ np.uint64(2**63), return_inverse=True, return_counts=True)
-        hit = times > 1
-        for owner, b in zip(bits["owner"], bits["bits"]):
-            low, width = _owner_range(owner, owners)
-            a, z = np.searchsorted(values, np.uint64(low)), np.searchsorted(values, np.uint64(low + width - 1), side="right")
-            hit[a:z] |= np.unpackbits(np.frombuffer(b, np.uint8), count=z - a).astype(bool)
-        return rows.loc[hit[inverse], ["part", "pos"]]
-
-    lean = prints.select("part", "pos", "fp")
-    bits = lean.select("part", "fp").groupBy("part").applyInPandas(send, "owner int, part int, code binary").groupBy("owner").applyInPandas(answer, "part int, owner int, bits binary")
-    return lean.groupBy("part").cogroup(bits.groupBy("part")).applyInPandas(mark, "part int, pos long")
+        twice = np.union1d(seen[times > 1], np.concatenate([golomb_decode(c, low) for c in pdf["again"]]))
+        return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "code": pdf["code"], "bits": [np.packbits(np.isin(v, twice)).tobytes() for v in lists]})
+
+    out = new_path(sent.sparkSession, "answers")
+    answers = sent.where("owner IS NOT NULL").select("owner", "part", "code", "again").groupBy("owner").applyInPandas(answer, "part int, owner int, code binary, bits binary")
+    answers.repartition("part").write.partitionBy("part").parquet(out)
+
+    def repeated(store, root: str, part: int) -> np.ndarray:
+        files = [f for f in store.get_file_info(fs.FileSelector(f"{root}/part={part}")) if f.path.endswith(".parquet")]
+        values = [np.zeros(0, np.uint64)]
+        for f in files:
+            got = pq.ParquetFile(store.open_input_file(f.path)).read(["owner", "code", "bits"])
+            for owner, code, bits in zip(*(c.to_pylist() for c in got.columns)):
+                own = golomb_decode(code, _owner_range(owner, owners)[0])
+                values.append(own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)])
+        return np.sort(np.concatenate(values))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(out)
+        now, twice = None, np.zeros(0, np.uint64)
+        for b in batches:
+            parts, fp = b.column(0).to_numpy(), b.column(4).to_numpy().view(np.uint64)
+            hit = np.zeros(len(fp), bool)
+            for part in np.unique(parts):
+                if part != now:
+                    now, twice = part, repeated(store, root, int(part))
+                own = np.flatnonzero(parts == part)
+                hit[own] = np.isin(fp[own], twice)
+            yield b.filter(pa.array(hit))
+
+    rows = sent.where("owner IS NULL").select("part", "pos", "doc_id", "n_points", "fp", "text_sha256")
+    return rows.mapInArrow(mark, rows.schema)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -134,9 +157,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     smallest doc_id (null ids last); of fully tied rows one stays. An empty table gives an
     empty table; other columns are not read.
     """
-    prints = pin(fingerprints(docs), "prints")
-    owners = max(OWNERS, -(-prints.count() // 1_000_000))
-    found = pin(prints.join(suspects(prints, owners), ["part", "pos"], "left_semi"), "suspects")
+    owners = max(OWNERS, -(-docs.count() // OWNED))
+    sent = pin(fingerprints(docs, owners), "prints")
+    prints = sent.where("owner IS NULL").select("part", "pos", "doc_id", "n_points", "fp", "text_sha256")
+    found = pin(suspects(sent, owners), "suspects")
 
     # byte verification: the suspects' normalised texts, grouped by their bytes. The ids grow with
     # the corpus, so they are never broadcast, however few a small input has
@@ -161,21 +185,21 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def keepers(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
     Rows are found again by doc_id; where an id occurs more than once, by id and text.
     """
-    found = pin(dedup(docs), "dedup")
-    many = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id")
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    once = kept.join(many, kept["_id"].eqNullSafe(many["_id"]), "left_anti").hint("merge")
-    single = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(once["_id"]), "left_semi")
-    if many.isEmpty():
-        return single
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "").cast("binary"), 256)
-    again = docs.join(many, docs["doc_id"].cast("long").eqNullSafe(many["_id"]), "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"])
-    again = again.join(kept.withColumnRenamed("_sha", "_kept"), again["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.col("_sha") == F.col("_kept")), "left_semi")
-    return single.unionByName(again.drop("_sha"))
+    own, found = docs.columns, pin(dedup(docs), "dedup")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    many = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    kept = found.where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    once = kept.join(many, kept["id"].eqNullSafe(many["id"]), "left_anti").select("id").hint("merge")
+    stay = named.join(once, named["id"].eqNullSafe(once["id"]), "left_semi")
+    if not many.isEmpty():
+        again = named.join(many, named["id"].eqNullSafe(many["id"]), "left_semi").withColumn("sha", F.sha2(F.regexp_replace(F.coalesce("body", F.lit("")), SPACE, "").cast("binary"), 256))
+        again = again.dropDuplicates(["id", "sha"])
+        stay = stay.unionByName(again.join(kept, again["id"].eqNullSafe(kept["id"]) & (again["sha"] == kept["sha"]), "left_semi").drop("sha"))
+    return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

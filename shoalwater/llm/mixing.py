@@ -62,21 +62,21 @@ def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = E
     ``docs`` named like the new ones are replaced. ``size``: another measure than words.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    safe = {c: f"c{i}" for i, c in enumerate(own)}  # no column of the input can clash with a helper's
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select(*own, (word_count("text") if size is None else size).alias("size")).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, DIGITS))
-    narrow = sized.select("source", "_range", "size")
-    ranges = narrow.groupBy("source", "_range").agg(F.sum("size").alias("_range_size"))
-    target = targets(ranges.groupBy("source").agg(F.sum("_range_size").alias("source_size")), weights, share, epochs)
-    starts = ranges.withColumn("_start", F.sum("_range_size").over(W.partitionBy("source").orderBy("_range")) - F.col("_range_size"))
-    plan = starts.join(target.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).select(F.col("source").alias("_source"), F.col("_range").alias("_r"), "_start", "source_size", "target")
-    within = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", *(["text"] if "text" in own else [])).rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = placed.join(plan, placed["source"].eqNullSafe(plan["_source"]) & (placed["_range"] == plan["_r"]))
+    sized = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in safe.items()], (word_count("text") if size is None else size).alias("size"), F.col("source").alias("from"), key.alias("key")).withColumn("range", F.substring("key", 1, DIGITS))
+    ranges = sized.groupBy("from", "range").agg(F.sum("size").alias("range_size"))
+    target = targets(ranges.groupBy(F.col("from").alias("source")).agg(F.sum("range_size").alias("source_size")), weights, share, epochs)
+    starts = ranges.withColumn("start", F.sum("range_size").over(W.partitionBy("from").orderBy("range")) - F.col("range_size"))
+    plan = starts.join(target, F.col("from").eqNullSafe(F.col("source"))).select("source", F.col("range").alias("r"), "start", "source_size", "target")
+    within = W.partitionBy("from", "range").orderBy("key", safe["doc_id"], "size", *([safe["text"]] if "text" in own else [])).rowsBetween(W.unboundedPreceding, -1)
+    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(plan, placed["from"].eqNullSafe(plan["source"]) & (placed["range"] == plan["r"]))
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start") - F.col("_before")))
-    return joined.select(*own, "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("before")))
+    return joined.select(*[F.col(n).alias(c) for c, n in safe.items()], "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -85,16 +85,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     The document that a budget cuts gives its first words, joined by single spaces.
     """
     own = docs.columns
-    clash = {c: f"_own_{c}" for c in own if c in ("size", "source_size", "target", "taken")}
-    got = take(docs.withColumnsRenamed(clash), **options).where("taken > 0")
+    safe = {c: c if c in ("doc_id", "source", "text") else f"o{i}" for i, c in enumerate(own)}
+    got = take(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in safe.items()]), **options).where("taken > 0")
     part = F.col("taken") - F.floor(F.col("taken") / F.col("size")) * F.col("size")
     words = F.array_remove(F.split(F.col("text"), SPACE + "+"), "")
     cut = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")
     copies = F.concat(F.array_repeat(F.col("text"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
     out = got.withColumn("text", F.explode(copies))
     if "n_chars" in own:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in own])
+        out = out.withColumn(safe["n_chars"], F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[F.col(n).alias(c) for c, n in safe.items()])
 
 
 ORACLE = r"""

@@ -152,6 +152,19 @@ def test_exact_dedup(odd_docs):
         assert r["group_size"] == len(own) and r["keep_id"] == best["doc_id"] and (not r["kept"] or r["doc_id"] == best["doc_id"])
 
 
+def test_stages_take_columns_of_any_name(spark, make_text):
+    """Names that helpers use inside stay the user's; ids repeat, so rows are found again by text."""
+    names = "_key _source _range _before _r _start _own_size _sha _kept _id key range from start before sha id c0 c1 size taken".split()
+    rows = [(i // 2, make_text(i // 3, 20), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *[f"`{n}` string" for n in names]]))
+    for got in (exact_dedup.keepers(docs), mixing.mixed(docs), near_dedup.keepers(docs)):
+        assert got.columns == docs.columns
+        for r in got.collect():
+            number = r["_key"].removeprefix("_key")
+            assert all(r[n] == f"{n}{number}" for n in names)
+    assert exact_dedup.keepers(docs).count() == 4 and mixing.take(docs.drop("size", "taken")).count() == 12
+
+
 def test_exact_keepers(odd_docs, no_docs):
     kept = exact_dedup.keepers(odd_docs)
     texts = [re.sub(r"\s", "", r["text"] or "") for r in kept.collect()]
