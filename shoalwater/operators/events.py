@@ -92,7 +92,7 @@ def wind_run(rows: DataFrame, window_us: int = DAY_US, sector=exprs.SECTOR, buck
     good = rows.where(F.col("speed_kn").isNotNull() & (F.col("dir_deg").isNotNull() | (F.col("speed_kn") == 0))).withColumn("v", v)
     enough = good.groupBy("station").agg(F.count("*").alias("n")).where("n >= 2").select("station")
     b = F.floor(F.col("us") / bucket_us)
-    halo = F.when(F.floor((F.col("us") + window_us) / bucket_us) > b, F.array(b, b + 1)).otherwise(F.array(b))
+    halo = F.sequence(b, F.floor((F.col("us") + window_us) / bucket_us))
     cut = good.join(enough, "station").withColumn("bucket", F.explode(halo))
     w = W.partitionBy("station", "bucket").orderBy("us", "event_id")
     area = (F.col("v") + F.lag("v").over(w)) / 2 * ((F.col("us") - F.lag("us").over(w)) / HOUR_US)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs
 from ..session import pin
+from . import graph
 
 # ------------------------------------------------------------------------------- points and polygons
 
@@ -13,12 +14,15 @@ from ..session import pin
 def nearest_point(points: DataFrame, nodes: DataFrame, limit_km: float, least_depth: float = 0.5, cell: float = 0.15) -> DataFrame:
     """The nearest eligible node of each point within the limit: point, node, km (null beyond).
 
-    Both sides are keyed by grid cell; a point meets its own and the eight cells around it, which
-    hold every node within the limit (a cell is wider than the limit). No point meets all nodes.
+    Both sides are keyed by grid cell; a point meets the cells within the limit, in longitude as far
+    as its latitude asks for. No point meets all nodes. Longitudes are not wrapped at 180 degrees.
     """
     at = lambda c: F.floor(F.col(c) / cell)
     n = nodes.where(F.col("depth") >= least_depth).select(at("lat").alias("r"), at("lon").alias("c"), "node", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"))
-    around = points.withColumn("r", F.explode(F.sequence(at("lat") - 1, at("lat") + 1))).withColumn("c", F.explode(F.sequence(at("lon") - 1, at("lon") + 1)))
+    up = limit_km / 110.0  # a degree of latitude has at least 110.5 km
+    aside = F.lit(up) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + up)))
+    cells = lambda c, reach: F.explode(F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell)))
+    around = points.withColumn("r", cells("lat", F.lit(up))).withColumn("c", cells("lon", aside))
     km = exprs.haversine_km("lat", "lon", "nlat", "nlon")
     best = around.join(n, ["r", "c"]).withColumn("km", km).where(F.col("km") <= limit_km).groupBy("point").agg(F.min(F.struct("km", "node")).alias("m"))
     return points.select("point").join(best, "point", "left").select("point", "m.node", "m.km")
@@ -127,24 +131,18 @@ def distance_to_land(pixels: DataFrame, limit: int, value: str = "depth") -> Dat
 
 
 def components(pixels: DataFrame) -> DataFrame:
-    """4-connected components of the given pixels: row, col, label (smallest row * 2^20 + col).
+    """4-connected components of the given pixels: row, col, label (smallest row * 2^32 + col).
 
-    Labels are spread along whole runs of a row, then of a column, until nothing changes; each
-    round is pinned, only a sum reaches the driver.
+    Pixels are reduced to runs of a row, runs that touch are links of a graph, and its
+    components are found in a number of rounds that grows with the logarithm of a shape's length.
     """
-
-    def runs(df: DataFrame, line: str, along: str) -> DataFrame:
-        w = W.partitionBy(line).orderBy(along)
-        r = df.withColumn("_run", F.col(along) - F.row_number().over(w))
-        return r.withColumn("label", F.min("label").over(W.partitionBy(line, "_run"))).drop("_run")
-
-    now, before = pin(pixels.select("row", "col", (F.col("row") * (1 << 20) + F.col("col")).alias("label")), "labels"), None
-    while True:
-        total = now.agg(F.sum("label")).first()[0]
-        if total == before:
-            return now
-        before = total
-        now = pin(runs(runs(now, "row", "col"), "col", "row"), "labels")
+    own = pixels.select("row", "col", (F.shiftleft(F.col("row").cast("long"), 32) + F.col("col")).alias("id"))
+    run = F.min("id").over(W.partitionBy("row", "_run"))
+    runs = pin(own.withColumn("_run", F.col("col") - F.row_number().over(W.partitionBy("row").orderBy("col"))).select("row", "col", run.alias("run")), "runs")
+    below = runs.select((F.col("row") - 1).alias("row"), "col", F.col("run").alias("b"))
+    links = runs.join(below, ["row", "col"]).select(F.col("run").alias("a"), "b").distinct()
+    found = graph.components(links)
+    return runs.join(found.select(F.col("node").alias("run"), "component"), "run", "left").select("row", "col", F.coalesce("component", "run").alias("label"))
 
 
 def without_small(pixels: DataFrame, least: int) -> DataFrame:

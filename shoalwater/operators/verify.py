@@ -131,20 +131,34 @@ def site_validity(rows: DataFrame, key: str, bar_c: float = 3.0, least: int = 5)
 
 
 def average_rank(rows: DataFrame, value: str, keys: list[str], name: str = "rank", ranges: int = 64) -> DataFrame:
-    """Rows with the mean rank of their value within the keys; nulls are dropped.
+    """Rows with the mean rank of their value within the keys; nulls are dropped."""
+    ranked = value_ranks(rows, value, keys, ranges).select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return rows.join(ranked, [*keys, value])
 
-    Counts per distinct value are prefix-summed in two levels (ranges of values, then within a
-    range), so no window has to hold a whole key.
+
+def nth_smallest(rows: DataFrame, value: str, keys: list[str], n: Column, name: str) -> DataFrame:
+    """Per key, the n-th smallest value (from 1); ``n``: an expression over ``total``, the key's number of values."""
+    ranked = value_ranks(rows, value, keys)
+    total = ranked.groupBy(*keys).agg(F.sum("n").alias("total"))
+    asked = ranked.join(total, keys).withColumn("_k", n)
+    return asked.where((F.col("before") < F.col("_k")) & (F.col("_k") <= F.col("before") + F.col("n"))).select(*keys, F.col(value).alias(name))
+
+
+def value_ranks(rows: DataFrame, value: str, keys: list[str], ranges: int = 64) -> DataFrame:
+    """Per key and distinct value: n, how many rows have it, and before, how many have a smaller one.
+
+    Counts per distinct value are prefix-summed in two levels (ranges of values between the key's
+    approximate quantiles, then within a range), so no window has to hold a whole key and an
+    outlier does not crowd the others into one range.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
     joined = counts.join(span, keys) if keys else counts.join(F.broadcast(span))
-    cut = joined.withColumn("_r", F.coalesce(F.floor(F.try_divide((F.col(value) - F.col("_lo")) * ranges, F.col("_hi") - F.col("_lo"))), F.lit(0)))
+    cut = joined.withColumn("_r", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     sums = cut.groupBy(*keys, "_r").agg(F.sum("_n").alias("_s"))
     starts = sums.withColumn("_start", F.sum("_s").over(W.partitionBy(*keys).orderBy("_r")) - F.col("_s")).drop("_s")
     inner = W.partitionBy(*keys, "_r").orderBy(value)
-    ranked = cut.join(starts, [*keys, "_r"]).withColumn(name, F.col("_start") + F.sum("_n").over(inner) - F.col("_n") + (F.col("_n") + 1) / 2)
-    return rows.join(ranked.select(*keys, value, name), [*keys, value])
+    return cut.join(starts, [*keys, "_r"]).select(*keys, value, F.col("_n").alias("n"), (F.col("_start") + F.sum("_n").over(inner) - F.col("_n")).alias("before"))
 
 
 def spearman(rows: DataFrame, key: str, x: str, y: str, least: int = 10) -> DataFrame:

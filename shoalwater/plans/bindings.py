@@ -142,7 +142,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), ((k / n).cast("long") % len(values) + 1).cast("int"))
     return d.join(lab, k == F.col("_id")).select(
         "doc_id", pick(KINDS, 1).alias("kind"), pick(SPECIES, 1).alias("species"), (F.lit(19723) + k % 365).cast("int").alias("day"), pick(PRECISIONS, 3).alias("precision"),
-        F.when(k % 5 != 0, pick(PLACES, 2)).alias("place_id"), (F.col("quality") * 0.5 + 0.25).alias("confidence"), F.concat(F.lit("https://www."), "source", F.lit(".example.org/p/"), k.cast("string")).alias("source"), F.substring("text", 1, 40).alias("quote"), (2015 + k % 10).cast("int").alias("year"),
+        F.when(k % 5 != 0, pick(PLACES, 2)).alias("place_id"), (F.col("quality") * 0.5 + 0.25).alias("confidence"), F.concat(F.lit("https://www."), "source", F.lit(".example.org/p/"), k.cast("string")).alias("source"), F.col("text").alias("quote"), (2015 + k % 10).cast("int").alias("year"),
     )
 
 
@@ -159,7 +159,7 @@ def _sql_pick(values, n: int) -> str:
 
 
 LEDGER = f"""ledger AS (SELECT doc_id, {_sql_pick(KINDS, 1)} AS kind, {_sql_pick(SPECIES, 1)} AS species, (19723 + doc_id % 365)::INT AS day, {_sql_pick(PRECISIONS, 3)} AS precision,
-  CASE WHEN doc_id % 5 <> 0 THEN {_sql_pick(PLACES, 2)} END AS place_id, quality * 0.5::DOUBLE + 0.25 AS confidence, 'https://www.' || source || '.example.org/p/' || doc_id AS source, substr(text, 1, 40) AS quote, (2015 + doc_id % 10)::INT AS year
+  CASE WHEN doc_id % 5 <> 0 THEN {_sql_pick(PLACES, 2)} END AS place_id, quality * 0.5::DOUBLE + 0.25 AS confidence, 'https://www.' || source || '.example.org/p/' || doc_id AS source, text AS quote, (2015 + doc_id % 10)::INT AS year
   FROM documents JOIN labels USING (doc_id))"""
 
 

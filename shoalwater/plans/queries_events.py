@@ -234,11 +234,11 @@ def w06h(spark, d):
     return events.sessions(t.withColumn("top", top).where("top - temp_c >= 8"))
 
 
-@query("W-09", f"""WITH {READINGS_HOURLY}, {RUNS}, r AS (SELECT station AS rs, start_us, end_us FROM runs WHERE duration_h >= 6), q AS (SELECT event_id, station, us FROM readings WHERE event_id % 7 = 0), j AS (SELECT q.*, start_us AS run_us, end_us FROM q ASOF LEFT JOIN r ON q.station = r.rs AND q.us >= r.start_us)
+@query("W-09", f"""WITH {READINGS_HOURLY}, {RUNS}, r AS (SELECT station AS rs, start_us, end_us FROM runs WHERE duration_h >= 6), q AS (SELECT event_id, station, us FROM readings), j AS (SELECT q.*, start_us AS run_us, end_us FROM q ASOF LEFT JOIN r ON q.station = r.rs AND q.us >= r.start_us)
 SELECT station, us, run_us, CASE WHEN run_us IS NULL THEN 'neutral' WHEN us <= end_us THEN CASE WHEN us - run_us < 10 * {HOUR_US} THEN 'setup' ELSE 'peak' END WHEN us - end_us < 12 * {HOUR_US} THEN 'peak' WHEN us - end_us < 48 * {HOUR_US} THEN 'relaxation' ELSE 'neutral' END AS phase FROM j""")
 def w09(spark, d):
     r = readings_hourly(spark, d)
-    return events.phase_at(events.runs(r, 13.0), r.where("event_id % 7 = 0").select("station", "us"))
+    return events.phase_at(events.runs(r, 13.0), r.select("station", "us"))
 
 
 THINNED = TEMPS.replace("epoch_us(ts) AS us", f"epoch_us(ts) // {HOUR_US} * {HOUR_US} AS us")

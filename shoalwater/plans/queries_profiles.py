@@ -70,10 +70,10 @@ def arr06(spark, d):
     return r.select("node", F.round("g", 6).alias("gradient"), ops.depth_uncertainty(1.4, F.col("g")).alias("u")).select("node", "gradient", F.round("u.metres", 6).alias("metres"), "u.reason")
 
 
-@query("ARR-07", f"WITH {PROFILES} SELECT depth, round(avg(temp), 6) AS temp, count(*) AS n FROM levels WHERE abs(node * 60000000 - 9000000000) <= 5400000000 GROUP BY depth")
+@query("ARR-07", f"WITH {PROFILES} SELECT depth, round(avg(temp), 6) AS temp, count(*) AS n FROM levels WHERE abs(node % 1440 * 60000000 - 43200000000) <= 21600000000 GROUP BY depth")
 def arr07(spark, d):
-    p = profiles(spark, d).select((F.col("node") * 60_000_000).alias("us"), F.explode(F.arrays_zip("depths", "temps")).alias("l")).select("us", F.col("l.depths").alias("depth"), F.col("l.temps").alias("temp"))
-    return ops.mean_near(p, 9_000_000_000, 5_400_000_000).withColumn("temp", F.round("temp", 6))
+    p = profiles(spark, d).select((F.col("node") % 1440 * 60_000_000).alias("us"), F.explode(F.arrays_zip("depths", "temps")).alias("l")).select("us", F.col("l.depths").alias("depth"), F.col("l.temps").alias("temp"))
+    return ops.mean_near(p, 43_200_000_000, 21_600_000_000).withColumn("temp", F.round("temp", 6))
 
 
 @query("AGG-21", f"WITH {PROFILES}, m AS (SELECT label % 6 AS half_month, depth, avg(temp) AS temp FROM levels WHERE depth <= 12 GROUP BY ALL), levels2 AS (SELECT half_month AS node, depth, temp FROM m), s AS (SELECT node, depth AS z0, temp AS t0, lead(depth) OVER w AS z1, lead(temp) OVER w AS t1 FROM levels2 WINDOW w AS (PARTITION BY node ORDER BY depth)), f AS (SELECT node, arg_min(temp, depth) AS first, min(depth) AS top, count(*) AS n, avg(temp) FILTER (depth <= 3) AS surface FROM levels2 GROUP BY node HAVING count(*) >= 3), h AS (SELECT node, min(z0 + (12 - t0) / (t1 - t0) * (z1 - z0)) AS z FROM s WHERE NOT t0 <= 12 AND t1 <= 12 GROUP BY node) SELECT f.node AS half_month, n, round(surface, 6) AS surface, round(CASE WHEN first <= 12 THEN top ELSE z END, 6) AS isotherm_m FROM f LEFT JOIN h USING (node)")

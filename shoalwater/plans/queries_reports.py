@@ -22,10 +22,10 @@ def j11(spark, d):
     return ops.greedy_match(days(4.0), days(3.0))
 
 
-@query("J-17", f"WITH {GATE} SELECT site, part, day, lead_h, coalesce(persist, p_retailprice) AS persist FROM gate LEFT JOIN part ON part = p_partkey AND p_size > 25 WHERE site % 20 = 0")
+@query("J-17", f"WITH {GATE} SELECT site, part, day, lead_h, coalesce(persist, p_retailprice) AS persist FROM gate LEFT JOIN part ON part = p_partkey AND p_size > 25")
 def j17(spark, d):
     late = load(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("part"), "p_retailprice")
-    return gate_rows(spark, d).where("site % 20 = 0").join(late, "part", "left").select("site", "part", "day", "lead_h", F.coalesce("persist", "p_retailprice").alias("persist"))
+    return gate_rows(spark, d).join(late, "part", "left").select("site", "part", "day", "lead_h", F.coalesce("persist", "p_retailprice").alias("persist"))
 
 
 @query("J-18", f"WITH {TEMPS}, {DAILY} SELECT a.day, a.value - b.value AS delta FROM daily a JOIN daily b ON a.day = b.day WHERE a.station = 'view' AND b.station = 'click'")
@@ -52,11 +52,11 @@ def w27(spark, d):
     return ops.spaced(river(spark, d).select("river", "idx", cum.alias("cum")), 75)
 
 
-@query("FN-09", f"""WITH {POINTS}, p AS (SELECT point, lat, lon, unnest([15, 105, 172, 265, 355]) AS doy FROM points WHERE point % 50 = 0), s AS (SELECT *, unnest(range(0, 1440, 5)) AS m FROM p), a AS (SELECT *, radians(-23.44 * cos(2 * pi() / 365 * (doy + 10))) AS decl, radians((m - lon * 4) / 4 - 180 + lon) AS ha FROM s)
+@query("FN-09", f"""WITH {POINTS}, p AS (SELECT point, lat, lon, unnest([15, 105, 172, 265, 355]) AS doy FROM points), s AS (SELECT *, unnest(range(0, 1440, 5)) AS m FROM p), a AS (SELECT *, radians(-23.44 * cos(2 * pi() / 365 * (doy + 10))) AS decl, radians((m - lon * 4) / 4 - 180 + lon) AS ha FROM s)
 SELECT point, doy, min(m) AS rise, max(m) AS sets FROM a WHERE degrees(asin(sin(radians(lat)) * sin(decl) + cos(radians(lat)) * cos(decl) * cos(ha))) >= -0.833 GROUP BY point, doy""")
 def fn09(spark, d):
     days = F.explode(F.array(*[F.lit(x) for x in (15, 105, 172, 265, 355)]))
-    return ops.light_windows(points(spark, d).where("point % 50 = 0").withColumn("doy", days))
+    return ops.light_windows(points(spark, d).withColumn("doy", days))
 
 
 @query("AGG-23", f"""WITH {ERR}, s AS (SELECT site, day, avg(obs) AS obs, avg(fcst) + 1 AS raw, avg(fcst) AS corr FROM err GROUP BY ALL), l AS (SELECT *, CASE WHEN day - lag(day) OVER w = 1 THEN abs(obs - lag(obs) OVER w) END AS step FROM s WINDOW w AS (PARTITION BY site ORDER BY day))
@@ -85,12 +85,12 @@ def agg34(spark, d):
     return _rounded(ops.first_half_fit(s, "site"), "slope", "mae")
 
 
-@query("AGG-38", f"WITH {FLOWS}, r AS (SELECT gauge, day, q, median(q) OVER (PARTITION BY gauge ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS med, count(q) OVER (PARTITION BY gauge ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS n FROM flows) SELECT gauge, count(*) AS n, round(median(q / med), 6) AS ratio, round(avg((q / med > 1.2)::INT), 6) AS share FROM r WHERE n >= 4 AND day % 9 = 0 GROUP BY gauge")
+@query("AGG-38", f"WITH {FLOWS}, r AS (SELECT gauge, day, q, median(q) OVER (PARTITION BY gauge ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS med, count(q) OVER (PARTITION BY gauge ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS n FROM flows) SELECT gauge, count(*) AS n, round(median(q / med), 6) AS ratio, round(avg((q / med > 1.2)::INT), 6) AS share FROM r WHERE n >= 4 GROUP BY gauge")
 def agg38(spark, d):
     from .bindings import flows
 
     w = W.partitionBy("gauge").orderBy("day").rangeBetween(-7, -1)
-    r = flows(spark, d).withColumns({"med": F.percentile("q", F.lit(0.5)).over(w), "k": F.count("q").over(w)}).where("k >= 4 AND day % 9 = 0")
+    r = flows(spark, d).withColumns({"med": F.percentile("q", F.lit(0.5)).over(w), "k": F.count("q").over(w)}).where("k >= 4")
     ratio = F.col("q") / F.col("med")
     return r.groupBy("gauge").agg(F.count("*").alias("n"), F.round(F.median(ratio), 6).alias("ratio"), F.round(F.avg((ratio > 1.2).cast("int")), 6).alias("share"))
 
@@ -126,9 +126,9 @@ def agg51(spark, d):
     return _rounded(ops.published(r, spine, "site", 3.31), "value")
 
 
-@query("AGG-52", f"WITH {READINGS}, {TEMPS}, {DRIVE}, dr AS (SELECT station AS ds, us AS dus, drive FROM drive), t AS (SELECT event_id, station, us, temp_c FROM temps WHERE event_id % 3 = 0) SELECT t.event_id, t.station, dayofyear(DATE '1970-01-01' + (us // {DAY_US})::INT) AS doy, temp_c, round(drive, 6) AS drive FROM t ASOF LEFT JOIN dr ON t.station = dr.ds AND t.us >= dr.dus")
+@query("AGG-52", f"WITH {READINGS}, {TEMPS}, {DRIVE}, dr AS (SELECT station AS ds, us AS dus, drive FROM drive), t AS (SELECT event_id, station, us, temp_c FROM temps) SELECT t.event_id, t.station, dayofyear(DATE '1970-01-01' + (us // {DAY_US})::INT) AS doy, temp_c, round(drive, 6) AS drive FROM t ASOF LEFT JOIN dr ON t.station = dr.ds AND t.us >= dr.dus")
 def agg52(spark, d):
-    t = temps(spark, d).where("event_id % 3 = 0").select("event_id", "station", "us", "temp_c")
+    t = temps(spark, d).select("event_id", "station", "us", "temp_c")
     joined = events.asof_join(t, events.wind_run(readings(spark, d)), ["station"], ["drive"])
     doy = F.dayofyear(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("us") / DAY_US).cast("int")))
     return joined.select("event_id", "station", doy.alias("doy"), "temp_c", F.round("drive", 6).alias("drive"))

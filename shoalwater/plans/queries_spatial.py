@@ -118,7 +118,7 @@ def ras06(spark, d):
     return ops.reachable(p, 12, 60, 40, 10.0, "tile")
 
 
-@query("RAS-07", f"WITH RECURSIVE {PIXELS}, c AS (SELECT row, col FROM pixels WHERE depth >= 20), reach(row, col, label) AS (SELECT row, col, row * 1048576 + col FROM c UNION SELECT c.row, c.col, reach.label FROM reach JOIN c ON abs(c.row - reach.row) + abs(c.col - reach.col) = 1), l AS (SELECT row, col, min(label) AS label FROM reach GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM l GROUP BY label) SELECT row, col, label, n FROM l JOIN n USING (label) WHERE n >= 10")
+@query("RAS-07", f"WITH RECURSIVE {PIXELS}, c AS (SELECT row, col FROM pixels WHERE depth >= 20), reach(row, col, label) AS (SELECT row, col, row * 4294967296 + col FROM c UNION SELECT c.row, c.col, reach.label FROM reach JOIN c ON abs(c.row - reach.row) + abs(c.col - reach.col) = 1), l AS (SELECT row, col, min(label) AS label FROM reach GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM l GROUP BY label) SELECT row, col, label, n FROM l JOIN n USING (label) WHERE n >= 10")
 def ras07(spark, d):
     return ops.without_small(pixels(spark, d).where("depth >= 20"), 10)
 
@@ -225,10 +225,10 @@ def ras14(spark, d):
 LEAPS = [("steelhead", 3.4), ("coho", 2.2), ("chinook", 2.4), ("walleye", 0.6)]
 
 
-@query("FN-10", f"WITH {RIVER}, s AS (SELECT river, idx, (lag(z_cm) OVER w - z_cm) / 2 AS drop_m, width FROM river WINDOW w AS (PARTITION BY river ORDER BY idx)), l(species, leap) AS (VALUES ('steelhead', 3.4::DOUBLE), ('coho', 2.2), ('chinook', 2.4), ('walleye', 0.6)) SELECT river, idx, species, CASE WHEN drop_m IS NULL OR drop_m < 0 THEN NULL WHEN CASE WHEN width >= 15 THEN drop_m * 2 ELSE drop_m END <= leap THEN 'pass' ELSE 'barrier' END AS verdict FROM s, l WHERE idx % 25 = 1")
+@query("FN-10", f"WITH {RIVER}, s AS (SELECT river, idx, (lag(z_cm) OVER w - z_cm) / 2 AS drop_m, width FROM river WINDOW w AS (PARTITION BY river ORDER BY idx)), l(species, leap) AS (VALUES ('steelhead', 3.4::DOUBLE), ('coho', 2.2), ('chinook', 2.4), ('walleye', 0.6)) SELECT river, idx, species, CASE WHEN drop_m IS NULL OR drop_m < 0 THEN NULL WHEN CASE WHEN width >= 15 THEN drop_m * 2 ELSE drop_m END <= leap THEN 'pass' ELSE 'barrier' END AS verdict FROM s, l")
 def fn10(spark, d):
     w = W.partitionBy("river").orderBy("idx")
-    s = river(spark, d).withColumn("drop_m", (F.lag("z_cm").over(w) - F.col("z_cm")) / 2).where("idx % 25 = 1")
+    s = river(spark, d).withColumn("drop_m", (F.lag("z_cm").over(w) - F.col("z_cm")) / 2)
     leaps = spark.createDataFrame(LEAPS, "species string, leap double")
     return s.join(F.broadcast(leaps)).select("river", "idx", "species", ops.passable(F.col("drop_m"), F.col("width"), F.col("leap")).alias("verdict"))
 

@@ -53,10 +53,10 @@ def agg03(spark, d):
     return errors(spark, d).groupBy("site").agg(F.count(p).alias("n"), F.round(F.avg(F.abs(p)), 6).alias("mae"), F.round(F.sqrt(F.avg(p * p)), 6).alias("rmse"), (F.round(F.avg(p), 6) + F.lit(0.0)).alias("bias"))
 
 
-@query("AGG-04", f"""WITH {GATE}, f AS (SELECT day, max(fcst) >= 50.5 AS f, max(obs) >= 50 AS o FROM gate WHERE site % 2 = 0 GROUP BY day), c AS (SELECT count(*) FILTER (f AND o) AS hits, count(*) FILTER (o AND NOT f) AS misses, count(*) FILTER (f AND NOT o) AS false_alarms, count(*) FILTER (NOT f AND NOT o) AS correct_negatives FROM f)
+@query("AGG-04", f"""WITH {GATE}, f AS (SELECT day, max(fcst) >= 50.5 AS f, max(obs) >= 50 AS o FROM gate GROUP BY day), c AS (SELECT count(*) FILTER (f AND o) AS hits, count(*) FILTER (o AND NOT f) AS misses, count(*) FILTER (f AND NOT o) AS false_alarms, count(*) FILTER (NOT f AND NOT o) AS correct_negatives FROM f)
 SELECT *, hits / nullif(hits + misses, 0)::DOUBLE AS pod, false_alarms / nullif(hits + false_alarms, 0)::DOUBLE AS far FROM c""")
 def agg04(spark, d):
-    g = gate_rows(spark, d).where("site % 2 = 0")
+    g = gate_rows(spark, d)
     return verify.contingency(g.where("fcst >= 50.5"), g.where("obs >= 50"), g)
 
 
@@ -175,8 +175,8 @@ def agg22(spark, d):
 SELECT lead_h, n, round(mae, 6) AS mae, round(CASE WHEN n >= 20 THEN p90 END, 6) AS p90, round((SELECT regr_slope(abs(f), lead_h) FROM err), 9) AS slope FROM l""")
 def agg24(spark, d):
     e = errors(spark, d).withColumn("a", F.abs("f"))
-    ordered = F.sort_array(F.collect_list("a"))
-    by_lead = e.groupBy("lead_h").agg(F.count("*").alias("n"), F.avg("a").alias("mae"), F.get(ordered, F.bround((F.count("*") - 1) * F.lit(0.9)).cast("int")).alias("p90"))
+    p90 = verify.nth_smallest(e, "a", ["lead_h"], F.bround((F.col("total") - 1) * F.lit(0.9)).cast("long") + 1, "p90")
+    by_lead = e.groupBy("lead_h").agg(F.count("*").alias("n"), F.avg("a").alias("mae")).join(p90, "lead_h")
     slope = e.agg(F.regr_slope("a", "lead_h").alias("slope"))
     return by_lead.join(F.broadcast(slope)).select("lead_h", "n", F.round("mae", 6).alias("mae"), F.round(F.when(F.col("n") >= 20, F.col("p90")), 6).alias("p90"), F.round("slope", 9).alias("slope"))
 
@@ -189,10 +189,10 @@ def agg25(spark, d):
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("model_off", "obs_off")})
 
 
-@query("AGG-26", f"""WITH {GATE}, s AS (SELECT day, avg(fcst) AS r, avg(obs) AS o FROM gate WHERE site % 4 = 0 GROUP BY day), l AS (SELECT day - lag(day) OVER (ORDER BY day) AS gap, r - lag(r) OVER (ORDER BY day) AS dr, o - lag(o) OVER (ORDER BY day) AS do_ FROM s)
+@query("AGG-26", f"""WITH {GATE}, s AS (SELECT day, avg(fcst) AS r, avg(obs) AS o FROM gate GROUP BY day), l AS (SELECT day - lag(day) OVER (ORDER BY day) AS gap, r - lag(r) OVER (ORDER BY day) AS dr, o - lag(o) OVER (ORDER BY day) AS do_ FROM s)
 SELECT count(*) AS n, round(stddev_pop(dr), 6) AS ref_sd, round(stddev_pop(do_), 6) AS obs_sd, CASE WHEN count(*) >= 30 THEN stddev_pop(dr) / stddev_pop(do_) >= 0.5 END AS usable FROM l WHERE gap = 1""")
 def agg26(spark, d):
-    s = gate_rows(spark, d).where("site % 4 = 0").groupBy("day").agg(F.avg("fcst").alias("r"), F.avg("obs").alias("o")).withColumn("station", F.lit("all"))
+    s = gate_rows(spark, d).groupBy("day").agg(F.avg("fcst").alias("r"), F.avg("obs").alias("o")).withColumn("station", F.lit("all"))
     one, two = (events.day_changes(s.select("station", "day", F.col(c).alias("value"))).select("day", F.col("change").alias(f"d{c}")) for c in "ro")
     j = one.join(two, "day")
     return j.agg(F.count("*").alias("n"), F.round(F.stddev_pop("dr"), 6).alias("ref_sd"), F.round(F.stddev_pop("do"), 6).alias("obs_sd"), F.when(F.count("*") >= 30, F.stddev_pop("dr") / F.stddev_pop("do") >= 0.5).alias("usable"))
@@ -239,11 +239,11 @@ def agg41(spark, d):
     return errors(spark, d).groupBy("lead_h").agg(q(0.25).alias("p25"), q(0.9).alias("p90"), q(0.99).alias("p99"))
 
 
-@query("AGG-42", f"WITH {ERR} SELECT site, part, day, lead_h, coalesce((abs(p) >= 5)::INT + (abs(p) >= 10)::INT + (abs(p) >= 20)::INT, 0) AS band FROM err WHERE site % 10 = 0")
+@query("AGG-42", f"WITH {ERR} SELECT site, part, day, lead_h, coalesce((abs(p) >= 5)::INT + (abs(p) >= 10)::INT + (abs(p) >= 20)::INT, 0) AS band FROM err")
 def agg42(spark, d):
     edges = F.array(*[F.lit(float(x)) for x in (5, 10, 20)])
     band = F.when(F.col("p").isNull(), 0).otherwise(F.size(F.filter(edges, lambda x: x <= F.abs(F.col("p")))))
-    return errors(spark, d).where("site % 10 = 0").select("site", "part", "day", "lead_h", band.alias("band"))
+    return errors(spark, d).select("site", "part", "day", "lead_h", band.alias("band"))
 
 
 @query("AGG-49", f"WITH {TEMPS} SELECT station, (us - 5 * {HOUR_US}) // {DAY_US} AS day, min(temp_c) AS low, count(*) AS n FROM temps GROUP BY ALL HAVING count(*) >= 20")
@@ -269,9 +269,9 @@ def pf08(spark, d):
 RANK = "rank() OVER (PARTITION BY site ORDER BY {0}) + (count(*) OVER (PARTITION BY site, {0}) - 1) / 2.0::DOUBLE"
 
 
-@query("STAT-01", f"WITH {ERR} SELECT site, part, day, lead_h, {RANK.format('obs')} AS rank FROM err WHERE site % 5 = 0")
+@query("STAT-01", f"WITH {ERR} SELECT site, part, day, lead_h, {RANK.format('obs')} AS rank FROM err")
 def stat01(spark, d):
-    return verify.average_rank(errors(spark, d).where("site % 5 = 0").select("site", "part", "day", "lead_h", "obs"), "obs", ["site"]).select("site", "part", "day", "lead_h", F.col("rank").cast("double").alias("rank"))
+    return verify.average_rank(errors(spark, d).select("site", "part", "day", "lead_h", "obs"), "obs", ["site"]).select("site", "part", "day", "lead_h", F.col("rank").cast("double").alias("rank"))
 
 
 @query("STAT-02", f"WITH {ERR}, k AS (SELECT site, {RANK.format('f')} AS rx, {RANK.format('p')} AS ry FROM err WHERE p IS NOT NULL) SELECT site, count(*) AS n, round(corr(rx, ry), 6) AS rho, round(abs(corr(rx, ry)) * sqrt(count(*) - 1), 6) AS z FROM k GROUP BY site")

@@ -34,10 +34,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (a local session) a folder is made for it.
+    Only a local session may leave ``spark.checkpoint.dir`` unset: a folder is made for it.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")

@@ -28,13 +28,13 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     spark = stream.sparkSession
     out, state = new_path(spark, name), new_path(spark, f"{name}-state")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(out)
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")  # a batch that runs again replaces what it wrote
 
-    spark.createDataFrame([], stream.schema).write.parquet(out)  # a stream without rows has a table, too
+    write(spark.createDataFrame([], stream.schema), -1)  # a stream without rows has a table, too
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def keyed_append(stream: DataFrame, key: list[str], delay: str = "1 hour") -> DataFrame:
