@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from shoalwater.operators import graph
 from shoalwater.llm import common, embedding_dedup, exact_dedup, html_extract, language, mixing, near_dedup, packing, quality, tokens, url_filter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -404,7 +405,7 @@ def test_html_extraction(spark, make_text):
 
 @pytest.mark.parametrize("hubs", [3, 1000])
 def test_components(spark, monkeypatch, hubs):
-    monkeypatch.setattr(common, "HUBS", hubs)
+    monkeypatch.setattr(graph, "HUBS", hubs)
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (21, 21)] + [(30, 31 + i) for i in range(200)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
     assert {got[i] for i in (1, 2, 3, 7, 8, 9)} == {1} and got[21] == got[20] == 20 and all(got[30 + i] == 30 for i in range(201))
