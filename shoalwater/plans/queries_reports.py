@@ -28,6 +28,27 @@ def j17(spark, d):
     return gate_rows(spark, d).join(late, "part", "left").select("site", "part", "day", "lead_h", F.coalesce("persist", "p_retailprice").alias("persist"))
 
 
+ANCHOR = "a AS (SELECT o_orderkey AS id, month(o_orderdate) AS month, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE (o_orderkey % 20)::VARCHAR END AS cloud, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey * 37 % 300)::VARCHAR END AS dist, (o_orderkey % 12 - 4)::VARCHAR AS delta, CASE WHEN o_custkey % 17 = 0 THEN '' ELSE (o_custkey % 30)::VARCHAR END AS landsat FROM orders)"
+
+
+@query("PF-05", f"WITH {ANCHOR} SELECT id FROM a WHERE month BETWEEN 7 AND 9 AND CASE WHEN cloud = '' THEN 0 ELSE TRY_CAST(cloud AS DOUBLE) END <= 10 AND coalesce(TRY_CAST(dist AS DOUBLE), 0) <= 150 AND TRY_CAST(delta AS DOUBLE) BETWEEN -3 AND 6 AND TRY_CAST(landsat AS DOUBLE) BETWEEN 2 AND 26")
+def pf05(spark, d):
+    k, c, text = F.col("o_orderkey"), F.col("o_custkey"), "string"
+    cloud = F.when(k % 7 == 0, "").when(k % 11 == 0, "n/a").otherwise((k % 20).cast(text))
+    rows = load(spark, d, "orders").select(k.alias("id"), F.month("o_orderdate").alias("month"), cloud.alias("cloud"), F.when(k % 13 != 0, (k * 37 % 300).cast(text)).alias("dist"), (k % 12 - 4).cast(text).alias("delta"), F.when(c % 17 == 0, "").otherwise((c % 30).cast(text)).alias("landsat"))
+    return ops.anchor_rows(rows).select("id")
+
+
+@query("STAT-11", f"""WITH {GATE}, v AS (SELECT year(DATE '1970-01-01' + day::INT) AS year, dayofyear(DATE '1970-01-01' + day::INT) AS doy, avg(obs) AS value FROM gate GROUP BY ALL), o AS (SELECT year, arg_max(doy, (value, doy)) AS doy FROM v WHERE doy BETWEEN 60 AND 300 GROUP BY year), b AS (SELECT year, unnest(range(doy, doy + 7)) AS doy, value FROM v), m AS (SELECT year, doy, avg(value) AS m FROM b GROUP BY ALL HAVING count(*) = 7),
+n AS (SELECT doy, row_number() OVER (ORDER BY year) AS k FROM o), w AS (SELECT rep, year, (rep * 7919 + year * 104729 + 1) % 1000003 AS h FROM o, range(1, 501) t(rep)), s AS (SELECT rep, year, row_number() OVER (PARTITION BY rep ORDER BY h * h % 1000003, year) AS k FROM w), p AS (SELECT rep, year, doy FROM s JOIN n USING (k) UNION ALL SELECT 0, year, doy FROM o),
+e AS (SELECT rep, stddev_samp(m) AS sd, count(*) AS n FROM p JOIN m USING (year, doy) GROUP BY rep HAVING count(*) >= 5) SELECT z.n, round(z.sd, 6) AS sd, count(*) AS valid, round(avg((e.sd <= z.sd)::INT), 6) AS p FROM e, (SELECT * FROM e WHERE rep = 0) z WHERE e.rep > 0 GROUP BY z.n, z.sd""")
+def stat11(spark, d):
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day"))
+    days = gate_rows(spark, d).groupBy(F.year(date).alias("year"), F.dayofyear(date).alias("doy")).agg(F.avg("obs").alias("value"))
+    onsets = days.where("doy BETWEEN 60 AND 300").groupBy("year").agg(F.max(F.struct("value", "doy"))["doy"].alias("doy"))
+    return _rounded(ops.permuted_spread(days, onsets, 500), "sd", "p")
+
+
 @query("J-18", f"WITH {TEMPS}, {DAILY} SELECT a.day, a.value - b.value AS delta FROM daily a JOIN daily b ON a.day = b.day WHERE a.station = 'view' AND b.station = 'click'")
 def j18(spark, d):
     v = daily(spark, d)
