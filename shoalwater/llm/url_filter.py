@@ -161,7 +161,8 @@ def _judge_by_join(urls: DataFrame, with_keys: DataFrame, lists: dict[str, DataF
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
-    return spark.createDataFrame([(a, h + p) for a, h, p in rules], "action string, key string")
+    rows = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(h + p).alias("key")) for a, h, p in rules])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
