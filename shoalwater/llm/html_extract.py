@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import blocks_of, table
 
 #: Bound of the sample: pages, and characters of a page, that train the trees.
 SAMPLE, SAMPLE_CHARS = 300, 60_000
@@ -29,8 +29,8 @@ TREES, LEVELS, RATE, BINS = 50, 4, 0.25, 32
 
 # HTML's elements by role, and words that sites use in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea noscript template iframe svg annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var object math mrow mi mo mn ms mtext mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAGS = ("p", "h", "li", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "table", "list", "quote", "control", "other")
@@ -370,8 +370,9 @@ def extract(pages: DataFrame, trees: Trees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sources = b.column(2).to_pylist()
-            for a in range(0, len(sources), 200):
-                parsed = [Page(s or "") for s in sources[a : a + 200]]
+            # by size, too: a page's features take about as many bytes as its html times a small factor
+            for a, z in ((i, min(i + 200, z)) for a, z in blocks_of([s or "" for s in sources], 2_000_000) for i in range(a, z, 200)):
+                parsed = [Page(s or "") for s in sources[a:z]]
                 x = [p.features() for p in parsed]
                 scores = np.split(trees.logits(np.concatenate(x)), np.cumsum([len(m) for m in x])[:-1])
                 texts = [p.text(s) for p, s in zip(parsed, scores)]

@@ -389,6 +389,20 @@ def test_html_parser():
     assert [t for _, t, _ in p.runs] == ["a", "b & cd e", "f", "g", "h"]
 
 
+def test_html_formulas_are_text():
+    p = html_extract.Page("<p>We set <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math> to zero, <object>a plot</object>.")
+    assert [t for _, t, _ in p.runs] == ["We set x2 to zero, a plot."]
+
+
+def test_html_repeated_and_very_long_pages(spark, make_text):
+    page = lambda n: f"<html><body><nav><a href=/>home</a></nav><article>{''.join(f'<p>{make_text(i, 40)}.</p>' for i in range(n))}</article></body></html>"
+    rows = [(i, "u", page(4 + i % 3)) for i in range(60)] + [(7, "u", page(5)), (7, "u", page(5)), (900, "u", page(9000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.extract(pages, html_extract.train(pages)).collect()
+    assert len(got) == len(rows) and len({r["text"] for r in got if r["page_id"] == 7}) <= 2
+    assert next(r["text"] for r in got if r["page_id"] == 900) == " ".join(make_text(i, 40) + "." for i in range(9000))
+
+
 def test_html_extraction(spark, make_text):
     page = lambda i, body: f"<html><head><title>t{i}</title></head><body><nav><ul><li><a href=/>home</a><li><a href=/x>{make_text(i, 2)}</a></ul></nav><div class='ad'>{make_text(i + 7, 8)}</div><article><h1>{make_text(i, 5)}</h1>{body}</article><footer>&copy; {make_text(i, 9)}</footer></body></html>"
     bodies = {i: [make_text(i + k, 10 + (i * 7 + k * 11) % 60) + "." for k in range(1 + i % 5)] for i in range(120)}
