@@ -136,6 +136,40 @@ def average_rank(rows: DataFrame, value: str, keys: list[str], name: str = "rank
     return rows.join(ranked, [*keys, value])
 
 
+def correction_families(rows: DataFrame, least: int = 20, smooth: int = 7) -> DataFrame:
+    """Leave-one-group-out error of corrections of x towards y: group, kind, n, mae.
+
+    ``rows``: group, x, y, w, doy, without nulls. raw, offset, linear, linear_wind (x and w) and linear_doy (the
+    linear one plus its mean error within ``smooth`` days of the year; days without rows are not
+    filled). Each is fitted on all other groups' sums, so the rows are read once to fit and once
+    to score; groups of fewer than ``least`` rows, or with fewer outside, are skipped.
+    """
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    sums = {"n": F.count("*"), "x": F.sum(x), "y": F.sum(y), "w": F.sum(w), "xx": F.sum(x * x), "xy": F.sum(x * y), "xw": F.sum(x * w), "ww": F.sum(w * w), "wy": F.sum(w * y)}
+    own = rows.groupBy("group").agg(*[s.alias(f"s_{c}") for c, s in sums.items()])
+    every = own.agg(*[F.sum(f"s_{c}").alias(f"t_{c}") for c in sums])
+    rest = own.join(F.broadcast(every)).where((F.col("s_n") >= least) & (F.col("t_n") - F.col("s_n") >= least))
+    rest = rest.select("group", *[(F.col(f"t_{c}") - F.col(f"s_{c}")).alias(f"r_{c}") for c in sums])
+    r = lambda c: F.col(f"r_{c}")
+    m = lambda a, b: r("xw" if {a, b} == {"x", "w"} else a + b) - r(a) * r(b) / r("n")
+    wy, xy, xw, xx, ww = r("wy") - r("w") * r("y") / r("n"), m("x", "y"), m("x", "w"), m("x", "x"), m("w", "w")
+    det = xx * ww - xw * xw
+    fit = rest.select("group", ((r("y") - r("x")) / r("n")).alias("off"), F.try_divide(xy, xx).alias("a"), F.try_divide(xy * ww - wy * xw, det).alias("bx"), F.try_divide(wy * xx - xy * xw, det).alias("bw"), *[(r(c) / r("n")).alias(f"m_{c}") for c in "xyw"])
+    fit = fit.withColumn("b", F.col("m_y") - F.col("a") * F.col("m_x")).withColumn("b0", F.col("m_y") - F.col("bx") * F.col("m_x") - F.col("bw") * F.col("m_w"))
+
+    by_day = rows.groupBy("group", "doy").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    all_days = by_day.groupBy("doy").agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "sx", "sy")])
+    held = fit.select("group", "a", "b").join(F.broadcast(all_days))  # at most 366 days
+    left = held.join(by_day, ["group", "doy"], "left").select("group", "doy", "a", "b", *[(F.col(f"t_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in ("n", "sx", "sy")]).where("n > 0")
+    error = left.select("group", "doy", ((F.col("sy") - F.col("a") * F.col("sx") - F.col("b") * F.col("n")) / F.col("n")).alias("e"))
+    season = error.select("group", "doy", F.avg("e").over(W.partitionBy("group").orderBy("doy").rangeBetween(-smooth, smooth)).alias("season"))
+
+    linear = F.col("a") * x + F.col("b")
+    kinds = {"raw": x, "offset": x + F.col("off"), "linear": linear, "linear_wind": F.col("b0") + F.col("bx") * x + F.col("bw") * w, "linear_doy": linear + F.coalesce("season", F.lit(0.0))}
+    scored = rows.join(fit, "group").join(season, ["group", "doy"], "left").groupBy("group").agg(F.count("*").alias("n"), *[F.avg(F.abs(p - y)).alias(k) for k, p in kinds.items()])
+    return scored.select("group", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("mae")) for k in kinds])).alias("s")).select("group", "s.kind", "n", "s.mae")
+
+
 def nth_smallest(rows: DataFrame, value: str, keys: list[str], n: Column, name: str) -> DataFrame:
     """Per key, the n-th smallest value (from 1); ``n``: an expression over ``total``, the key's number of values."""
     ranked = value_ranks(rows, value, keys)
