@@ -5,7 +5,8 @@ prefix of the path (``example.net/en/``). The key universe is every key of the c
 filter, over the listed keys, has known false positives; the second filter encodes those,
 the third the listed keys that the second wrongly holds, and so on until a level has none. A
 key is listed if the first filter that lacks it is an even one (counting from 1). The filters
-are literals in the plan: judging needs no join.
+are literals in the plan: judging needs no join. Long lists are dealt by a hash of the key to
+parts of a bounded size, each with cascades of its own, and the pages are judged part by part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import pin, table
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Hosts that the method blocks where no rule fits, as (action, host, path).
 LISTED = (("block", "spam-farm.example.org", "/"), ("block", "spam-farm.example.com", "/"))
-#: Bits that all filters of a cascade may have; beyond, listed keys are joined instead.
+#: Bits that the filters of one pass over the pages are to have; longer lists take more passes.
 MAX_BITS = 1 << 24
 #: Bits of a byte in a filter's literal: bytes stay below 128, so that each is one character.
 BITS = 7
@@ -59,7 +60,7 @@ def _build(keys: DataFrame, n: int, level: int, rate: float) -> tuple[str, int,
     """A filter over ``keys``: its bytes in hex, its bits and its hash functions.
 
     The set bits are combined on the map side by byte of the filter; what reaches the driver is
-    the filter, whose size is bounded by ``MAX_BITS``.
+    the filter, whose size ``parts_for`` keeps near ``MAX_BITS``.
     """
     k = max(1, round(math.log2(1 / rate)))
     m = max(64, math.ceil(n * k / math.log(2)))
@@ -89,21 +90,17 @@ class Cascade:
     nulls; a null key is in no list. An empty list holds nothing.
     """
 
-    def __init__(self, universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS):
+    def __init__(self, universe: DataFrame, listed: DataFrame):
         both = universe.select("key", F.lit(0).alias("l")).union(listed.select("key", F.lit(1).alias("l"))).where("key IS NOT NULL").groupBy("key").agg(F.max("l").alias("l"))
         size = both.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("in"), F.coalesce(F.sum(1 - F.col("l")), F.lit(0)).alias("out")).first()
         n, rest = int(size["in"]), int(size["out"])
         self.levels: list[tuple[str, int, int]] = []
-        self.bits = 0
         if not n:
             return
         inside, outside = listed.where("key IS NOT NULL").distinct(), None
         rate = max(1e-9, min(0.5, n / max(1, rest) / math.sqrt(2)))
         while n:
             level = len(self.levels)
-            self.bits += math.ceil(n * max(1, round(math.log2(1 / rate))) / math.log(2))
-            if self.bits > max_bits:
-                raise OverflowError(f"a cascade needs over {max_bits} bits")
             self.levels.append(_build(inside, n, level, rate))
             held = _holds(level, self.levels[-1], F.col("key"))
             # the first level's false positives are found in one pass over the universe
@@ -119,6 +116,19 @@ class Cascade:
         return answer
 
 
+def parts_for(universe: DataFrame, lists: list[DataFrame], max_bits: int) -> int:
+    """Parts of the key space whose cascades have about ``max_bits`` bits together.
+
+    A first level takes log2(outside / inside) hash functions, the later ones about three bits a key.
+    """
+    outside, bits = max(1, universe.count()), 0.0
+    for df in lists:
+        n = df.where("key IS NOT NULL").distinct().count()
+        if n:
+            bits += n * (max(1.0, math.log2(outside / n) + 0.5) / math.log(2) + 3)
+    return max(1, math.ceil(bits / max_bits))
+
+
 def judge(pages: DataFrame, rules: DataFrame, path_lengths: list[int], listed: DataFrame | None = None, default: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict of each row of ``pages`` (page_id, url).
 
@@ -126,40 +136,32 @@ def judge(pages: DataFrame, rules: DataFrame, path_lengths: list[int], listed: D
     ``path_lengths``: the lengths of the keys' paths. The longest fitting rule gives rule and
     verdict; else the longest fitting listed key gives the verdict with a null rule; else
     ``default``. Null urls and urls without `://` have empty host and path and fit nothing.
-    Repeated rows give repeated results; an empty table gives an empty one. Where the lists are
-    too long for filters in a plan, keys are looked up by a join.
+    Repeated rows give repeated results; an empty table gives an empty one. Lists of over
+    ``max_bits`` bits of filters take one pass over the pages for each part of the keys.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    with_keys = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), path_lengths))
+    best = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), path_lengths))
     lists = {"rule": rules, "listed": listed} if listed is not None else {"rule": rules}
     # pinned: every cascade and each of its levels reads the keys, the pages are read once
-    universe = pin(with_keys.select(F.explode("keys").alias("key")).distinct(), "universe")
-    try:
-        cascades = {(name, action): Cascade(universe, df.where(F.col("action") == action).select("key"), max_bits) for name, df in lists.items() for action in ("block", "allow")}
-    except OverflowError:
-        return _judge_by_join(urls, with_keys, lists, default)
-
-    def longest(name: str, action: str) -> Column:
-        found = F.filter("keys", lambda k: cascades[name, action].contains(k))
-        return F.coalesce(F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(action).alias("action")))), F.struct(F.lit(-1).alias("n"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("action")))
-
-    best = with_keys
-    for name in lists:
-        best = best.withColumn(f"_{name}", F.greatest(longest(name, "block"), longest(name, "allow")))
+    universe = pin(best.select(F.explode("keys").alias("key")).distinct(), "universe")
+    parts = parts_for(universe, list(lists.values()), max_bits)
+
+    def longest(cascades: dict, name: str, action: str, part) -> Column:
+        found = F.filter("keys", lambda k: part(k) & cascades[name, action].contains(k))
+        return F.coalesce(F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(action).alias("action")))), nothing)
+
+    nothing = F.struct(F.lit(-1).alias("n"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("action"))
+    for i in range(parts):
+        part = (lambda k, i=i: F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(parts)) == i) if parts > 1 else (lambda k: F.lit(True))
+        cascades = {(name, action): Cascade(universe.where(part(F.col("key"))), df.where((F.col("action") == action) & part(F.col("key"))).select("key")) for name, df in lists.items() for action in ("block", "allow")}
+        for name in lists:
+            before = [F.col(f"_{name}")] if i else []
+            best = best.withColumn(f"_{name}", F.greatest(*before, longest(cascades, name, "block", part), longest(cascades, name, "allow", part)))
+        if i + 1 < parts:  # a plan holds the filters of one part only
+            best = pin(best, "judged")
     return best.select("page_id", "host", "path", F.col("_rule.key").alias("rule"), F.coalesce(*[F.col(f"_{name}.action") for name in lists], F.lit(default)).alias("verdict"))
 
 
-def _judge_by_join(urls: DataFrame, with_keys: DataFrame, lists: dict[str, DataFrame], default: str) -> DataFrame:
-    """For lists beyond the size that a plan can hold: each distinct (host, path) joins its keys."""
-    sites = with_keys.select("host", "path", "keys").distinct()
-    keys = sites.select("host", "path", F.explode("keys").alias("key"))
-    best = sites.select("host", "path")
-    for name, df in lists.items():
-        found = keys.join(df.select("key", "action").distinct(), "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias(f"_{name}"))
-        best = best.join(found, ["host", "path"], "left")
-    return urls.join(best, ["host", "path"]).select("page_id", "host", "path", F.col("_rule.key").alias("rule"), F.coalesce(*[F.col(f"_{name}.action") for name in lists], F.lit(default)).alias("verdict"))
-
-
 def rule_table(spark: SparkSession, rules) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(h + p).alias("key")) for a, h, p in rules])
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")

@@ -30,7 +30,7 @@ def test_url_rules(spark):
     urls = {1: "http://A.Net/x", 2: "https://example.NET/en/1?q", 3: "http://m.example.net/de/", 4: "http://example.com/de/a#b", 5: "http://www.org/fr/", 6: "http://badnet/x", 7: "net", 8: None, 9: "http://net", 10: "x://spam-farm.example.org/a", 11: "http://example.org/en"}
     pages = spark.createDataFrame([(k, u, "verdict") for k, u in urls.items()], "page_id long, url string, verdict string")
     rules, listed = url_filter.rule_table(spark, url_filter.RULES), url_filter.rule_table(spark, url_filter.LISTED)
-    for most in (url_filter.MAX_BITS, 1):  # the cascade, and the join beyond its size
+    for most in (url_filter.MAX_BITS, 20):  # in one part, and in several
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, [1, 4], listed, max_bits=most).collect()}
         assert got[1] == ("a.net", "/x", "net/", "block") and got[2] == ("example.net", "/en/1", "example.net/en/", "allow")
         assert got[3][2:] == ("net/", "block") and got[4] == ("example.com", "/de/a", "example.com/de/", "block") and got[5][2:] == ("org/fr/", "allow")
@@ -49,6 +49,22 @@ def test_cascade_is_exact(spark):
     assert not url_filter.Cascade(universe, listed.limit(0)).levels
 
 
+def test_long_lists_are_judged_part_by_part(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id % 700, '.example.org/', repeat('x', id % 3)) AS url")
+    listed = spark.range(0, 700, 3).selectExpr("'block' AS action", "concat('h', id, '.example.org/') AS key")
+    none = listed.limit(0)
+    assert url_filter.parts_for(listed.select("key"), [none, listed], 500) > 2
+    one, many = ({(r["page_id"], r["verdict"]) for r in url_filter.judge(pages, none, [1], listed, max_bits=m).collect()} for m in (url_filter.MAX_BITS, 500))
+    assert one == many == {(i, "block" if i % 700 % 3 == 0 else "allow") for i in range(3000)}
+
+
+def test_very_long_and_repeated_urls(spark):
+    long_ = "http://" + "a." * 300 + "net/" + "y" * 200_000
+    pages = spark.createDataFrame([(1, long_), (1, long_), (2, "http://" + "b" * 100_000)], "page_id long, url string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES), [1, 4]).collect())
+    assert got == [(1, "net/", "block"), (1, "net/", "block"), (2, None, "allow")]
+
+
 # ------------------------------------------------------------------------------- dedup
 
 
