@@ -250,3 +250,84 @@ def hydraulics(stations: DataFrame, q: str, datum_m: float, n=(0.025, 0.035, 0.0
 def passable(drop: Column, length: Column, leap: Column, chute_m: float = 15.0) -> Column:
     """'pass' if the drop is within the leap; a long chute is judged on half of it; bad inputs are null."""
     return F.when(drop.isNull() | leap.isNull() | (drop < 0), None).when(F.when(length >= chute_m, drop * 2).otherwise(drop) <= leap, "pass").otherwise("barrier")
+
+
+def bend_radius(stations: DataFrame, x: str, y: str, span_widths: float = 2.0, cell: float = 50.0) -> DataFrame:
+    """Radius of the least-squares circle through all stations within ``span_widths`` widths: river, idx, radius.
+
+    A station meets the grid cells that its span covers. The circle solves two equations in
+    variances and covariances; fewer than four stations or a straight line have no row.
+    """
+    span = F.col("width") * span_widths
+    over = lambda c: F.explode(F.sequence(F.floor((F.col(c) - span) / cell), F.floor((F.col(c) + span) / cell)))
+    there = stations.select("river", F.floor(F.col(x) / cell).alias("_r"), F.floor(F.col(y) / cell).alias("_c"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    met = stations.where("width > 0").select("river", "idx", "width", x, y).withColumn("_r", over(x)).withColumn("_c", over(y)).join(there, ["river", "_r", "_c"])
+    near = met.withColumns({"u": F.col("_x") - F.col(x), "v": F.col("_y") - F.col(y)}).withColumn("q", F.col("u") * F.col("u") + F.col("v") * F.col("v")).where(F.col("q") <= span * span)
+    m = near.groupBy("river", "idx").agg(
+        F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "uvq"], F.var_pop("u").alias("uu"), F.var_pop("v").alias("vv"),
+        F.covar_pop("u", "v").alias("uv"), F.covar_pop("u", "q").alias("uq"), F.covar_pop("v", "q").alias("vq"))
+    m = m.withColumn("det", F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")).where((F.col("n") >= 4) & (2 * F.col("n") * F.col("n") * F.col("det") > 1e-9))
+    a, b = (F.col("uq") * F.col("vv") - F.col("vq") * F.col("uv")) / (2 * F.col("det")), (F.col("vq") * F.col("uu") - F.col("uq") * F.col("uv")) / (2 * F.col("det"))
+    return m.select("river", "idx", F.sqrt(F.greatest(F.lit(0.0), F.col("q") - 2 * a * F.col("u") - 2 * b * F.col("v") + a * a + b * b)).alias("radius")).where("radius > 0")
+
+
+def bends(stations: DataFrame, x: str, y: str, most_rw: float = 4.0, gap: int = 2, least_stations: int = 3, least_widths: float = 0.5) -> DataFrame:
+    """Tight bends as features: neighbouring tight stations of one side, with the tightest of them.
+
+    ``stations``: river, idx, dist_m, width and coordinates in metres; leave out stations whose width cannot
+    be trusted after taking the radius (column ``suppress``, if there is one).
+    """
+    ok = stations.where("NOT coalesce(suppress, false)").select("river", "idx") if "suppress" in stations.columns else stations.select("river", "idx")
+    turned = curvature(stations, x, y).select("river", "idx", "dist_m", "width", "curv").where("curv IS NOT NULL")
+    tight = turned.join(ok, ["river", "idx"]).join(bend_radius(stations, x, y), ["river", "idx"]).withColumn("rw", F.col("radius") / F.col("width")).where(F.col("rw") <= most_rw).withColumn("side", F.when(F.col("curv") > 0, "right").otherwise("left"))
+    w = _along()
+    new = F.coalesce((F.col("idx") - F.lag("idx").over(w) > gap) | (F.col("side") != F.lag("side").over(w)), F.lit(True))
+    best = F.min_by(F.struct("idx", "radius", "rw", "width"), F.struct(F.round("rw", 9), "idx"))  # the first of equally tight ones
+    g = tight.withColumn("_n", new.cast("int")).withColumn("bend", F.sum("_n").over(w)).groupBy("river", "bend", "side").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), (F.max("dist_m") - F.min("dist_m")).alias("extent_m"), best.alias("b"))
+    return g.where((F.col("n") >= least_stations) & (F.col("extent_m") >= least_widths * F.col("b.width"))).select("river", "side", "n", "first_idx", "last_idx", "extent_m", "b.idx", "b.radius", "b.rw")
+
+
+def offshore_bearing(pixels: DataFrame, spots: DataFrame, window: int = 8, tolerance: float = 60.0, value: str = "depth") -> DataFrame:
+    """Bearing in which the bottom falls off around each spot: spot, bearing.
+
+    ``spots``: spot, row, col, hint (degrees or null); rows count southward. The differences between
+    neighbouring pixels of the box are summed to an east and a north part. A hint stands where
+    there is no gradient or it points more than ``tolerance`` away.
+    """
+    reach = lambda c: F.explode(F.sequence(F.col(c) - window, F.col(c) + window))
+    box = spots.select("spot", reach("row").alias("row"), "col").withColumn("col", reach("col")).join(pixels.select("row", "col", F.col(value).alias("_v")).where("_v IS NOT NULL"), ["row", "col"])
+
+    def step(along: str, across: str):
+        w = W.partitionBy("spot", across).orderBy(along)
+        return F.when(F.col(along) - F.lag(along).over(w) == 1, F.col("_v") - F.lag("_v").over(w))
+
+    sums = box.withColumns({"_e": step("col", "row"), "_s": step("row", "col")}).groupBy("spot").agg(F.coalesce(F.sum("_e"), F.lit(0.0)).alias("east"), F.coalesce(-F.sum("_s"), F.lit(0.0)).alias("north"))
+    found = F.when((F.abs("east") > 1e-9) | (F.abs("north") > 1e-9), F.pmod(F.degrees(F.atan2("east", "north")), F.lit(360.0)))
+    away = F.abs(F.pmod(F.col("found") - F.col("hint") + 180, F.lit(360.0)) - 180)
+    j = spots.join(sums, "spot", "left").withColumn("found", found)
+    return j.select("spot", F.when(F.col("hint").isNull() | (away <= tolerance), F.col("found")).otherwise(F.col("hint").cast("double")).alias("bearing"))
+
+
+def rays(pixels: DataFrame, spots: DataFrame, n: int, step_px: float = 1.0, value: str = "depth") -> DataFrame:
+    """Values along a ray from each spot (spot, row, col, bearing): spot, k, value; null off the grid and on land."""
+    th, d = F.radians("bearing"), F.col("k") * step_px
+    at = spots.where("bearing IS NOT NULL").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n)))).select("spot", "k", F.bround(F.col("row") - F.cos(th) * d).cast("long").alias("row"), F.bround(F.col("col") + F.sin(th) * d).cast("long").alias("col"))
+    return at.join(pixels.select("row", "col", value), ["row", "col"], "left").select("spot", "k", value)
+
+
+def scattered(grid: DataFrame, nodes: DataFrame, reach: float, k: int = 4, sentinel: float = 999.0) -> DataFrame:
+    """Values of scattered nodes on a grid: row, col, v.
+
+    ``grid``: row, col, x, y; ``nodes``: node, x, y, v with null where a node has no value. Of the ``k``
+    nearest nodes within reach (smallest node on ties) the known values count by inverse squared distance;
+    where most of them have none, the sentinel stands, so no value is blended with it. Null out of reach.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    n = nodes.select(cell("x").alias("_r"), cell("y").alias("_c"), "node", F.col("x").alias("_x"), F.col("y").alias("_y"), "v")
+    g = grid.withColumn("_r", F.explode(F.sequence(cell("x") - 1, cell("x") + 1))).withColumn("_c", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    near = g.join(n, ["_r", "_c"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= reach * reach)
+    few = near.withColumn("_k", F.row_number().over(W.partitionBy("row", "col").orderBy("d2", "node"))).where(F.col("_k") <= k)
+    weight = F.when(F.col("v").isNotNull(), 1 / (F.col("d2") + 1e-6))
+    got = few.groupBy("row", "col").agg(F.avg(F.col("v").isNull().cast("double")).alias("missing"), (F.sum(weight * F.col("v")) / F.sum(weight)).alias("mean"))
+    return grid.select("row", "col").join(got, ["row", "col"], "left").select("row", "col", F.when(F.col("missing") > 0.5, sentinel).otherwise(F.col("mean")).alias("v"))

@@ -60,9 +60,13 @@ def set03(spark, d):
     return ops.outside_earlier(_grid_points(spark, d), _boxes(spark, d), 100).select("point", "rank")
 
 
-@query("FN-11", f"WITH {GRID} SELECT polygon, 25600.0::DOUBLE AS area FROM bx")
+@query("FN-11", "SELECT p_partkey AS polygon, (10 + p_size) * (20 + p_partkey % 90) * 0.75::DOUBLE AS area FROM part")
 def fn11(spark, d):
-    return ops.ring_area(_boxes(spark, d))
+    k, wide, high = F.col("p_partkey"), F.col("p_size") + 10, F.col("p_partkey") % 90 + 20
+    x, y = k % 1000, F.floor(k / 1000) * 100
+    ring = [(x, y), (x + wide, y), (x + wide, y + high), (x, y + high / 2)]
+    edges = F.array(*[F.struct(*[c.cast("double").alias(n) for c, n in zip((*ring[i], *ring[(i + 1) % 4]), ("x1", "y1", "x2", "y2"))]) for i in range(4)])
+    return ops.ring_area(load(spark, d, "part").select(k.alias("polygon"), F.explode(edges).alias("e")).select("polygon", "e.*"))
 
 
 @query("J-10", f"WITH {POINTS}, {NODES} SELECT point, min(node) AS node FROM points p JOIN nodes n ON abs(p.lat - n.lat) <= 800 / 111000.0::DOUBLE AND abs(p.lon - n.lon) <= 800 / 111000.0::DOUBLE / greatest(0.2, cos(radians(p.lat))) GROUP BY point")
@@ -133,12 +137,10 @@ def ras09(spark, d):
     return ops.fill_gaps(pixels(spark, d), 1, 0.6, 2)
 
 
-@query("RAS-15", f"WITH {PIXELS} SELECT count(*) AS n, count(depth) AS water FROM pixels")
+@query("RAS-15", f"WITH {PIXELS}, n AS (SELECT a.row, a.col, count(b.depth) AS n FROM pixels a JOIN pixels b ON abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1 WHERE a.depth IS NULL GROUP BY ALL), f AS (SELECT n.row, n.col, arg_min(b.depth, (pow(b.row - n.row, 2) + pow(b.col - n.col, 2), b.row, b.col)) AS filled FROM n JOIN pixels b ON b.depth IS NOT NULL AND pow(b.row - n.row, 2) + pow(b.col - n.col, 2) <= 4 WHERE n.n > 6.3 GROUP BY ALL), z AS (SELECT p.row, p.col, coalesce(depth, filled) AS depth, filled IS NOT NULL AS was_gap FROM pixels p LEFT JOIN f ON p.row = f.row AND p.col = f.col), w AS (SELECT w.row, w.col, sqrt(min(pow(l.row - w.row, 2) + pow(l.col - w.col, 2))) AS dist FROM z w LEFT JOIN z l ON l.depth IS NULL AND pow(l.row - w.row, 2) + pow(l.col - w.col, 2) <= 16 WHERE w.depth IS NOT NULL GROUP BY w.row, w.col) SELECT z.row, z.col, depth, was_gap, dist FROM z LEFT JOIN w USING (row, col)")
 def ras15(spark, d):
-    filled = ops.fill_gaps(pixels(spark, d), 1, 0.6, 2)
-    near = ops.distance_to_land(filled, 4)
-    both = filled.join(near, ["row", "col"], "left")
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("depth").isNotNull() & ~F.col("was_gap")).alias("water"))
+    filled = ops.fill_gaps(pixels(spark, d), 1, 0.7, 2)
+    return filled.join(ops.distance_to_land(filled, 4), ["row", "col"], "left").select("row", "col", "depth", "was_gap", "dist")
 
 
 # ------------------------------------------------------------------------------- rivers

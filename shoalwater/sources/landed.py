@@ -113,6 +113,16 @@ def discharge(spark: SparkSession, path: str) -> DataFrame:
     return p.select(F.to_timestamp("DATETIME").alias("ts"), F.col("DISCHARGE").alias("q")).where("q >= 0")
 
 
+#: Fields of a station dimension file, one JSON object a line.
+STATION = "id string, position struct<lat: double, lon: double>, depths_m array<double>, bands map<string, struct<low: double, high: double>>, split struct<first: date, last: date>"
+
+
+def stations(spark: SparkSession, path: str) -> DataFrame:
+    """Typed rows of a station dimension: id, lat, lon, depths_m, bands, first, last. A station without an id or position goes."""
+    raw = spark.read.schema(STATION).json(path)
+    return raw.where("id IS NOT NULL AND position.lat IS NOT NULL AND position.lon IS NOT NULL").select("id", "position.lat", "position.lon", "depths_m", "bands", "split.first", "split.last")
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Twelve hex digits over the sorted paths and bytes of the files under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
