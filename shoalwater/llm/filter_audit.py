@@ -202,7 +202,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a lang value; null and empty lang are the part ''. Null and empty texts are the same text without
     words: they fail A alone, and E where a smaller id holds one. Each row is a document; equal rows, and
     rows of one id, are not smaller than each other, so E fails none of them for another; a row without an id is
-    never smaller nor larger. Repeated labels of an id count where one of them is set. Very long texts
+    never smaller nor larger. Repeated labels of an id count where one of them is set; labels without an id match nothing. Very long texts
     are read piece by piece. No documents give no rows.
     """
     matrix, _ = term_matrix(docs)
