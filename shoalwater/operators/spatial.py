@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs
-from ..session import pin
-from . import graph
+from . import tiles
 
 # ------------------------------------------------------------------------------- points and polygons
 
@@ -67,24 +66,25 @@ def outside_earlier(points: DataFrame, edges: DataFrame, cell: int) -> DataFrame
 # ------------------------------------------------------------------------------- rasters
 
 
-def gradient(pixels: DataFrame, res_m: float, value: str = "depth") -> DataFrame:
-    """Gradient magnitude: central inside, one-sided at the grid's edge, null next to null."""
+def gradient(pixels: DataFrame, res_m: float, value: str = "depth", size: int = tiles.SIZE) -> DataFrame:
+    """Gradient magnitude: central inside, one-sided at the grid's edge, null next to null. Windows lie within a tile and its halo."""
 
-    def slope(line: str, along: str) -> Column:
-        w = W.partitionBy(line).orderBy(along)
+    def slope(along: str) -> Column:
+        w = tiles.lines(along)
         v, before, after = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
         first, last = F.lag(along).over(w).isNull(), F.lead(along).over(w).isNull()
         return F.when(first, (after - v) / res_m).when(last, (v - before) / res_m).otherwise((after - before) / (2 * res_m))
 
-    return pixels.withColumns({"gx": slope("row", "col"), "gy": slope("col", "row")}).select("row", "col", F.when(F.col(value).isNotNull(), F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("gradient"))
+    tiled = tiles.haloed(pixels.select("row", "col", value), 1, size).withColumns({"gx": slope("col"), "gy": slope("row")}).where(tiles.owned(size))
+    return tiled.select("row", "col", F.when(F.col(value).isNotNull(), F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("gradient"))
 
 
-def box_mean(pixels: DataFrame, radius: int, value: str = "depth") -> DataFrame:
-    """Mean over the (2r+1)-square of present pixels, cut off at the grid's edge: two separable passes."""
-    row = W.partitionBy("row").orderBy("col").rangeBetween(-radius, radius)
-    col = W.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
-    one = pixels.withColumns({"s": F.sum(value).over(row), "m": F.count(value).over(row)})
-    return one.withColumns({"s": F.sum("s").over(col), "m": F.sum("m").over(col)}).withColumn("mean", F.try_divide("s", "m")).drop("s").withColumnRenamed("m", "n_water")
+def box_mean(pixels: DataFrame, radius: int, value: str = "depth", size: int = tiles.SIZE) -> DataFrame:
+    """Mean over the (2r+1)-square of present pixels, cut off at the grid's edge: two separable passes within a tile and its halo."""
+    row, col = (tiles.lines(along).rangeBetween(-radius, radius) for along in ("col", "row"))
+    one = tiles.haloed(pixels, radius, size).withColumns({"s": F.sum(value).over(row), "m": F.count(value).over(row)})
+    both = one.withColumns({"s": F.sum("s").over(col), "m": F.sum("m").over(col)}).where(tiles.owned(size))
+    return both.withColumn("mean", F.try_divide("s", "m")).drop("s", "tr", "tc").withColumnRenamed("m", "n_water")
 
 
 def relief(pixels: DataFrame, radius: int, value: str = "depth") -> DataFrame:
@@ -116,33 +116,15 @@ def reachable(pixels: DataFrame, iso_m: float, cast_m: float, cap_m: float, res_
     return pixels.groupBy(by).agg((F.count_if(ok) > 0).alias("any"), F.min(F.when(ok, F.col("dist"))).alias("nearest"), (F.count_if(ok) * res_m * res_m).alias("area"))
 
 
-def distance_to_land(pixels: DataFrame, limit: int, value: str = "depth") -> DataFrame:
-    """Euclidean distance in pixels to the nearest land (null) pixel, null beyond the limit.
-
-    Only land at the water's edge is spread, over the offsets within the limit.
-    """
-    four = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+def distance_to_land(pixels: DataFrame, limit: int, value: str = "depth", size: int = tiles.SIZE) -> DataFrame:
+    """Euclidean distance in pixels of each water pixel to the nearest land (null) pixel, null beyond the limit."""
     water = pixels.where(F.col(value).isNotNull()).select("row", "col")
-    beside = water.withColumn("o", F.explode(four)).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col")).distinct()
-    shore = pixels.where(F.col(value).isNull()).select("row", "col").join(beside, ["row", "col"], "left_semi")
-    disc = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-limit, limit + 1) for c in range(-limit, limit + 1) if 0 < r * r + c * c <= limit * limit])
-    spread = shore.withColumn("o", F.explode(disc)).groupBy((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col")).agg(F.min(F.col("o.r") * F.col("o.r") + F.col("o.c") * F.col("o.c")).alias("d2"))
-    return water.join(spread, ["row", "col"], "left").select("row", "col", F.sqrt("d2").alias("dist"))
+    return water.join(tiles.distance_to(pixels, F.col(value).isNull(), limit, size), ["row", "col"])
 
 
 def components(pixels: DataFrame) -> DataFrame:
-    """4-connected components of the given pixels: row, col, label (smallest row * 2^32 + col).
-
-    Pixels are reduced to runs of a row, runs that touch are links of a graph, and its
-    components are found in a number of rounds that grows with the logarithm of a shape's length.
-    """
-    own = pixels.select("row", "col", (F.shiftleft(F.col("row").cast("long"), 32) + F.col("col")).alias("id"))
-    run = F.min("id").over(W.partitionBy("row", "_run"))
-    runs = pin(own.withColumn("_run", F.col("col") - F.row_number().over(W.partitionBy("row").orderBy("col"))).select("row", "col", run.alias("run")), "runs")
-    below = runs.select((F.col("row") - 1).alias("row"), "col", F.col("run").alias("b"))
-    links = runs.join(below, ["row", "col"]).select(F.col("run").alias("a"), "b").distinct()
-    found = graph.components(links)
-    return runs.join(found.select(F.col("node").alias("run"), "component"), "run", "left").select("row", "col", F.coalesce("component", "run").alias("label"))
+    """4-connected components of the given pixels: row, col, label (smallest row * 2^32 + col)."""
+    return tiles.components(pixels)
 
 
 def without_small(pixels: DataFrame, least: int) -> DataFrame:
@@ -154,13 +136,32 @@ def without_small(pixels: DataFrame, least: int) -> DataFrame:
 def fill_gaps(pixels: DataFrame, radius: int, water_share: float, bridge: int, value: str = "depth") -> DataFrame:
     """Null pixels inside water take the nearest surveyed value (smallest row, col on ties) within the bridge."""
     window = (2 * radius + 1) ** 2
-    gaps = box_mean(pixels, radius, value).where(F.col(value).isNull() & (F.col("n_water") > water_share * window)).select("row", "col")
+    return bridged(pixels, box_mean(pixels, radius, value).where(F.col(value).isNull() & (F.col("n_water") > water_share * window)), bridge, value)
+
+
+def bridged(pixels: DataFrame, gaps: DataFrame, bridge: int, value: str = "depth") -> DataFrame:
+    """``pixels`` in which the gap pixels (row, col) take the nearest surveyed value (smallest row, col on ties) within the bridge: row, col, value, was_gap."""
     disc = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-bridge, bridge + 1) for c in range(-bridge, bridge + 1) if 0 < r * r + c * c <= bridge * bridge])
-    near = gaps.withColumn("o", F.explode(disc)).select(F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), (F.col("o.r") * F.col("o.r") + F.col("o.c") * F.col("o.c")).alias("d2"))
+    near = gaps.select("row", "col").withColumn("o", F.explode(disc)).select(F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), (F.col("o.r") * F.col("o.r") + F.col("o.c") * F.col("o.c")).alias("d2"))
     found = near.join(pixels.where(F.col(value).isNotNull()), ["row", "col"]).groupBy("r0", "c0").agg(F.min_by(value, F.struct("d2", "row", "col")).alias("filled"))
     return pixels.join(found.select(F.col("r0").alias("row"), F.col("c0").alias("col"), "filled"), ["row", "col"], "left").select("row", "col", F.coalesce(value, "filled").alias(value), F.col("filled").isNotNull().alias("was_gap"))
 
 
+def corrected(pixels: DataFrame, mask: DataFrame, bridge: int, limit: int, least_px: int = 12, mainland_only: bool = True, value: str = "depth") -> DataFrame:
+    """Corrected depth and distance to shore: row, col, value, was_gap, dist (pixels, null beyond the limit) and degraded.
+
+    ``mask``: row, col, water, the authoritative land and water; it may have no row for a pixel. There the pixel is
+    ``degraded``: what has no depth counts as land and no gap is bridged. Where the mask says water, missing depth is bridged
+    from the nearest survey; where it says land, land it is. Land gives a shore if its component has ``least_px`` pixels
+    and, with ``mainland_only``, reaches the grid's border (if any does). Land itself has distance 0.
+    """
+    known = pixels.select("row", "col", value).join(mask.select("row", "col", F.col("water").alias("_w")), ["row", "col"], "left").withColumn("degraded", F.col("_w").isNull())
+    gaps = known.where(F.col("_w") & F.col(value).isNull())
+    ground = tiles.genuine_land(known, ~F.coalesce(F.col("_w"), F.col(value).isNotNull()), least_px=least_px, mainland_only=mainland_only, inferred=False, value=value)
+    filled = bridged(known.select("row", "col", value), gaps, bridge, value)
+    return filled.join(tiles.shore_distance(known, ground, limit).select("row", "col", "dist"), ["row", "col"]).join(known.select("row", "col", "degraded"), ["row", "col"])
+
+
 # ------------------------------------------------------------------------------- rivers
 
 
