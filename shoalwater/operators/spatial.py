@@ -248,6 +248,27 @@ def hydraulics(stations: DataFrame, q: str, datum_m: float, n=(0.025, 0.035, 0.0
     return out.withColumn("state", exprs.flow_regime("backwater", "froude_lo", "froude", "froude_hi"))
 
 
+#: Fixed value: a reach flatter than this share of the mean slope is a scour pool.
+POOL_SHARE = 0.25
+
+
+def pool_note(slope: Column, mean_slope: Column, depth: Column) -> Column:
+    """'lower bound' where a depth was solved on a scour pool, whose bed is cut below the profile of uniform flow; else ''."""
+    return F.when(depth.isNotNull() & (slope > 0) & (mean_slope > 0) & (slope < POOL_SHARE * mean_slope), "lower bound").otherwise("")
+
+
+def seams(stations: DataFrame, dv_edge: float, curv_edge: float, dw_edge: float) -> DataFrame:
+    """``stations`` (river, idx, dist_m, velocity, curv, width) with dvds, dwds and ``seams``, an array of tags.
+
+    Where the velocity's change over the neighbouring stations reaches its edge, flow speeds up or slows down; a curvature at its
+    edge is a bend, a change of width at its edge a constriction or an expansion. Edges are the caller's measured percentiles.
+    A station without both neighbours, or next to one without a velocity, has no change.
+    """
+    s = central_difference(central_difference(stations, "velocity", "dvds"), "width", "dwds")
+    tag = lambda c, edge, low, high: F.when(F.abs(c) >= edge, F.when(F.col(c) < 0, low).otherwise(high))
+    return s.withColumn("seams", F.array_compact(F.array(tag("dvds", dv_edge, "seam_decel", "seam_accel"), tag("curv", curv_edge, "seam_bend_left", "seam_bend_right"), tag("dwds", dw_edge, "seam_constriction", "seam_expansion"))))
+
+
 def passable(drop: Column, length: Column, leap: Column, chute_m: float = 15.0) -> Column:
     """'pass' if the drop is within the leap; a long chute is judged on half of it; bad inputs are null."""
     return F.when(drop.isNull() | leap.isNull() | (drop < 0), None).when(F.when(length >= chute_m, drop * 2).otherwise(drop) <= leap, "pass").otherwise("barrier")
@@ -316,6 +337,25 @@ def rays(pixels: DataFrame, spots: DataFrame, n: int, step_px: float = 1.0, valu
     return at.join(pixels.select("row", "col", value), ["row", "col"], "left").select("spot", "k", value)
 
 
+def shore_profiles(pixels: DataFrame, spots: DataFrame, res_m: float, step_px: float = 1.0, n: int = 60, value: str = "depth") -> DataFrame:
+    """The bottom from the shore outward along each spot's bearing: spot, k, dist_m and value.
+
+    ``spots``: spot, row, col, bearing (degrees; null has no profile). From the spot the walk goes landward, at most ``n`` steps, to
+    the last step before land, no data or the grid's edge: that is the shore, distance 0 and depth 0. From there it goes
+    outward and ends before the first such gap, or after ``n`` steps. All samples of a spot lie on one line, so they are
+    read in one join and the walk is a minimum and a maximum over at most 3 n + 1 of them.
+    """
+    th = F.radians("bearing")
+    at = spots.where("bearing IS NOT NULL").withColumn("j", F.explode(F.sequence(F.lit(-n), F.lit(n)))).select("spot", "j", F.bround(F.col("row") - F.cos(th) * F.col("j") * step_px).cast("long").alias("row"), F.bround(F.col("col") + F.sin(th) * F.col("j") * step_px).cast("long").alias("col"))
+    w = W.partitionBy("spot")
+    read = at.join(pixels.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("_v")), ["row", "col"], "left")
+    gap = F.col("_v").isNull()
+    back = read.withColumn("m", F.coalesce(-F.max(F.when(gap & (F.col("j") < 0), F.col("j"))).over(w) - 1, F.lit(n)))
+    ahead = back.withColumn("stop", F.min(F.when(gap & (F.col("j") > -F.col("m")), F.col("j"))).over(w)).withColumn("k", F.col("j") + F.col("m"))
+    walked = ahead.where(F.col("k").between(0, n) & (F.col("stop").isNull() | (F.col("j") < F.col("stop"))))
+    return walked.select("spot", "k", (F.col("k") * step_px * res_m).alias("dist_m"), F.when(F.col("k") == 0, F.lit(0.0)).otherwise(F.col("_v")).alias(value))
+
+
 def scattered(grid: DataFrame, nodes: DataFrame, reach: float, k: int = 4, sentinel: float = 999.0) -> DataFrame:
     """Values of scattered nodes on a grid: row, col, v.
 

@@ -34,5 +34,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.phase_at(events.runs(rows, threshold_kn=13.0), rows.groupBy("station").max("us").withColumnRenamed("max(us)", "us"))
 
 
-for _module in ("queries_events", "queries_verify", "queries_profiles", "queries_spatial", "queries_ledger", "queries_stream", "queries_reports", "queries_sources", "queries_gates", "queries_windowed"):
+for _module in ("queries_events", "queries_verify", "queries_profiles", "queries_spatial", "queries_ledger", "queries_stream", "queries_reports", "queries_sources", "queries_gates", "queries_windowed", "queries_tiles"):
     import_module(f"{__package__}.{_module}")

@@ -123,11 +123,29 @@ def stations(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("id IS NOT NULL AND position.lat IS NOT NULL AND position.lon IS NOT NULL").select("id", "position.lat", "position.lon", "depths_m", "bands", "split.first", "split.last")
 
 
+def merkle(files: DataFrame, digits: int = 3) -> DataFrame:
+    """A two-level digest of files (path, content): bucket, n, digest, and the root as the bucket ''.
+
+    A file's leaf is the sha256 of its path and bytes. Leaves lie in 16 ** digits buckets by the first hex digits of their path's
+    own sha256, so no folder is one group; a bucket's digest is that of its leaves in path order, the root's that of
+    the buckets in order. It depends on paths and bytes alone: not on the order of a listing nor on how it is partitioned.
+    Two listings are told apart by bucket, so what differs is found without reading all files again.
+    """
+    path = F.col("path").cast("binary")
+    leaves = files.select(F.substring(F.sha2(path, 256), 1, digits).alias("bucket"), F.col("path"), F.sha2(F.concat(path, F.coalesce(F.col("content").cast("binary"), F.lit(b""))), 256).alias("leaf"))
+    joined = lambda c, order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, c))), lambda x: x[c]), ""), 256)
+    buckets = leaves.groupBy("bucket").agg(F.count("*").alias("n"), joined("leaf", "path").alias("digest"))
+    root = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined("digest", "bucket").alias("digest"))
+    return buckets.union(root.select(F.lit("").alias("bucket"), "n", "digest"))
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """Twelve hex digits over the sorted paths and bytes of the files under ``path``."""
+    """Twelve hex digits over the paths below ``path`` and the bytes of its files: the root of ``merkle``. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    each = files.select(F.sha2(F.concat(F.regexp_extract("path", r"([^/]+)$", 1).cast("binary"), "content"), 256).alias("h"))
-    return each.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, 12)).first()[0]
+    below = F.regexp_replace("path", "^[^:]*:/*", "/")
+    root = path.split(":", 1)[-1].strip("/")
+    listed = files.select(F.substring(below, F.lit(len(root) + 3), F.length(below)).alias("path"), "content")
+    return merkle(listed).where("bucket = ''").first()["digest"][:12]
 
 
 def write_report(spine: DataFrame, results: DataFrame, key: list[str], path: str) -> None:
