@@ -8,28 +8,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs
-from ..plans.bindings import DAY_US, HOUR_US
+from ..session import pin
+from . import scan
+from .scan import BUCKET_US, DAY_US, HOUR_US
 
 
 def _by_time(*more) -> W:
     return W.partitionBy("station").orderBy("us", *more)
 
 
+def _in_bucket(back: int = 0, ahead: int = 0) -> W:
+    """The frame of a row within its station and bucket (``scan.with_halo``)."""
+    return W.partitionBy("station", "_b").orderBy("us").rangeBetween(-back, ahead)
+
+
 # ------------------------------------------------------------------------------- joins in time
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], time: str = "us") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], time: str = "us", width: int = BUCKET_US) -> DataFrame:
     """Each left row with the values of the last right row at or before its time; null if none.
 
-    One shuffle on the keys: both sides are stacked, equal times put the right side first, and
-    the last right row so far is carried forward.
+    One shuffle on the keys and buckets of time: both sides are stacked, equal times put the right side first, and
+    the last right row so far is carried forward, from bucket to bucket, too.
     """
     one = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(time, *values).alias("s")).schema["s"].dataType).alias("_right"))
     own = [c for c in left.columns if c not in keys and c != time]
     two = right.select(*keys, time, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in own], F.lit(0).alias("_side"), F.struct(time, *values).alias("_right"))
-    w = W.partitionBy(*keys).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    carried = one.unionByName(two).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    return carried.select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
+    both = scan.carried(one.unionByName(two), keys, [time, "_side"], before={"_last": F.col("_right")}, width=width).where("_side = 1")
+    return both.select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def asof_latest(rows: DataFrame, at_us: Column | int, value: str = "temp_c") -> DataFrame:
@@ -105,27 +111,31 @@ def wind_run(rows: DataFrame, window_us: int = DAY_US, sector=exprs.SECTOR, buck
 # ------------------------------------------------------------------------------- onsets and islands
 
 
+def _dropped(rows: DataFrame, window_us: int) -> DataFrame:
+    """``rows`` with drop_c: the trailing maximum minus the value."""
+    top = F.max("temp_c").over(_in_bucket(window_us))
+    return scan.own(scan.with_halo(rows, window_us).withColumn("drop_c", top - F.col("temp_c")))
+
+
 def drop_events(rows: DataFrame, drop_c: float = 4.0, cold_c: float = 12.0, window_us: int = DAY_US) -> DataFrame:
     """Rising edges of 'trailing maximum minus value >= drop, or value <= cold', with their trigger."""
-    top = F.max("temp_c").over(W.partitionBy("station").orderBy("us").rangeBetween(-window_us, 0))
     d, t = F.col("drop_c"), F.col("temp_c")
-    out = rows.withColumn("drop_c", top - t).withColumn("active", (d >= drop_c) | (t <= cold_c))
-    edge = out.withColumn("edge", F.col("active") & ~F.coalesce(F.lag("active").over(_by_time("event_id")), F.lit(False))).where("edge")
+    out = _dropped(rows, window_us).withColumn("active", (d >= drop_c) | (t <= cold_c))
+    edge = scan.carried(out, ["station"], ["us", "event_id"], before={"_was": F.struct("active")}).where(F.col("active") & ~F.coalesce(F.col("_was.active"), F.lit(False)))
     trigger = F.when((d >= drop_c) & (t <= cold_c), "both").when(d >= drop_c, "drop").otherwise("cold_band")
     return edge.select("event_id", "station", "us", trigger.alias("trigger"), F.round("drop_c", 3).alias("drop_c"))
 
 
-def islands(rows: DataFrame, flag: str, order: list[str]) -> DataFrame:
+def islands(rows: DataFrame, flag: str, order: list[str], width: int = BUCKET_US) -> DataFrame:
     """Rows whose flag is true, numbered by contiguous island within the station (column island)."""
-    w = W.partitionBy("station").orderBy(*order)
-    change = F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))
-    return rows.withColumn("_c", change.cast("int")).withColumn("island", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0))).where(flag).drop("_c")
+    was = scan.carried(rows, ["station"], order, before={"_was": F.struct(flag)}, width=width)
+    change = F.col(flag) & ~F.coalesce(F.col(f"_was.{flag}"), F.lit(False))
+    return scan.carried(was.withColumn("_c", change.cast("int")).drop("_was"), ["station"], order, sums={"island": F.col("_c")}, width=width).where(flag).drop("_c")
 
 
 def onsets(rows: DataFrame, drop_c: float, persist_h: float, window_us: int = DAY_US) -> DataFrame:
     """First time of each run of active samples that lasts at least persist_h."""
-    top = F.max("temp_c").over(W.partitionBy("station").orderBy("us").rangeBetween(-window_us, 0))
-    active = rows.withColumn("active", top - F.col("temp_c") >= drop_c)
+    active = _dropped(rows, window_us).withColumn("active", F.col("drop_c") >= drop_c)
     runs_ = islands(active, "active", ["us", "event_id"]).groupBy("station", "island").agg(F.min("us").alias("us"), F.max("us").alias("end_us"), F.count("*").alias("n"))
     return runs_.where(F.col("end_us") - F.col("us") >= persist_h * HOUR_US).select("station", "us", "end_us", "n")
 
@@ -135,17 +145,20 @@ def runs(rows: DataFrame, threshold_kn: float, min_run_h: float = 6.0, grace_h:
 
     Two favourable samples are in one run unless, between them, a step exceeds twice the
     station's median step or an unfavourable sample lies more than the grace after the first.
-    Both breaks are counted in one running sum, compared from one favourable sample to the next.
+    The last break so far is carried along and compared with the last favourable sample.
     """
-    w = _by_time("event_id")
-    up_to = w.rowsBetween(W.unboundedPreceding, 0)
-    step = rows.withColumn("fav", exprs.in_sector("dir_deg", sector) & (F.col("speed_kn") >= threshold_kn)).withColumn("step", F.col("us") - F.lag("us").over(w))
+    order = ["us", "event_id"]
+    at = F.struct(*order)
+    flagged = rows.withColumn("fav", exprs.in_sector("dir_deg", sector) & (F.col("speed_kn") >= threshold_kn))
+    # pinned: the median of the steps needs them all before anything else goes on
+    step = pin(scan.carried(flagged, ["station"], order, before={"_prev": F.col("us"), "last_fav": F.when(F.col("fav"), at)}).withColumn("step", F.col("us") - F.col("_prev")), "steps")
     spacing = step.groupBy("station").agg(F.coalesce(F.median(F.when(F.col("step") > 0, F.col("step"))), F.lit(float(HOUR_US))).alias("spacing"))
-    marked = step.join(spacing, "station").withColumn("last_fav", F.last(F.when(F.col("fav"), F.col("us")), ignorenulls=True).over(up_to))
-    broken = F.coalesce(F.col("step") > 2 * F.col("spacing"), F.lit(False)) | (~F.col("fav") & F.coalesce(F.col("us") - F.col("last_fav") > grace_h * HOUR_US, F.lit(False)))
-    summed = marked.withColumn("breaks", F.sum(broken.cast("int")).over(up_to)).withColumn("fav_breaks", F.last(F.when(F.col("fav"), F.col("breaks")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    start = F.col("fav") & (F.col("fav_breaks").isNull() | (F.col("breaks") > F.col("fav_breaks")))
-    numbered = summed.withColumn("run", F.sum(start.cast("int")).over(up_to)).where("run > 0")
+    marked = step.join(spacing, step["station"].eqNullSafe(spacing["station"])).drop(spacing["station"])
+    lull = ~F.col("fav") & F.coalesce(F.col("us") - F.col("last_fav.us") > grace_h * HOUR_US, F.lit(False))
+    broken = F.coalesce(F.col("step") > 2 * F.col("spacing"), F.lit(False)) | lull
+    summed = scan.carried(marked, ["station"], order, so_far={"last_break": F.when(broken, at)})
+    start = F.col("fav") & (F.col("last_fav").isNull() | F.coalesce(F.col("last_break") > F.col("last_fav"), F.lit(False)))
+    numbered = scan.carried(summed, ["station"], order, so_far={"run": F.when(start, at)}).where("run IS NOT NULL")
     end = F.max(F.when(F.col("fav"), F.col("us"))).over(W.partitionBy("station", "run"))
     inside = numbered.withColumn("end_us", end).where("us <= end_us")
     rad = F.radians("dir_deg")
@@ -183,10 +196,8 @@ def latest_issue(rows: DataFrame) -> DataFrame:
 
 def transitions(rows: DataFrame, state: str) -> DataFrame:
     """Rows whose state differs from the last known one; null keeps it; a first state only if true."""
-    w = _by_time("event_id")
-    known = rows.withColumn("_now", F.last(state, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    before = F.lag("_now").over(w)
-    return known.withColumn("_before", before).where(F.when(F.col("_before").isNull(), F.col("_now")).otherwise(F.col("_now") != F.col("_before"))).select("event_id", "station", "us", F.col("_now").alias("state"))
+    known = scan.carried(rows, ["station"], ["us", "event_id"], before={"_before": F.col(state)}).withColumn("_now", F.coalesce(state, "_before"))
+    return known.where(F.when(F.col("_before").isNull(), F.col("_now")).otherwise(F.col("_now") != F.col("_before"))).select("event_id", "station", "us", F.col("_now").alias("state"))
 
 
 def day_changes(rows: DataFrame) -> DataFrame:
@@ -214,8 +225,9 @@ def preceding_wind(onset: DataFrame, wind: DataFrame, lead_us: int = DAY_US, bar
 
 def setup_response(rows: DataFrame, back_h: int = 12, ahead_h: int = 24, share: float = 0.6, response_c: float = 2.0, every: int = 6) -> DataFrame:
     """Every n-th sample after a mostly favourable setup: mean speed behind, drop ahead, responded."""
-    back = W.partitionBy("station").orderBy("us").rangeBetween(-back_h * HOUR_US, 0)
-    ahead = W.partitionBy("station").orderBy("us").rangeBetween(0, ahead_h * HOUR_US)
+    back, ahead = _in_bucket(back_h * HOUR_US), _in_bucket(0, ahead_h * HOUR_US)
     fav = exprs.in_sector("dir_deg").cast("int")
-    out = rows.withColumn("k", F.row_number().over(_by_time("event_id"))).withColumn("share", F.avg(fav).over(back)).withColumn("speed", F.avg(F.when(fav == 1, F.col("speed_kn"))).over(back)).withColumn("low", F.min("temp_c").over(ahead))
+    numbered = scan.carried(rows, ["station"], ["us", "event_id"], sums={"k": F.lit(1)})
+    framed = scan.with_halo(numbered, back_h * HOUR_US, ahead_h * HOUR_US).withColumn("share", F.avg(fav).over(back)).withColumn("speed", F.avg(F.when(fav == 1, F.col("speed_kn"))).over(back)).withColumn("low", F.min("temp_c").over(ahead))
+    out = scan.own(framed)
     return out.where((F.col("k") % every == 1) & (F.col("share") >= share)).select("event_id", "station", F.col("speed").alias("setup_kn"), (F.col("temp_c") - F.col("low") >= response_c).alias("responded"))

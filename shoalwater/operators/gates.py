@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..plans.bindings import DAY_US, HOUR_US
 from . import events, profiles, reports
+from .scan import DAY_US, HOUR_US
 
 
 def forecast_gate(forecasts: DataFrame, nowcasts: DataFrame, observed: DataFrame, anchors: DataFrame, target: float, deep: float, max_age: int = 2, least: int = 5) -> DataFrame:

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs
-from ..plans.bindings import HOUR_US
-from . import events, verify
+from . import events, scan, verify
+from .scan import HOUR_US
 
 
 def anchor_rows(rows: DataFrame) -> DataFrame:
@@ -79,9 +79,11 @@ def tendency(rows: DataFrame, at_us: int, value: str, window_h: float = 3.0, ban
 
 def smoothed_direction(rows: DataFrame, half_h: int = 6) -> DataFrame:
     """Circular mean direction within +/- half_h of each sample."""
-    w = W.partitionBy("station").orderBy("us").rangeBetween(-half_h * HOUR_US, half_h * HOUR_US)
+    half = half_h * HOUR_US
+    w = W.partitionBy("station", "_b").orderBy("us").rangeBetween(-half, half)
     r = F.radians("dir_deg")
-    return rows.select("event_id", "station", F.avg(F.sin(r)).over(w).alias("s"), F.avg(F.cos(r)).over(w).alias("c")).select("event_id", "station", F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0)).alias("dir"))
+    framed = scan.own(scan.with_halo(rows.select("event_id", "station", "us", "dir_deg"), half, half).withColumns({"s": F.avg(F.sin(r)).over(w), "c": F.avg(F.cos(r)).over(w)}))
+    return framed.select("event_id", "station", F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0)).alias("dir"))
 
 
 def spaced(stations: DataFrame, step: int) -> DataFrame:
@@ -92,7 +94,7 @@ def spaced(stations: DataFrame, step: int) -> DataFrame:
     total = stations.groupBy("river").agg(F.max("cum").alias("total"))
     at = F.when(F.col("total") < step, F.array(F.floor(F.col("total") / 2))).otherwise(F.sequence(F.lit(0), F.col("total"), F.lit(step)).cast("array<bigint>"))
     targets = total.select("river", F.explode(at).alias("cum"))
-    return events.asof_join(targets, stations.select("river", "cum", "idx"), ["river"], ["idx"], time="cum")
+    return events.asof_join(targets, stations.select("river", "cum", "idx"), ["river"], ["idx"], time="cum", width=100_000)
 
 
 def sun_altitude(lat: Column, lon: Column, doy: Column, minute: Column) -> Column:

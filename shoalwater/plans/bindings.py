@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-HOUR_US = 3_600_000_000
-DAY_US = 24 * HOUR_US
+from ..operators.scan import DAY_US, HOUR_US  # noqa: F401  (used by the queries, too)
+
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

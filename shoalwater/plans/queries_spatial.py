@@ -239,7 +239,7 @@ def fn10(spark, d):
 def w07(spark, d):
     f = flows(spark, d).select(F.col("gauge").alias("station"), "day", (F.col("q") > 7).alias("ok"))
     first = f.groupBy("station").agg(F.min("day").alias("first"))
-    runs = events.islands(f, "ok", ["day"]).groupBy("station", "island").agg(F.min("day").alias("start_day"), F.max("day").alias("end_day"), F.count("*").alias("n"))
+    runs = events.islands(f, "ok", ["day"], 1000).groupBy("station", "island").agg(F.min("day").alias("start_day"), F.max("day").alias("end_day"), F.count("*").alias("n"))
     return runs.join(first, "station").select(F.col("station").alias("gauge"), "start_day", "end_day", "n", (F.col("start_day") == F.col("first")).alias("open_now"))
 
 
