@@ -3,7 +3,7 @@
 The matrix is sparse and global: a task cuts its documents into shards, counts each document's words
 under local numbers and keeps them as one CSR block a shard. The shards' distinct words (not the
 words of documents) are shuffled once to be numbered by one dictionary, and every shard's columns are
-renumbered by it. Row sums are the words of a document, nonzero counts its distinct words; they decide the
+renumbered by it where the two meet. Row sums are the words of a document, nonzero counts its distinct words; they decide the
 filters A and B. C and D come from the same pass over the text, E from the smallest id of each text.
 What is left are counts of documents by part and by the set of filters that fail, at most 128 for each
 part, from which all 120 orders follow.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import pin, table
+from .common import pin, release, table
 
 #: The filters; words that A asks for; B's and C's percentages; D's characters.
 FILTERS = "ABCDE"
@@ -28,11 +28,14 @@ MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 200, 50, 3
 SPECIAL = b"#$%&*|"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text and documents in a shard, about; a longer document is a shard of its own.
-SHARD_BYTES, SHARD_DOCS = 4_000_000, 20_000
+SHARD_BYTES, SHARD_DOCS = 10_000_000, 20_000
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
+#: Bits of a word's hash that number its cell of the dictionary, and bits of its rank there.
+CELL_BITS, RANK_BITS = 16, 40
 
-_SHARD = "shard long, id array<long>, part array<string>, points array<long>, upper array<long>, special array<boolean>, sha array<binary>, indptr array<long>, columns binary, counts binary, words array<string>"
+_SIDE = "shard long, id array<long>, part array<string>, points array<long>, upper array<long>, special array<boolean>, sha array<binary>, indptr array<long>, columns binary, counts binary"
+_TYPES = pa.schema([("shard", pa.int64()), ("id", pa.list_(pa.int64())), ("part", pa.list_(pa.string())), ("points", pa.list_(pa.int64())), ("upper", pa.list_(pa.int64())), ("special", pa.list_(pa.bool_())), ("sha", pa.list_(pa.binary())), ("indptr", pa.list_(pa.int64())), ("columns", pa.binary()), ("counts", pa.binary())])
 
 
 def count_words(text: bytes) -> Counter:
@@ -49,6 +52,15 @@ def count_words(text: bytes) -> Counter:
     return found
 
 
+def planes(values: np.ndarray) -> bytes:
+    """int32 values byte by byte: all lowest bytes first. Small values then compress well wherever they are stored."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(code: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(code, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 class _Shard:
     """Documents of one shard: their side columns, local dictionary and CSR arrays."""
 
@@ -57,8 +69,10 @@ class _Shard:
 
     def add(self, doc_id, part, points: int, text: bytes) -> None:
         found, index = count_words(text), self.index
-        self.columns.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found)))
-        self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
+        columns = np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found))
+        order = np.argsort(columns)
+        self.columns.append(columns[order])
+        self.counts.append(np.fromiter(found.values(), np.int32, len(found))[order])
         self.indptr.append(self.indptr[-1] + len(found))
         upper = len(text) - len(text.translate(None, UPPER))
         special = len(text.translate(None, SPECIAL)) < len(text)
@@ -70,91 +84,101 @@ class _Shard:
 
     def row(self, number: int) -> dict:
         ids, parts, points, upper, special, sha = zip(*self.side)
-        return {"shard": number, "id": ids, "part": parts, "points": points, "upper": upper, "special": special, "sha": sha, "indptr": self.indptr, "columns": np.concatenate(self.columns).tobytes(), "counts": np.concatenate(self.counts).tobytes(), "words": [w.decode() for w in self.index]}
+        steps = np.diff(np.concatenate([np.zeros(1, np.int32), *self.columns]))
+        return {"shard": number, "id": ids, "part": parts, "points": points, "upper": upper, "special": special, "sha": sha, "indptr": self.indptr, "columns": planes(steps), "counts": planes(np.concatenate(self.counts)), "words": pa.array(list(self.index), pa.binary()).cast(pa.string())}
 
 
-_TYPES = pa.schema([("shard", pa.int64()), ("id", pa.list_(pa.int64())), ("part", pa.list_(pa.string())), ("points", pa.list_(pa.int64())), ("upper", pa.list_(pa.int64())), ("special", pa.list_(pa.bool_())), ("sha", pa.list_(pa.binary())), ("indptr", pa.list_(pa.int64())), ("columns", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.string()))])
+def local_shards(docs: DataFrame) -> DataFrame:
+    """CSR blocks under local word numbers, with each shard's own dictionary. The caller pins them.
 
+    ``columns`` are the steps from each number to the next, ascending within a document; these and ``counts`` are byte planes.
+    """
+    types = _TYPES.append(pa.field("words", pa.list_(pa.string())))
 
-def local_shards(docs: DataFrame) -> DataFrame:
-    """CSR blocks under local word numbers, with each shard's own dictionary. The caller pins them."""
+    def batch_of(shard: _Shard, task: pa.Scalar, number: int) -> pa.RecordBatch:
+        row = shard.row((task.as_py() << 32) + number)
+        words = pa.ListArray.from_arrays(pa.array([0, len(row["words"])], pa.int32()), row["words"])
+        return pa.RecordBatch.from_arrays([*(pa.array([row[f.name]], f.type) for f in _TYPES), words], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, done = _Shard(), 0
         for batch in batches:
             for task, doc_id, part, points, text in zip(*(batch.column(i) for i in range(5))):
                 now.add(doc_id.as_py(), part.as_py(), points.as_py(), text.as_py())
                 if now.full():
-                    yield pa.RecordBatch.from_pylist([now.row((task.as_py() << 32) + done)], schema=_TYPES)
+                    yield batch_of(now, task, done)
                     now, done = _Shard(), done + 1
         if now.side:
-            yield pa.RecordBatch.from_pylist([now.row((task.as_py() << 32) + done)], schema=_TYPES)
+            yield batch_of(now, task, done)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     lean = docs.select(F.spark_partition_id().cast("long").alias("task"), F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.length(text).cast("long").alias("points"), text.cast("binary").alias("text"))
-    return lean.mapInArrow(run, _SHARD)
+    return lean.mapInArrow(run, _SIDE + ", words array<string>")
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """word, column: every distinct word of all shards once, numbered from 0 without gaps.
+def numbered(shards: DataFrame) -> DataFrame:
+    """word, column, shard, local: the global number of every word of every shard.
 
-    Words are numbered within the partitions that hold them after the shuffle; the counts of those
-    partitions, as many as there are shuffle partitions, give each its first number.
+    The words are shuffled once, by a cell of their hash; a word's column is its cell and its rank among the cell's
+    distinct words. That depends on the words alone: any task that runs again gives the same numbers.
     """
-    words = pin(shards.select(F.explode("words").alias("word")).distinct().withColumn("at", F.monotonically_increasing_id()), "words")
-    placed = words.select("word", F.shiftright("at", 33).alias("cell"), F.col("at").bitwiseAND(2**33 - 1).alias("place"))
-    sizes = placed.groupBy("cell").count()
-    first = sizes.select("cell", (F.sum("count").over(W.orderBy("cell")) - F.col("count")).alias("first"))
-    return placed.join(F.broadcast(first), "cell").select("word", (F.col("first") + F.col("place")).alias("column"))
+    uses = shards.select("shard", F.posexplode("words").alias("local", "word")).withColumn("cell", F.xxhash64("word").bitwiseAND((1 << CELL_BITS) - 1))
+    rank = F.dense_rank().over(W.partitionBy("cell").orderBy("word")).cast("long") - 1
+    return uses.select("word", (F.shiftleft("cell", RANK_BITS) + rank).alias("column"), "shard", "local")
+
+
+def _renumbered(shard, numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of a shard's row under the dictionary's numbers, and their counts."""
+    to = np.zeros(numbers.num_rows, np.int64)
+    to[numbers["local"].to_numpy()] = numbers["column"].to_numpy()
+    return to[np.cumsum(from_planes(shard["columns"][0].as_py()), dtype=np.int64)], from_planes(shard["counts"][0].as_py())
+
+
+def _matrix_row(shard, numbers):
+    columns, counts = _renumbered(shard, numbers)
+    new = {"columns": pa.array([columns.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())}
+    return pa.table({n: new.get(n, shard[n]) for n in _TYPES.names})
+
+
+def _row_sums(shard, numbers):
+    """The shard's rows summed: ``words``, the sums of the counts, and ``distinct``, the numbers of columns that are not zero."""
+    columns, counts = _renumbered(shard, numbers)
+    indptr = shard["indptr"][0].values.to_numpy()
+    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)))
+    used = np.concatenate((np.zeros(1, np.int64), np.cumsum(columns >= 0, dtype=np.int64)))
+    both = {"words": sums[indptr[1:]] - sums[indptr[:-1]], "distinct": used[indptr[1:]] - used[indptr[:-1]]}
+    return pa.table({**{n: shard[n] for n in _ROW}, **{k: pa.array([v], pa.list_(pa.int64())) for k, v in both.items()}})
+
+
+#: The side columns of a shard's documents.
+_ROW = ("id", "part", "points", "upper", "special", "sha")
+
+
+def _meet(docs: DataFrame, give, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Each shard with the global numbers of its words, as ``give`` turns them into a row; and the uses of words."""
+    local = pin(local_shards(docs), "shards")
+    uses = numbered(local)
+    both = local.drop("words").groupBy("shard").cogroup(uses.select("shard", "local", "column").groupBy("shard"))
+    return both.applyInArrow(lambda shard, numbers: give(shard, numbers), schema), uses
 
 
 def term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix as CSR shards, and its dictionary (word, column).
 
-    A shard is one row: the side columns of its documents in row order, ``indptr``, and
-    ``columns`` (int64) and ``counts`` (int32) as little-endian bytes, columns ascending in each row.
+    A shard is one row: the side columns of its documents in row order, ``indptr``, and ``columns`` (int64) and
+    ``counts`` (int32) as little-endian bytes. A column occurs once at most in a row.
     """
-    local = pin(local_shards(docs), "shards")
-    names = dictionary(local)
-    # one row a shard and distinct word, joined on the word: the commonest word has one row a shard
-    uses = local.select("shard", F.posexplode("words").alias("local", "word")).join(names.hint("merge"), "word")
-    maps = uses.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("local", "column"))).alias("m")).select("shard", F.col("m.column").alias("global"))
+    matrix, uses = _meet(docs, _matrix_row, _SIDE)
+    return matrix, uses.select("word", "column").distinct()
 
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                take = row.column("global")[0].values
-                numbers = np.zeros(0, np.int64) if take is None else take.to_numpy()
-                indptr = row.column("indptr")[0].values.to_numpy()
-                columns = numbers[np.frombuffer(row.column("columns")[0].as_py(), np.int32)]
-                order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-                counts = np.frombuffer(row.column("counts")[0].as_py(), np.int32)[order]
-                new = {"columns": pa.array([columns[order].tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())}
-                yield pa.RecordBatch.from_arrays([new.get(n, row.column(n)) for n in names_of], names=names_of)
-
-    matrix = local.drop("words").join(maps, "shard", "left")
-    kept = [f for f in matrix.schema.fields if f.name != "global"]
-    names_of = [f.name for f in kept]
-    return matrix.mapInArrow(renumber, type(matrix.schema)(kept)), names
-
-
-def failures(matrix: DataFrame) -> DataFrame:
-    """A row per document: id, part, sha, and fails, one bit each for A, B, C and D (1, 2, 4, 8)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                column = lambda n: batch.column(n)[i].values  # noqa: B023, E731
-                indptr = column("indptr").to_numpy()
-                sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.frombuffer(batch.column("counts")[i].as_py(), np.int32), dtype=np.int64)))
-                words, distinct = sums[indptr[1:]] - sums[indptr[:-1]], np.diff(indptr)
-                points, upper = column("points").to_numpy(), column("upper").to_numpy()
-                special = column("special").to_numpy(zero_copy_only=False)
-                fails = (words < MIN_WORDS) * 1 + (100 * distinct < MIN_DISTINCT * words) * 2 + (100 * upper > MAX_UPPER * points) * 4 + special * 8
-                yield pa.RecordBatch.from_arrays([column("id"), column("part"), column("sha"), pa.array(fails.astype(np.int32))], names=["id", "part", "sha", "fails"])
 
-    return matrix.select("id", "part", "sha", "indptr", "counts", "points", "upper", "special").mapInArrow(run, "id long, part string, sha binary, fails int")
+def failures(docs: DataFrame) -> DataFrame:
+    """A row per document: id, part, sha, and fails, one bit each for A, B, C and D (1, 2, 4, 8)."""
+    sums, _ = _meet(docs, _row_sums, "id array<long>, part array<string>, points array<long>, upper array<long>, special array<boolean>, sha array<binary>, words array<long>, distinct array<long>")
+    row = sums.select(F.inline(F.arrays_zip(*_ROW, "words", "distinct")))
+    bits = (F.col("words") < MIN_WORDS, 100 * F.col("distinct") < MIN_DISTINCT * F.col("words"), 100 * F.col("upper") > MAX_UPPER * F.col("points"), F.col("special"))
+    return row.select("id", "part", "sha", sum((F.when(b, 1 << k).otherwise(0) for k, b in enumerate(bits)), F.lit(0)).alias("fails"))
 
 
 def patterns(failed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,8 +229,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     never smaller nor larger. Repeated labels of an id count where one of them is set; labels without an id match nothing. Very long texts
     are read piece by piece. No documents give no rows.
     """
-    matrix, _ = term_matrix(docs)
-    return orders(pin(patterns(failures(matrix), labels), "patterns"))
+    return orders(pin(patterns(failures(docs), labels), "patterns"))
 
 
 def op11_filter_audit(spark, sf_dir: str) -> DataFrame:
