@@ -28,7 +28,7 @@ MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 200, 50, 3
 SPECIAL = b"#$%&*|"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text and documents in a shard, about; a longer document is a shard of its own.
-SHARD_BYTES, SHARD_DOCS = 10_000_000, 20_000
+SHARD_BYTES, SHARD_DOCS = 16_000_000, 20_000
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
 #: Bits of a word's hash that number its cell of the dictionary, and bits of its rank there.
