@@ -24,8 +24,10 @@ from .common import blocks_of, table
 
 #: Bound of the sample: pages, and characters of a page, that train the trees.
 SAMPLE, SAMPLE_CHARS = 300, 60_000
-VARIANTS = 2
-TREES, LEVELS, RATE, BINS = 50, 4, 0.25, 32
+VARIANTS = 5
+TREES, LEVELS, RATE, BINS = 80, 5, 0.3, 24
+#: Added to a leaf's second derivatives: a handful of training nodes moves a score little.
+CALM = 2.0
 
 # HTML's elements by role, and words that sites use in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +37,8 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAGS = ("p", "h", "li", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "table", "list", "quote", "control", "other")
 TAG_GROUP = {"p": "p", **{f"h{i}": "h" for i in range(1, 7)}, "li": "li", "div": "div", "article": "article", "main": "main", "section": "section", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "table": "table", "tr": "table", "td": "table", "th": "table", "tbody": "table", "ul": "list", "ol": "list", "dl": "list", "blockquote": "quote", "pre": "quote", "figure": "quote", "button": "control", "select": "control", "option": "control", "fieldset": "control", "dialog": "control"}
+#: Elements that hold a part of a page, as tag groups.
+BOXES = frozenset(("article", "main", "div", "section", "nav", "header", "footer", "aside", "form"))
 TOKENS = (
     ("menu", "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs toolbar skip"),
     ("head", "header masthead topbar logo brand hero"),
@@ -48,11 +52,94 @@ TOKENS = (
 )
 GROUP_OF = {w: g for g, (_, words) in enumerate(TOKENS) for w in words.split()}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"""[>"']""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMED = frozenset(("class", "id", "role", "aria-label"))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _STOPS = re.compile(r"[.,;:!?]")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+
+
+def markup(source: str) -> Iterator[tuple[str, str, str]]:
+    """A page as ("", text, ""), ("<", tag, attributes) and ("/", tag, "") in order, in linear time.
+
+    A tag ends at the first ``>`` outside its quoted values; a quote opens a value only after ``=``, and if it never
+    closes, the first ``>`` ends the tag. A ``<`` that no letter, ``/``, ``!`` or ``?`` follows is text. Comments,
+    declarations and a last tag that never ends are left out. Of the elements in ``RAW`` nothing comes but, if such an element
+    is never closed and is no script or style, what follows its start.
+    """
+    at, n, gone = 0, len(source), set()
+
+    def seek(what: str, start: int) -> int:
+        """Where ``what`` comes next; what does not occur any more is not searched for again."""
+        if what in gone:
+            return -1
+        i = source.find(what, start)
+        if i < 0:
+            gone.add(what)
+        return i
+
+    def tag_end(start: int) -> int:
+        p = start
+        while m := _QUOTE_OR_END.search(source, p):
+            q = m.start()
+            if m[0] == ">":
+                return q
+            p, j = q + 1, q - 1
+            while j >= start and source[j].isspace():
+                j -= 1
+            if j >= start and source[j] == "=":
+                close = seek(m[0], p)
+                if close < 0:
+                    return seek(">", start)
+                p = close + 1
+        return -1
+
+    while at < n:
+        lt = seek("<", at)
+        if lt < 0:
+            yield "", source[at:], ""
+            return
+        close = source[lt + 1 : lt + 2] == "/"
+        name = _NAME.match(source, lt + 1 + close)
+        if not (name or close or source[lt + 1 : lt + 2] in ("!", "?")):
+            yield "", source[at : lt + 1], ""
+            at = lt + 1
+            continue
+        if lt > at:
+            yield "", source[at:lt], ""
+        if source.startswith("<!--", lt):
+            end = seek(">", lt) - 2 if source.startswith(("<!-->", "<!--->"), lt) else seek("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if not name:
+            at = seek(">", lt) + 1 or n
+            continue
+        end = tag_end(name.end())
+        if end < 0:
+            return
+        tag, at = name[0].lower(), end + 1
+        if close:
+            yield "/", tag, ""
+        elif tag not in RAW:
+            yield "<", tag, source[name.end() : end]
+        elif source[end - 1] != "/":
+            found = None if tag in gone else _END[tag].search(source, at)
+            if found:
+                at = found.end()
+            elif tag in ("script", "style"):
+                return
+            else:
+                gone.add(tag)
+
+
+def attribute_groups(attributes: str) -> frozenset:
+    """The groups of ``TOKENS`` that the words of class, id, role and aria-label belong to."""
+    values = (a[2] or a[3] or a[4] for a in _ATTR.finditer(attributes) if a[1].lower() in _NAMED)
+    words = (w.lower() for v in values if v for w in _PART.findall(v))
+    return frozenset(GROUP_OF[w] for w in words if w in GROUP_OF)
 
 
 class Page:
@@ -65,75 +152,72 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones share their block's node
+        blocks, opened = [0], {"html": [0]}  # places in the stack: of block elements, and of each tag
         buffer: list[str] = []
-        linked, links, at = 0, 0, 0
+        linked, links = 0, 0
 
         def flush() -> None:
             nonlocal linked
-            text = _SPACE.sub(" ", html_.unescape("".join(buffer))).strip()
+            text = _SPACE.sub(" ", html_.unescape("".join(buffer))).strip() if buffer else ""
             if text:
-                self.runs.append((stack[-1][1], text, min(linked, len(text))))
+                self.runs.append((stack[blocks[-1]][1], text, min(linked, len(text))))
             buffer.clear()
             linked = 0
 
+        def push(tag: str, node: int) -> None:
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node))
+
         def pop_to(i: int) -> None:
             nonlocal links
             while len(stack) > i:
-                if stack[-1][0] not in INLINE:
+                tag = stack[-1][0]
+                if tag and tag not in INLINE:
                     flush()
-                elif stack[-1][0] == "a":
-                    links -= 1
+                    blocks.pop()
+                if tag:
+                    opened[tag].pop()
+                    links -= tag == "a"
                 stack.pop()
 
-        def add(raw: str) -> None:
-            nonlocal linked
-            buffer.append(raw)
-            if links:
-                linked += len(raw)
-
-        while m := _TOKEN.search(source, at):
-            if m.start() > at:
-                add(source[at : m.start()])
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
-                continue
-            if tag in VOID:
+        for kind, tag, rest in markup(source):
+            if not kind:
+                buffer.append(tag)
+                if links:
+                    linked += len(tag)
+            elif kind == "/":
+                places = opened.get(tag)
+                if not places or places[-1] == 0:
+                    continue
+                if tag in INLINE and places[-1] < blocks[-1]:  # it began outside of this block, which stays open
+                    links -= tag == "a"
+                    stack[places.pop()] = ("", 0)
+                else:
+                    pop_to(places[-1])
+            elif tag in VOID:
                 if tag in ("br", "hr"):
                     buffer.append(" ")
-                continue
-            if tag in RAW:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else len(source)
-                continue
-            if tag in INLINE:
-                stack.append((tag, stack[-1][1]))
+            elif tag in INLINE:
+                push(tag, 0)
                 links += tag == "a"
-                continue
-            shut = SAME.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                open_ = stack[i][0]
-                if open_ in shut or (open_ == "p" and tag in CLOSES_P):
-                    pop_to(i)
-                    break
-                if open_ not in INLINE and open_ != "p" and not (shut and open_ in ("p", "td", "th", "dd")):
-                    break
-            flush()
-            words = {w.lower() for a in _ATTR.finditer(m[3]) for w in _PART.findall(a[2] or a[3] or a[4] or "")} if m[3] else ()
-            self.tag.append(tag)
-            self.parent.append(stack[-1][1])
-            self.depth.append(self.depth[stack[-1][1]] + 1)
-            self.groups.append(frozenset(GROUP_OF[w] for w in words if w in GROUP_OF))
-            stack.append((tag, len(self.tag) - 1))
-        if at < len(source):
-            add(source[at:])
+            else:
+                shut = SAME.get(tag, ())
+                if shut or tag in CLOSES_P:
+                    for i in reversed(blocks):
+                        open_ = stack[i][0]
+                        if i and (open_ in shut or (open_ == "p" and tag in CLOSES_P)):
+                            pop_to(i)
+                            break
+                        if open_ != "p" and not (shut and open_ in ("td", "th", "dd")):
+                            break
+                flush()
+                up = stack[blocks[-1]][1]
+                self.tag.append(tag)
+                self.parent.append(up)
+                self.depth.append(self.depth[up] + 1)
+                self.groups.append(attribute_groups(rest) if rest else frozenset())
+                blocks.append(len(stack))
+                push(tag, len(self.tag) - 1)
         flush()
         pop_to(1)
         flush()
@@ -170,11 +254,19 @@ class Page:
             nodes[p] += nodes[i]
             paragraphs[p] += paragraphs[i]
         up = np.maximum(np.array(parent), 0)
+        box = [0] * n  # the nearest container above a node
+        for i in range(1, n):
+            box[i] = parent[i] if kinds[parent[i]] in BOXES else box[parent[i]]
+        outer = np.array(box)[box]
+        kin: dict[tuple, int] = {}  # siblings of one tag and the same attribute groups
+        kind = np.array([kin.setdefault((parent[i], self.tag[i], self.groups[i]), len(kin)) for i in range(n)])
+        alike = np.bincount(kind)
+        mean, mean_link = np.bincount(kind, sub) / alike, np.bincount(kind, sub_link) / np.maximum(1, np.bincount(kind, sub))
         total = max(1.0, sub[0])
         start = np.arange(n) / n
         tags = np.zeros((n, len(TAGS)))
         tags[np.arange(n), [TAGS.index(k) for k in kinds]] = 1
-        dense = np.stack([np.array(self.depth, float), np.log1p(own), np.log1p(sub), sub / total, sub[up] / total, sub_link / np.maximum(1, sub), sub_stops / np.maximum(1, sub), sub / nodes, np.log1p(nodes), np.log1p(paragraphs), paragraphs[up], index, children[up], (index + 1) / np.maximum(1, children[up]), start, sub / np.maximum(1, sub[up]), runs, sub_link[up] / np.maximum(1, sub[up])], axis=1)
+        dense = np.stack([np.array(self.depth, float), np.log1p(own), np.log1p(sub), sub / total, sub[up] / total, sub_link / np.maximum(1, sub), sub_stops / np.maximum(1, sub), sub / nodes, np.log1p(nodes), np.log1p(paragraphs), paragraphs[up], index, children[up], (index + 1) / np.maximum(1, children[up]), start, sub / np.maximum(1, sub[up]), runs, sub_link[up] / np.maximum(1, sub[up]), *(f for b in (np.array(box), outer) for f in (np.log1p(sub[b]), sub[b] / total, sub_link[b] / np.maximum(1, sub[b]), sub_stops[b] / np.maximum(1, sub[b]), paragraphs[b], sub[b] / nodes[b])), own / np.maximum(1, sub[box]), np.log1p(alike[kind]), np.log1p(mean[kind]), mean_link[kind]], axis=1)
         return np.concatenate((dense, tags, flags, above), axis=1)
 
     def text(self, keep_logit: np.ndarray) -> str:
@@ -221,6 +313,8 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator) -> tuple[
     blocks = [(page.tag[i], t) for i, t, _ in page.runs if content[i]]
     if rng.random() < 0.4:
         blocks = [(tag, t[: int(rng.integers(8, 120))].strip() or t) for tag, t in blocks[: int(rng.integers(1, 4))]]
+    elif blocks and rng.random() < 0.06:  # a very long page: what a block's share of the page is tells little
+        blocks = (blocks * 400)[: int(rng.integers(60, 400))]
     words = " ".join(t for _, t, _ in page.runs).split() or ["a"]
 
     def some(low: int, high: int) -> str:
@@ -228,17 +322,26 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator) -> tuple[
         at = int(rng.integers(0, max(1, len(words) - n)))
         return esc(" ".join(words[at : at + n]))
 
-    def pick(*options: str) -> str:
+    def pick(*options):
         return options[int(rng.integers(len(options)))]
 
     def wrap(opening: str, inner: str) -> str:
         return f"<{opening}>{inner}</{opening.split()[0]}>"
 
     def items() -> str:
+        n = int(rng.integers(3, 10))
+        shape = rng.random()
+        if shape < 0.15:
+            return "<table>" + "".join(f'<tr><td><a href="/{k}">{some(1, 5)}</a></td><td>{some(1, 3)}</td></tr>' for k in range(n)) + "</table>"
+        if shape < 0.3:
+            return "".join(f'<div><a href="/{k}">{some(1, 6)}</a></div>' for k in range(n))
+        if shape < 0.4:
+            return "<dl>" + "".join(f'<dt>{some(1, 3)}</dt><dd><a href="/{k}">{some(1, 5)}</a></dd>' for k in range(n)) + "</dl>"
         return "<ul>" + "".join(f'<li><a href="/{k}">{some(1, 5)}</a></li>' for k in range(int(rng.integers(3, 10)))) + "</ul>"
 
     def para(low: int, high: int, most: int) -> str:
-        return "".join(f"<p>{some(low, high)}</p>" for _ in range(int(rng.integers(1, most))))
+        tag = pick("p", "p", "div", "li")
+        return "".join(f"<{tag}>{some(low, high)}</{tag}>" for _ in range(int(rng.integers(1, most))))
 
     menu = lambda: wrap(pick("nav", 'div class="menu"', 'div id="navbar"', 'nav class="main-nav"', 'ul class="breadcrumbs"'), items())
     head = lambda: wrap(pick("header", 'div class="header"', 'div id="masthead"'), f"<h1>{some(1, 6)}</h1>" * int(rng.integers(0, 2)) + pick(menu(), f"<p>{some(2, 12)}</p>"))
@@ -249,11 +352,61 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator) -> tuple[
     comments = lambda: wrap(pick('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'div id="disqus_thread"'), f"<h3>{some(1, 4)}</h3>" + "".join(wrap(pick('div class="comment"', 'article class="comment"', "li"), para(5, 60, 3)) for _ in range(int(rng.integers(1, 5)))))
     foot = lambda: wrap(pick("footer", 'div class="footer"', 'div id="colophon"'), pick(f"&copy; {some(3, 30)}", para(4, 30, 3), items()))
 
+    texts: list[str] = []
+
+    def say(t: str) -> str:
+        texts.append(t)
+        return esc(t)
+
+    def short(t: str, least: int, most: int, times: int) -> list[str]:
+        """Up to ``times`` fragments of a text, of so many words."""
+        w, out = t.split(), []
+        while w and len(out) < times:
+            n = int(rng.integers(least, most))
+            out.append(" ".join(w[:n]))
+            w = w[n:]
+        return out
+
+    def blocks_of_text(group: list[tuple[str, str]], usual: str) -> str:
+        return "".join(f"<{tag}>{say(t)}</{tag}>" for tag, t in ((tag if re.fullmatch(r"h[1-6]|blockquote|pre", tag) else usual, t) for tag, t in group))
+
+    def laid(group: list[tuple[str, str]], usual: str) -> str:
+        """Some neighbouring blocks of the article in one of the shapes that articles have, whole or in fragments."""
+        t = [x for _, x in group]
+        shape = int(rng.integers(9))
+        if shape < 4 and rng.random() < 0.8:  # cells and items are mostly short
+            t = [y for x in t for y in short(x, 1, int(rng.integers(4, 24)), int(rng.integers(2, 9)))]
+        if shape == 0:
+            return wrap(pick("ul", "ol"), "".join(f"<li>{say(x)}</li>" for x in t))
+        if shape in (1, 2):
+            row, cell = int(rng.integers(1, 4)), pick("td", "td", "th")
+            rows_ = [t[i : i + row] for i in range(0, len(t), row)]
+            inner_ = "".join("<tr>" + "".join(f"<{(c := 'th' if k == 0 and cell == 'th' else 'td')}>{say(x)}</{c}>" for k, x in enumerate(r)) + "</tr>" for r in rows_)
+            return wrap("table", pick(inner_, wrap("tbody", inner_)))
+        if shape == 3:
+            return wrap("dl", "".join(f"<{('dt', 'dd')[i % 2]}>{say(x)}</{('dt', 'dd')[i % 2]}>" for i, x in enumerate(t)))
+        head = short(t[0], 2, 9, 1) or [t[0]]
+        if shape == 4:
+            return blocks_of_text([(usual, x) for x in t[1:]], usual) + f"<figure><img src=x><figcaption>{say((short(t[0], 4, 22, 1) or head)[0])}</figcaption></figure>"
+        if shape == 5:
+            return f"<details><summary>{say(head[0])}</summary>{blocks_of_text([(usual, x) for x in t], usual)}</details>"
+        if shape == 6:
+            inner_ = f"<{(h := pick('h2', 'h3', 'h4'))}>{say(head[0])}</{h}>" + blocks_of_text([(usual, x) for x in t], usual)
+            return pick(inner_, wrap(pick("section", "div"), inner_))
+        if shape == 7:
+            return "".join(pick(f"<blockquote>{(y := say(x))}</blockquote>", f"<blockquote><p>{y}</p></blockquote>", f"<pre><code>{y}</code></pre>") for x in t)
+        return blocks_of_text([("div", x) for x in t], "div")
+
     inner: list[str] = []
-    for tag, t in blocks:
-        inner.append(f"<{tag}>{esc(t)}</{tag}>" if re.fullmatch(r"p|h[1-6]|li|blockquote|pre", tag) else f"<p>{esc(t)}</p>")
-        if rng.random() < 0.08:
-            inner.append(pick(advert(), side(), form()))
+    usual, mixed, i = pick("p", "p", "div"), rng.random() < 0.65, 0
+    while i < len(blocks):
+        group = blocks[i : i + int(rng.integers(1, 4))]
+        i += len(group)
+        if rng.random() < 0.25 and (title := short(group[0][1], 1, 9, 1)):
+            inner.append(f"<{(h := pick('h1', 'h2', 'h3', 'h4'))}>{say(title[0])}</{h}>")
+        inner.append(laid(group, usual) if mixed and rng.random() < 0.5 else blocks_of_text(group, usual))
+        if rng.random() < 0.2:
+            inner.append(pick(advert(), advert(), side(), form()))
     if rng.random() < 0.3:
         inner.append(pick(comments(), side(), wrap('div class="share"', items())))
     body = wrap(pick("article", "main", 'div class="post-content"', 'div id="content"', 'section class="entry"', 'div role="main"', 'div class="story-body"', "div"), "".join(inner))
@@ -265,7 +418,7 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator) -> tuple[
         body = wrap("div", body + side())
     if rng.random() < 0.1:  # a bare fragment
         return pick("", "<body>") + "".join(f"<p>{esc(t)}</p>" if k or rng.random() < 0.5 else esc(t) for k, (_, t) in enumerate(blocks)), [t for _, t in blocks]
-    return "<html><body>" + "".join(before) + body + "".join(after) + "</body></html>", [t for _, t in blocks]
+    return "<html><body>" + "".join(before) + body + "".join(after) + "</body></html>", texts
 
 
 class Trees:
@@ -276,10 +429,12 @@ class Trees:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         self.bias = float(np.log(rate / (1 - rate)))
-        b, f = self._binned(x), np.full(len(x), self.bias)
+        b, f, rng = self._binned(x), np.full(len(x), self.bias), np.random.default_rng(5)
         for _ in range(TREES if len(x) else 0):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(b, p - y, p * (1 - p))
+            some = np.sort(rng.permutation(x.shape[1])[: -(-x.shape[1] // 2)])  # half of the features, drawn anew for each tree
+            feature, cut, value = self._grow(b[:, some], p - y, p * (1 - p))
+            tree = some[feature], cut, value
             self.trees.append(tree)
             f += self._leaf(tree, b)
 
@@ -298,7 +453,7 @@ class Trees:
             sg = np.bincount(slot.ravel(), np.repeat(g, m), width * m * BINS).reshape(shape).cumsum(axis=2)
             sh = np.bincount(slot.ravel(), np.repeat(h, m), width * m * BINS).reshape(shape).cumsum(axis=2)
             tg, th = sg[:, :, -1:], sh[:, :, -1:]
-            gain = sg**2 / (sh + 1) + (tg - sg) ** 2 / (th - sh + 1) - tg**2 / (th + 1)
+            gain = sg**2 / (sh + CALM) + (tg - sg) ** 2 / (th - sh + CALM) - tg**2 / (th + CALM)
             gain[(sh < 1e-3) | (th - sh < 1e-3)] = 0
             best = gain.reshape(width, -1).argmax(axis=1)
             top = gain.reshape(width, -1).max(axis=1)
@@ -307,7 +462,7 @@ class Trees:
             at = 2 * at + 1 + (b[np.arange(n), feature[at]] > cut[at])
         leaf = at - inner
         size = 1 << LEVELS
-        value = -RATE * np.bincount(leaf, g, size) / (np.bincount(leaf, h, size) + 1)
+        value = -RATE * np.bincount(leaf, g, size) / (np.bincount(leaf, h, size) + CALM)
         return feature, cut, value
 
     @staticmethod
@@ -329,20 +484,26 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from about ``sample`` pages, chosen by a hash, and ``VARIANTS`` layouts of each."""
     rows = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
     n = max(1, rows.count())
-    share = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(1_000_000)) < max(1, int(sample * 1_000_000 / n))
+    hashed = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    share = F.pmod(hashed, F.lit(1_000_000)) < max(1, int(sample * 1_000_000 / n))
+    return learn([(r["page_id"], r["html"]) for r in rows.where(share).select("page_id", "html").orderBy(hashed, "page_id", "html").limit(2 * sample).collect()])
+
+
+def learn(sample: list[tuple[int | None, str]]) -> Trees:
+    """Trees from pages (page_id, html); those that do not mark their article by tag teach nothing."""
     xs, ys = [], []
-    for r in rows.where(share).select("page_id", "html").orderBy("page_id").limit(2 * sample).collect():
-        page = Page(r["html"])
+    for page_id, source in sample:
+        page = Page(source)
         content = marked_content(page)
         if content is None:
             continue
         xs.append(page.features())
         ys.append(content)
-        rng = np.random.default_rng([11, abs(r["page_id"] or 0)])
+        rng = np.random.default_rng([11, abs(page_id or 0)])
         first = [k for k, (node, _, _) in enumerate(page.runs) if content[node]][: int(rng.integers(1, 4))]
         most = int(rng.integers(4, 60))
         page.runs = [(node, t[:most], min(links, most)) if content[node] else (node, t, links) for k, (node, t, links) in enumerate(page.runs) if k in first or not content[node]]
-        full = Page(r["html"])
+        full = Page(source)
         xs.append(page.features())
         ys.append(content)
         for _ in range(VARIANTS):
