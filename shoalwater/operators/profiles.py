@@ -12,6 +12,11 @@ def layer_depths(siglay: Column, h: Column, zeta: Column) -> Column:
     return F.when(wrong, F.raise_error(F.lit("layers must not be positive, the column must be")).cast("array<double>")).otherwise(F.transform(siglay, lambda s: -s * column))
 
 
+def _once(depths: Column, temps: Column, then) -> Column:
+    """``then(depths, temps)`` with both arrays worked out once, not once for each element that a lambda looks at."""
+    return F.get(F.transform(F.array(F.struct(depths.alias("z"), temps.alias("t"))), lambda b: then(b["z"], b["t"])), F.lit(0))
+
+
 def _segments(depths: Column, temps: Column) -> Column:
     """Neighbouring levels as structs (z0, t0, z1, t1), shallow to deep."""
     n = F.size(depths)
@@ -35,6 +40,10 @@ def crossing(depths: Column, temps: Column, target: Column | float, colder: bool
     depth is only a bound; ``below_bottom`` has no depth. An exact hit counts.
     """
     t = target if isinstance(target, Column) else F.lit(float(target))
+    return _once(depths, temps, lambda z, x: _crossing(z, x, t, colder))
+
+
+def _crossing(depths: Column, temps: Column, t: Column, colder: bool) -> Column:
     beyond = (lambda x: x <= t) if colder else (lambda x: x >= t)
     hit = F.get(F.filter(_segments(depths, temps), lambda s: ~beyond(s["t0"]) & beyond(s["t1"])), F.lit(0))
     z = hit["z0"] + (t - hit["t0"]) / (hit["t1"] - hit["t0"]) * (hit["z1"] - hit["z0"])

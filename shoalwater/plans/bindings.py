@@ -85,12 +85,12 @@ FLOWS = """flows AS (SELECT o_orderpriority AS gauge, datediff('day', DATE '1970
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node, depths (ascending), temps: a vertical profile a row, of 20 levels."""
-    v = F.slice("embedding", 1, 20)
+    """node, depths (ascending), temps: a vertical profile a row, a level for each component."""
+    v = F.col("embedding")
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.transform(v, lambda x, i: (i + 1).cast("double")).alias("depths"), F.transform(v, lambda x: F.lit(12) + F.lit(20) * x.cast("double")).alias("temps"), F.col("label").alias("label"))
 
 
-PROFILES = """levels AS (SELECT vec_id AS node, label, unnest(range(1, 21))::DOUBLE AS depth, 12 + 20 * unnest(embedding[1:20])::DOUBLE AS temp FROM embeddings)"""
+PROFILES = """levels AS (SELECT vec_id AS node, label, unnest(range(1, len(embedding) + 1))::DOUBLE AS depth, 12 + 20 * unnest(embedding)::DOUBLE AS temp FROM embeddings)"""
 
 
 def places(spark: SparkSession, sf_dir: str, name: str, key: str, id_: str) -> DataFrame:

@@ -83,7 +83,7 @@ def agg50_tune(spark, d):
 
 
 # episodes start at least two days apart, so with a tolerance of one day only the day before can be taken already
-@query("AGG-50", f"""WITH RECURSIVE {TEMPS}, tt AS (SELECT event_id, station, us + length(station) * 9 * {HOUR_US} AS us, temp_c FROM temps WHERE us // {DAY_US} % 5 <> 0), {_episodes('tru', 3.0, 1.0, _HELD, 'tt')}, {_episodes('det', 4.0, 2.0, _HELD)},
+@query("AGG-50", f"""WITH RECURSIVE {TEMPS}, tt AS (SELECT event_id, station, us + length(station) * 9 * {HOUR_US} AS us, CASE WHEN us // {DAY_US} % 5 <> 0 THEN temp_c END AS temp_c FROM temps), {_episodes('tru', 3.0, 1.0, _HELD, 'tt')}, {_episodes('det', 4.0, 2.0, _HELD)},
 q AS (SELECT t.station, t.day, row_number() OVER (PARTITION BY t.station ORDER BY t.day) AS k, e.day IS NOT NULL AS same, b.day IS NOT NULL AS before, a.day IS NOT NULL AS after FROM tru t LEFT JOIN det e ON e.station = t.station AND e.day = t.day LEFT JOIN det b ON b.station = t.station AND b.day = t.day - 1 LEFT JOIN det a ON a.station = t.station AND a.day = t.day + 1),
 g(station, k, used, hit) AS (SELECT DISTINCT station, 0::BIGINT, -9::BIGINT, 0 FROM q UNION ALL SELECT q.station, q.k, CASE WHEN same THEN q.day WHEN before AND used <> q.day - 1 THEN q.day - 1 WHEN after THEN q.day + 1 ELSE used END, (same OR after OR (before AND used <> q.day - 1))::INT FROM g JOIN q ON q.station = g.station AND q.k = g.k + 1),
 h AS (SELECT station, sum(hit) AS hits FROM g GROUP BY station), nt AS (SELECT station, count(*) AS nt FROM tru GROUP BY station), nd AS (SELECT station, count(*) AS nd FROM det GROUP BY station),
@@ -92,7 +92,7 @@ SELECT hits, nt - hits AS misses, nd - hits AS false_alarms, round(hits / nullif
 def agg50(spark, d):
     held = F.floor(F.col("us") / DAY_US) >= SPLIT_DAY
     t = temps(spark, d)
-    late = t.where(F.floor(F.col("us") / DAY_US) % 5 != 0).withColumn("us", F.col("us") + F.length("station") * 9 * HOUR_US)  # a second witness, with gaps
+    late = t.withColumn("temp_c", F.when(F.floor(F.col("us") / DAY_US) % 5 != 0, F.col("temp_c"))).withColumn("us", F.col("us") + F.length("station") * 9 * HOUR_US)  # a second witness, with gaps
     return _rounded(ops.scorecard(ops.onset_episodes(late.where(held), 3.0, 1.0), ops.onset_episodes(t.where(held), 4.0, 2.0), 107), "pod", "far", "chance_pod")
 
 

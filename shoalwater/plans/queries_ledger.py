@@ -62,13 +62,13 @@ def pf09(spark, d):
     return ops.closed(p, rules).select("id", "rule")
 
 
-@query("PF-10", "WITH r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'T2' ELSE 'T1' END AS tier, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'x' END AS verified, s_nationkey FROM supplier) SELECT id, 'tier' AS problem FROM r WHERE tier <> 'T1' UNION ALL SELECT id, 'unverified' FROM r WHERE verified IS NULL UNION ALL SELECT id, 'no entry' FROM r WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0)")
+@query("PF-10", "WITH r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'T2' ELSE 'T1' END AS tier, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'x' END AS verified, s_nationkey AS n, s_suppkey % 5000 AS slot FROM supplier) SELECT id, 'tier' AS problem FROM r WHERE tier <> 'T1' UNION ALL SELECT id, 'unverified' FROM r WHERE verified IS NULL UNION ALL SELECT id, 'no entry' FROM r WHERE (n, slot) NOT IN (SELECT (c_nationkey, c_custkey % 5000) FROM customer)")
 def pf10(spark, d):
     k = F.col("s_suppkey")
-    r = load(spark, d, "supplier").select(k.alias("id"), F.when(k % 4 == 0, "T2").otherwise("T1").alias("tier"), F.when(k % 7 != 0, "x").alias("verified"), "s_nationkey")
-    backing = load(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("s_nationkey"))
+    r = load(spark, d, "supplier").select(k.alias("id"), F.when(k % 4 == 0, "T2").otherwise("T1").alias("tier"), F.when(k % 7 != 0, "x").alias("verified"), F.col("s_nationkey").alias("n"), (k % 5000).alias("slot"))
+    backing = load(spark, d, "customer").select(F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 5000).alias("slot"))
     found = lambda df, what: df.select("id", F.lit(what).alias("problem"))
-    return found(r.where("tier <> 'T1'"), "tier").union(found(r.where("verified IS NULL"), "unverified")).union(found(r.join(backing, "s_nationkey", "left_anti"), "no entry"))
+    return found(r.where("tier <> 'T1'"), "tier").union(found(r.where("verified IS NULL"), "unverified")).union(found(r.join(backing, ["n", "slot"], "left_anti"), "no entry"))
 
 
 @query("PF-15", "SELECT p_partkey, CASE WHEN (d_iso IS NULL OR abs(d_iso) <= 8) AND abs(d_ml) <= 4 THEN 'ok' ELSE 'DIVERGENT' END AS verdict FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_size - 25 END AS d_iso, p_partkey % 13 - 6 AS d_ml FROM part)")
@@ -131,11 +131,11 @@ def j13(spark, d):
     return ops.longest_alias(texts, spark.createDataFrame(ALIASES, "alias string, place string, ord int"))
 
 
-@query("J-14", f"""WITH {b.FLOWS}, q AS (SELECT DISTINCT o_orderpriority AS gauge, datediff('day', DATE '1970-01-01', o_orderdate::DATE) + 2 AS day FROM orders WHERE o_orderkey % 11 = 0)
-SELECT q.gauge, q.day, arg_max(f.day, f.day) AS found_day, round(arg_max(q, f.day), 9) AS q, CASE WHEN count(f.day) = 0 THEN 'nothing within 4 days' END AS reason FROM q LEFT JOIN (SELECT * FROM flows WHERE day % 3 <> 0) f ON f.gauge = q.gauge AND f.day BETWEEN q.day - 4 AND q.day GROUP BY ALL""")
+@query("J-14", f"""WITH {b.FLOWS}, q AS (SELECT DISTINCT o_orderpriority AS gauge, datediff('day', DATE '1970-01-01', o_orderdate::DATE) + 2 AS day FROM orders)
+SELECT q.gauge, q.day, arg_max(f.day, f.day) AS found_day, round(arg_max(q, f.day), 9) AS q, CASE WHEN count(f.day) = 0 THEN 'nothing within 4 days' END AS reason FROM q LEFT JOIN (SELECT * FROM (SELECT gauge, day, CASE WHEN day % 11 >= 7 THEN q END AS q FROM flows) WHERE q IS NOT NULL) f ON f.gauge = q.gauge AND f.day BETWEEN q.day - 4 AND q.day GROUP BY ALL""")
 def j14(spark, d):
-    asked = load(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderpriority").alias("gauge"), (b.day_of("o_orderdate") + 2).alias("day")).distinct()
-    there = b.flows(spark, d).where("day % 3 <> 0").select("gauge", F.col("day").alias("found_day"), F.col("q"))
+    asked = load(spark, d, "orders").select(F.col("o_orderpriority").alias("gauge"), (b.day_of("o_orderdate") + 2).alias("day")).distinct()
+    there = b.flows(spark, d).withColumn("q", F.when(F.col("day") % 11 >= 7, F.col("q"))).where("q IS NOT NULL").select("gauge", F.col("day").alias("found_day"), F.col("q"))  # most days have no value yet
     near = asked.withColumn("found_day", F.explode(F.sequence(F.col("day") - 4, F.col("day")))).join(there, ["gauge", "found_day"])
     best = near.groupBy("gauge", "day").agg(F.max(F.struct("found_day", "q")).alias("m"))
     return asked.join(best, ["gauge", "day"], "left").select("gauge", "day", "m.found_day", F.round("m.q", 9).alias("q"), F.when(F.col("m").isNull(), "nothing within 4 days").alias("reason"))
@@ -206,12 +206,12 @@ def set02(spark, d):
     return ops.merge_shards(new, log, "id", ["doc_id"])
 
 
-@query("SRC-03", "SELECT event_id, event_type, epoch_us(ts) AS us FROM events WHERE event_id % 4 = 1 AND (event_type, epoch_us(ts) // 3600000000) NOT IN (SELECT (event_type, epoch_us(ts) // 3600000000) FROM events WHERE event_id % 4 = 0)")
+@query("SRC-03", "SELECT event_id, event_type, epoch_us(ts) AS us FROM events WHERE event_id % 2 = 1 AND (event_type, epoch_us(ts) // 600000000) NOT IN (SELECT (event_type, epoch_us(ts) // 600000000) FROM events WHERE event_id % 2 = 0)")
 def src03(spark, d):
-    e = load(spark, d, "events").select("event_id", "event_type", b.micros("ts").alias("us")).withColumn("h", F.floor(F.col("us") / HOUR_US))
+    e = load(spark, d, "events").select("event_id", "event_type", b.micros("ts").alias("us")).withColumn("h", F.floor(F.col("us") / (HOUR_US // 6)))
     from ..sources.landed import new_rows
 
-    return new_rows(e.where("event_id % 4 = 1"), e.where("event_id % 4 = 0"), ["event_type", "h"]).select("event_id", "event_type", "us")
+    return new_rows(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), ["event_type", "h"]).select("event_id", "event_type", "us")
 
 
 @query("SRC-04", "SELECT event_id, value, 'v1' AS vintage, NULL::BIGINT AS user_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, value, 'v2', user_id FROM events WHERE event_id % 2 = 1")

@@ -29,7 +29,7 @@ def arr01(spark, d):
 
 @query("ARR-02", f"WITH {SEG} SELECT l.node, round(arg_min(t0 + (7.5 - z0) / (z1 - z0) * (t1 - t0), z0), 6) AS temp, NULL::DOUBLE AS beyond FROM (SELECT DISTINCT node FROM levels) l JOIN seg ON seg.node = l.node AND 7.5 BETWEEN z0 AND z1 GROUP BY l.node")
 def arr02(spark, d):
-    return profiles(spark, d).select("node", F.round(ops.at_depth(D(), T(), F.lit(7.5), clamp=False)["temp"], 6).alias("temp"), ops.at_depth(D(), T(), F.lit(25.0), clamp=False)["temp"].alias("beyond"))
+    return profiles(spark, d).select("node", F.round(ops.at_depth(D(), T(), F.lit(7.5), clamp=False)["temp"], 6).alias("temp"), ops.at_depth(D(), T(), F.lit(65.5), clamp=False)["temp"].alias("beyond"))
 
 
 def _crossing_sql(op: str, t: float) -> str:

@@ -191,9 +191,9 @@ def w08(spark, d):
     return ops.spans(rows, "label", 3)
 
 
-@query("W-28", f"WITH {RIVER}, v AS (SELECT river, dist_m * 3 // 2 + idx % 3 AS at_m, width AS v FROM river WHERE idx % 4 = 0), s AS (SELECT *, lead(at_m) OVER w AS z_m, lead(v) OVER w AS z_v FROM v WINDOW w AS (PARTITION BY river ORDER BY at_m)), e AS (SELECT *, unnest(range(((at_m + 24) // 25 * 25)::BIGINT, z_m::BIGINT, 25)) AS m FROM s WHERE z_m > at_m) SELECT river, m, round(v + (m - at_m) / (z_m - at_m)::DOUBLE * (z_v - v), 6) AS v FROM e")
+@query("W-28", f"WITH {RIVER}, v AS (SELECT river, dist_m * 3 // 2 + idx % 3 AS at_m, width AS v FROM river), s AS (SELECT *, lead(at_m) OVER w AS z_m, lead(v) OVER w AS z_v FROM v WINDOW w AS (PARTITION BY river ORDER BY at_m)), e AS (SELECT *, unnest(range(((at_m + 24) // 25 * 25)::BIGINT, z_m::BIGINT, 25)) AS m FROM s WHERE z_m > at_m) SELECT river, m, round(v + (m - at_m) / (z_m - at_m)::DOUBLE * (z_v - v), 6) AS v FROM e")
 def w28(spark, d):
-    v = river(spark, d).where("idx % 4 = 0").select("river", (F.floor(F.col("dist_m") * 3 / 2) + F.col("idx") % 3).alias("at_m"), F.col("width").alias("v"))
+    v = river(spark, d).select("river", (F.floor(F.col("dist_m") * 3 / 2) + F.col("idx") % 3).alias("at_m"), F.col("width").alias("v"))
     return ops.densify(v, 25).withColumn("v", F.round("v", 6))
 
 

@@ -25,10 +25,10 @@ def errors(spark, d):
 ERR = f"{GATE}, err0 AS (SELECT *, fcst - obs AS f, persist - obs AS p, clim - obs AS c FROM gate), err AS (SELECT *, CASE WHEN p IS NULL THEN c WHEN c IS NULL THEN p WHEN abs(p) <= abs(c) THEN p ELSE c END AS b FROM err0)"
 
 
-@query("J-05", f"WITH {GATE}, m AS (SELECT site, day, avg(fcst) AS model FROM gate GROUP BY ALL), t AS (SELECT site, day, avg(obs) AS truth FROM gate WHERE part % 3 = 0 GROUP BY ALL) SELECT m.site, m.day, round(model, 6) + 0.0 AS model, round(truth, 6) AS truth FROM m JOIN t ON m.site = t.site AND m.day = t.day")
+@query("J-05", f"WITH {GATE}, m AS (SELECT site, day, avg(fcst) AS model FROM gate WHERE part % 3 <> 0 GROUP BY ALL), t AS (SELECT site, day, avg(obs) AS truth FROM gate WHERE part % 3 = 0 GROUP BY ALL) SELECT m.site, m.day, round(model, 6) + 0.0 AS model, round(truth, 6) AS truth FROM m JOIN t ON m.site = t.site AND m.day = t.day")
 def j05(spark, d):
     g = gate_rows(spark, d)
-    model, truth = g.groupBy("site", "day").agg(F.avg("fcst").alias("model")), g.where("part % 3 = 0").groupBy("site", "day").agg(F.avg("obs").alias("truth"))
+    model, truth = g.where("part % 3 <> 0").groupBy("site", "day").agg(F.avg("fcst").alias("model")), g.where("part % 3 = 0").groupBy("site", "day").agg(F.avg("obs").alias("truth"))
     return _r(model.join(truth, ["site", "day"]), "model", "truth").withColumn("model", F.col("model") + F.lit(0.0))
 
 
