@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import pin
 from . import events, profiles, reports
 from .scan import DAY_US, HOUR_US
 
@@ -66,9 +67,31 @@ def in_situ(model: DataFrame, truth: DataFrame, window: int = 60, train: float =
     return main.join(fixed, "station", "left").join(coarse("day", "daily_mae"), "station").join(coarse("month", "monthly_mae"), "station")
 
 
-def onset_episodes(rows: DataFrame, drop_c: float, persist_h: float, merge_gap: int = 1) -> DataFrame:
+def in_situ_events(model: DataFrame, truth: DataFrame, drop_c: float = 4.0, persist_h: float = 12.0, tau: int = 1, window_us: int = 2 * DAY_US) -> DataFrame:
+    """Episodes of sustained drops in the six-hour slots that both series hold: station, hits, misses, false_alarms, pod, far.
+
+    The measured series is the truth. POD is null without a true episode, FAR without a detected one; a station without either
+    has no row.
+    """
+    pair = pin(model.select("station", "slot", F.col("temp").alias("m")).join(truth.select("station", "slot", F.col("temp").alias("o")), ["station", "slot"]), "pairs")
+    found = lambda c: onset_episodes(pair.select(F.col("slot").alias("event_id"), "station", (F.col("slot") * 6 * HOUR_US).alias("us"), F.col(c).alias("temp_c")), drop_c, persist_h, window_us=window_us)
+    per = reports.greedy_match(found("o"), found("m"), tau)
+    return per.withColumns({"pod": F.try_divide("hits", F.col("hits") + F.col("misses")), "far": F.try_divide("false_alarms", F.col("hits") + F.col("false_alarms"))})
+
+
+def wind_agreement(temps: DataFrame, wind: DataFrame, window_us: int = 2 * DAY_US) -> DataFrame:
+    """Correlation of the temperature with the favourable wind run up to it: station, n, r. Negative where wind drives cold water.
+
+    A reading takes the wind run of the last wind sample at or before it; readings before the first one do not count.
+    r is null under three readings or where one side does not vary.
+    """
+    pairs = events.asof_join(temps.select("station", "us", "temp_c"), events.wind_run(wind, window_us), ["station"], ["drive"]).where("drive IS NOT NULL AND temp_c IS NOT NULL")
+    return pairs.groupBy("station").agg(F.count("*").alias("n"), F.when(F.count("*") > 2, F.try_divide(F.covar_pop("drive", "temp_c"), F.stddev_pop("drive") * F.stddev_pop("temp_c"))).alias("r"))
+
+
+def onset_episodes(rows: DataFrame, drop_c: float, persist_h: float, merge_gap: int = 1, window_us: int = DAY_US) -> DataFrame:
     """Episodes of sustained drops by their first day: station, day."""
-    days = events.onsets(rows, drop_c, persist_h).select("station", F.floor(F.col("us") / DAY_US).alias("day"))
+    days = events.onsets(rows, drop_c, persist_h, window_us).select("station", F.floor(F.col("us") / DAY_US).alias("day"))
     return events.episodes(days, merge_gap).select("station", F.col("first_day").alias("day"))
 
 

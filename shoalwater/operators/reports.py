@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs
+from ..session import pin
 from . import events, scan, verify
 from .scan import HOUR_US
 
@@ -26,20 +27,21 @@ def permuted_spread(days: DataFrame, onsets: DataFrame, reps: int, width: int =
     """Do onsets come at alike values? One row: n, sd, valid, p; null under ``least`` years.
 
     ``days``: year, doy, value; ``onsets``: year, doy. sd is that of the trailing ``width``-day means at
-    the onsets; p is the share of ``reps`` permuted pairings of years and onset days whose sd is
-    no larger. A mean needs all its days; a pairing without ``least`` means does not count. The inputs
-    are a row a day and a year, so a permutation is an order of the years by a small hash.
+    the onsets, over the years whose own onset has one; a mean needs all its days. p is the share of ``reps`` permuted
+    pairings of these years and their onset days whose sd is no larger; a pairing counts if every year has a mean. The
+    inputs are a row a day and a year, so a permutation is an order of the years by a small hash.
     """
     back = days.select("year", F.explode(F.sequence(F.col("doy"), F.col("doy") + width - 1)).alias("doy"), "value")
     means = back.groupBy("year", "doy").agg(F.avg("value").alias("m"), F.count("value").alias("k")).where(F.col("k") == width).select("year", "doy", "m")
-    numbered = onsets.select("year", "doy", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("year")).alias("k"))
+    usable = pin(onsets.select("year", "doy").join(means.select("year", "doy"), ["year", "doy"], "left_semi"), "years")
+    numbered = usable.select("year", "doy", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("year")).alias("k"))
     draw = F.pmod(F.col("rep").cast("long") * 7919 + F.col("year") * 104729 + 1, F.lit(1_000_003))
     order = F.row_number().over(W.partitionBy("rep").orderBy(F.pmod(draw * draw, F.lit(1_000_003)), "year"))
-    spine = onsets.select("year").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("rep", "year", order.alias("k"))
-    paired = spine.join(numbered.select("k", "doy"), "k").select("rep", "year", "doy").union(onsets.select(F.lit(0), "year", "doy"))
-    spread = paired.join(means, ["year", "doy"]).groupBy("rep").agg(F.stddev("m").alias("sd"), F.count("*").alias("n")).where(F.col("n") >= least)
-    seen = spread.where("rep = 0").select(F.col("sd").alias("seen"), F.col("n").alias("years"))
-    return spread.where("rep > 0").join(F.broadcast(seen)).groupBy("years", "seen").agg(F.count("*").alias("valid"), F.avg((F.col("sd") <= F.col("seen")).cast("int")).alias("p")).select(F.col("years").alias("n"), F.col("seen").alias("sd"), "valid", "p")
+    spine = usable.select("year").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("rep", "year", order.alias("k"))
+    paired = spine.join(numbered.select("k", "doy"), "k").select("rep", "year", "doy").union(usable.select(F.lit(0), "year", "doy"))
+    spread = paired.join(means, ["year", "doy"]).groupBy("rep").agg(F.stddev_pop("m").alias("sd"), F.count("*").alias("n"))
+    seen = spread.where("rep = 0").select(F.col("sd").alias("seen"), F.col("n").alias("years")).where(F.col("years") >= least)
+    return spread.where("rep > 0").join(F.broadcast(seen)).where(F.col("n") == F.col("years")).groupBy("years", "seen").agg(F.count("*").alias("valid"), F.avg((F.col("sd") <= F.col("seen")).cast("int")).alias("p")).select(F.col("years").alias("n"), F.col("seen").alias("sd"), "valid", "p")
 
 
 def greedy_match(truth: DataFrame, detected: DataFrame, tau: int = 1) -> DataFrame:

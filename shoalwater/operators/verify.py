@@ -140,8 +140,8 @@ def correction_families(rows: DataFrame, least: int = 20, smooth: int = 7) -> Da
     """Leave-one-group-out error of corrections of x towards y: group, kind, n, mae.
 
     ``rows``: group, x, y, w, doy, without nulls. raw, offset, linear, linear_wind (x and w) and linear_doy (the
-    linear one plus its mean error within ``smooth`` days of the year; days without rows are not
-    filled). Each is fitted on all other groups' sums, so the rows are read once to fit and once
+    linear one plus its mean error within ``smooth`` days of the year: first by day, days without rows
+    filled linearly between those with; 0 outside their range). Each is fitted on all other groups' sums, so the rows are read once to fit and once
     to score; groups of fewer than ``least`` rows, or with fewer outside, are skipped.
     """
     x, y, w = F.col("x"), F.col("y"), F.col("w")
@@ -162,7 +162,11 @@ def correction_families(rows: DataFrame, least: int = 20, smooth: int = 7) -> Da
     held = fit.select("group", "a", "b").join(F.broadcast(all_days))  # at most 366 days
     left = held.join(by_day, ["group", "doy"], "left").select("group", "doy", "a", "b", *[(F.col(f"t_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in ("n", "sx", "sy")]).where("n > 0")
     error = left.select("group", "doy", ((F.col("sy") - F.col("a") * F.col("sx") - F.col("b") * F.col("n")) / F.col("n")).alias("e"))
-    season = error.select("group", "doy", F.avg("e").over(W.partitionBy("group").orderBy("doy").rangeBetween(-smooth, smooth)).alias("season"))
+    by_doy = W.partitionBy("group").orderBy("doy")
+    ahead = error.withColumns({"z_doy": F.coalesce(F.lead("doy").over(by_doy), F.col("doy") + 1), "z_e": F.lead("e").over(by_doy)}).withColumn("d", F.explode(F.sequence(F.col("doy"), F.col("z_doy") - 1)))
+    between = F.col("e") + F.coalesce((F.col("d") - F.col("doy")) / (F.col("z_doy") - F.col("doy")) * (F.col("z_e") - F.col("e")), F.lit(0.0))
+    filled = ahead.select("group", F.col("d").alias("doy"), between.alias("e"))  # at most 366 rows a group
+    season = filled.select("group", "doy", F.avg("e").over(W.partitionBy("group").orderBy("doy").rangeBetween(-smooth, smooth)).alias("season"))
 
     linear = F.col("a") * x + F.col("b")
     kinds = {"raw": x, "offset": x + F.col("off"), "linear": linear, "linear_wind": F.col("b0") + F.col("bx") * x + F.col("bw") * w, "linear_doy": linear + F.coalesce("season", F.lit(0.0))}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import gates as ops, spatial
 from ..session import new_path
 from ..sources import landed
-from .bindings import DAY_US, HOUR_US, NODES, PIXELS, PROFILES, RIVER, TEMPS, load, nodes, pixels, profiles, river, temps
+from .bindings import DAY_US, HOUR_US, NODES, PIXELS, PROFILES, READINGS, RIVER, TEMPS, load, nodes, pixels, profiles, readings, river, temps
+from .queries_events import DRIVE
 from .queries_reports import _rounded
 from .registry import query
 
@@ -67,9 +68,9 @@ def agg46(spark, d):
 # ------------------------------------------------------------------------------- scorecard
 
 
-def _episodes(name: str, drop: float, persist_h: float, where: str, src: str = "temps") -> str:
+def _episodes(name: str, drop: float, persist_h: float, where: str, src: str = "temps", window: int = DAY_US) -> str:
     """CTE ``name`` (station, day): first days of the episodes of sustained drops."""
-    return f"""{name}_t AS (SELECT *, max(temp_c) OVER (PARTITION BY station ORDER BY us RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW) - temp_c >= {drop} AS active FROM {src} WHERE {where}), {name}_c AS (SELECT *, (active AND NOT coalesce(lag(active) OVER (PARTITION BY station ORDER BY us, event_id), FALSE))::INT AS c FROM {name}_t), {name}_i AS (SELECT *, sum(c) OVER (PARTITION BY station ORDER BY us, event_id) AS island FROM {name}_c),
+    return f"""{name}_t AS (SELECT *, max(temp_c) OVER (PARTITION BY station ORDER BY us RANGE BETWEEN {window} PRECEDING AND CURRENT ROW) - temp_c >= {drop} AS active FROM {src} WHERE {where}), {name}_c AS (SELECT *, (active AND NOT coalesce(lag(active) OVER (PARTITION BY station ORDER BY us, event_id), FALSE))::INT AS c FROM {name}_t), {name}_i AS (SELECT *, sum(c) OVER (PARTITION BY station ORDER BY us, event_id) AS island FROM {name}_c),
 {name}_o AS (SELECT DISTINCT station, us // {DAY_US} AS day FROM (SELECT station, min(us) AS us FROM {name}_i WHERE active GROUP BY station, island HAVING max(us) - min(us) >= {persist_h} * {HOUR_US})), {name}_n AS (SELECT *, coalesce((day - lag(day) OVER (PARTITION BY station ORDER BY day) > 1)::INT, 1) AS new FROM {name}_o), {name}_e AS (SELECT *, sum(new) OVER (PARTITION BY station ORDER BY day) AS e FROM {name}_n), {name} AS (SELECT station, min(day) AS day FROM {name}_e GROUP BY station, e)"""
 
 
@@ -96,6 +97,29 @@ def agg50(spark, d):
     return _rounded(ops.scorecard(ops.onset_episodes(late.where(held), 3.0, 1.0), ops.onset_episodes(t.where(held), 4.0, 2.0), 107), "pod", "far", "chance_pod")
 
 
+_MATCHED = """q AS (SELECT t.station, t.day, row_number() OVER (PARTITION BY t.station ORDER BY t.day) AS k, e.day IS NOT NULL AS same, b.day IS NOT NULL AS before, a.day IS NOT NULL AS after FROM tru t LEFT JOIN det e ON e.station = t.station AND e.day = t.day LEFT JOIN det b ON b.station = t.station AND b.day = t.day - 1 LEFT JOIN det a ON a.station = t.station AND a.day = t.day + 1),
+g(station, k, used, hit) AS (SELECT DISTINCT station, 0::BIGINT, -9::BIGINT, 0 FROM q UNION ALL SELECT q.station, q.k, CASE WHEN same THEN q.day WHEN before AND used <> q.day - 1 THEN q.day - 1 WHEN after THEN q.day + 1 ELSE used END, (same OR after OR (before AND used <> q.day - 1))::INT FROM g JOIN q ON q.station = g.station AND q.k = g.k + 1),
+h AS (SELECT station, sum(hit) AS hits FROM g GROUP BY station), nt AS (SELECT station, count(*) AS nt FROM tru GROUP BY station), nd AS (SELECT station, count(*) AS nd FROM det GROUP BY station),
+p AS (SELECT station, coalesce(nt, 0) AS nt, coalesce(nd, 0) AS nd, coalesce(hits, 0)::BIGINT AS hits FROM nt FULL JOIN nd USING (station) LEFT JOIN h USING (station))"""
+
+
+@query("AGG-46-events", f"""WITH RECURSIVE {TEMPS}, b AS (SELECT station, us, (event_id % 7 // 3)::DOUBLE AS depth, temp_c + event_id % 3 * 0.5::DOUBLE AS temp, temp_c FROM temps), nd0 AS (SELECT station, depth, count(*) AS n FROM b GROUP BY ALL), md AS (SELECT station, arg_min(depth, (-n, depth)) AS depth FROM nd0 GROUP BY station),
+o AS (SELECT b.station, us // {6 * HOUR_US} AS slot, avg(temp) AS o FROM b JOIN md ON b.station = md.station AND b.depth = md.depth WHERE month(make_timestamp(us)) * 100 + day(make_timestamp(us)) BETWEEN 103 AND 128 GROUP BY ALL), m AS (SELECT station, us // {6 * HOUR_US} AS slot, avg(temp_c) AS m FROM b GROUP BY ALL),
+jo AS (SELECT slot AS event_id, station, slot * {6 * HOUR_US} AS us, round(o, 9) AS temp_c FROM m JOIN o USING (station, slot)), jm AS (SELECT slot AS event_id, station, slot * {6 * HOUR_US} AS us, round(m, 9) AS temp_c FROM m JOIN o USING (station, slot)), {_episodes('tru', 3.0, 6.0, 'true', 'jo', 2 * DAY_US)}, {_episodes('det', 3.0, 6.0, 'true', 'jm', 2 * DAY_US)}, {_MATCHED}
+SELECT station, hits, nt - hits AS misses, nd - hits AS false_alarms, round(hits / nullif(nt, 0)::DOUBLE, 6) AS pod, round((nd - hits) / nullif(nd, 0)::DOUBLE, 6) AS far FROM p""")
+def agg46_events(spark, d):
+    t = temps(spark, d)
+    rounded = lambda df: df.withColumn("temp", F.round("temp", 9))  # noqa: E731  (means of both engines alike)
+    truth = ops.modal_six_hours(t.select("station", "us", F.floor(F.col("event_id") % 7 / 3).cast("double").alias("depth"), (F.col("temp_c") + F.col("event_id") % 3 * 0.5).alias("temp")), 103, 128)
+    model = t.groupBy("station", F.floor(F.col("us") / (6 * HOUR_US)).alias("slot")).agg(F.avg("temp_c").alias("temp"))
+    return _rounded(ops.in_situ_events(rounded(model), rounded(truth), 3.0, 6.0), "pod", "far")
+
+
+@query("AGG-50-wind", f"WITH {READINGS}, {TEMPS}, {DRIVE}, dr AS (SELECT station AS ds, us AS dus, drive FROM drive), t AS (SELECT t.station, temp_c, drive FROM temps t ASOF JOIN dr ON t.station = dr.ds AND t.us >= dr.dus) SELECT station, count(*) AS n, round(corr(drive, temp_c), 6) AS r FROM t GROUP BY station")
+def agg50_wind(spark, d):
+    return _rounded(ops.wind_agreement(temps(spark, d), readings(spark, d), DAY_US), "r")
+
+
 # ------------------------------------------------------------------------------- bends, rays, grids
 
 #: Arcs of alternating sides: 16 stations of 10 m along the chord, 64 m high.

@@ -40,8 +40,8 @@ def pf05(spark, d):
 
 
 @query("STAT-11", f"""WITH {GATE}, v AS (SELECT year(DATE '1970-01-01' + day::INT) AS year, dayofyear(DATE '1970-01-01' + day::INT) AS doy, avg(obs) AS value FROM gate GROUP BY ALL), o AS (SELECT year, arg_max(doy, (value, doy)) AS doy FROM v WHERE doy BETWEEN 60 AND 300 GROUP BY year), b AS (SELECT year, unnest(range(doy, doy + 7)) AS doy, value FROM v), m AS (SELECT year, doy, avg(value) AS m FROM b GROUP BY ALL HAVING count(*) = 7),
-n AS (SELECT doy, row_number() OVER (ORDER BY year) AS k FROM o), w AS (SELECT rep, year, (rep * 7919 + year * 104729 + 1) % 1000003 AS h FROM o, range(1, 501) t(rep)), s AS (SELECT rep, year, row_number() OVER (PARTITION BY rep ORDER BY h * h % 1000003, year) AS k FROM w), p AS (SELECT rep, year, doy FROM s JOIN n USING (k) UNION ALL SELECT 0, year, doy FROM o),
-e AS (SELECT rep, stddev_samp(m) AS sd, count(*) AS n FROM p JOIN m USING (year, doy) GROUP BY rep HAVING count(*) >= 5) SELECT z.n, round(z.sd, 6) AS sd, count(*) AS valid, round(avg((e.sd <= z.sd)::INT), 6) AS p FROM e, (SELECT * FROM e WHERE rep = 0) z WHERE e.rep > 0 GROUP BY z.n, z.sd""")
+u AS (SELECT year, doy FROM o JOIN m USING (year, doy)), n AS (SELECT doy, row_number() OVER (ORDER BY year) AS k FROM u), w AS (SELECT rep, year, (rep * 7919 + year * 104729 + 1) % 1000003 AS h FROM u, range(1, 501) t(rep)), s AS (SELECT rep, year, row_number() OVER (PARTITION BY rep ORDER BY h * h % 1000003, year) AS k FROM w), p AS (SELECT rep, year, doy FROM s JOIN n USING (k) UNION ALL SELECT 0, year, doy FROM u),
+e AS (SELECT rep, stddev_pop(m) AS sd, count(*) AS n FROM p JOIN m USING (year, doy) GROUP BY rep) SELECT z.n, round(z.sd, 6) AS sd, count(*) AS valid, round(avg((e.sd <= z.sd)::INT), 6) AS p FROM e, (SELECT * FROM e WHERE rep = 0 AND n >= 5) z WHERE e.rep > 0 AND e.n = z.n GROUP BY z.n, z.sd""")
 def stat11(spark, d):
     date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day"))
     days = gate_rows(spark, d).groupBy(F.year(date).alias("year"), F.dayofyear(date).alias("doy")).agg(F.avg("obs").alias("value"))

@@ -121,7 +121,7 @@ ANOM = f"s AS (SELECT site, day, avg(fcst) AS m, avg(obs) AS t FROM gate GROUP B
 
 @query("AGG-14", f"""WITH {GATE}, g AS (SELECT lead_h AS grp, fcst AS x, obs AS y, (part % 50)::DOUBLE AS w, day % 366 AS doy FROM gate), tr AS (SELECT h.grp AS held, g.* FROM g, (SELECT DISTINCT grp FROM g) h WHERE g.grp <> h.grp),
 m AS (SELECT held, avg(y - x) AS off, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, avg(x) AS mx, avg(y) AS my, avg(w) AS mw, var_pop(x) AS xx, var_pop(w) AS ww, covar_pop(x, w) AS xw, covar_pop(x, y) AS xy, covar_pop(w, y) AS wy FROM tr GROUP BY held), f AS (SELECT *, (xy * ww - wy * xw) / (xx * ww - xw * xw) AS bx, (wy * xx - xy * xw) / (xx * ww - xw * xw) AS bw FROM m),
-dd AS (SELECT tr.held, doy, avg(y - a * x - b) AS e FROM tr JOIN f USING (held) GROUP BY ALL), s AS (SELECT held, doy, avg(e) OVER (PARTITION BY held ORDER BY doy RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS season FROM dd),
+dd AS (SELECT tr.held, doy, avg(y - a * x - b) AS e FROM tr JOIN f USING (held) GROUP BY ALL), ld AS (SELECT held, doy, e, lead(doy) OVER w AS z_doy, lead(e) OVER w AS z_e FROM dd WINDOW w AS (PARTITION BY held ORDER BY doy)), fl AS (SELECT held, d AS doy, e + coalesce((d - doy) / (z_doy - doy)::DOUBLE * (z_e - e), 0) AS e FROM (SELECT *, unnest(range(doy, coalesce(z_doy, doy + 1))) AS d FROM ld)), s AS (SELECT held, doy, avg(e) OVER (PARTITION BY held ORDER BY doy RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS season FROM fl),
 p AS (SELECT g.grp AS "group", y, unnest(['raw', 'offset', 'linear', 'linear_wind', 'linear_doy']) AS kind, unnest([x, x + off, a * x + b, my - bx * mx - bw * mw + bx * x + bw * w, a * x + b + coalesce(season, 0)]) AS fit FROM g JOIN f ON f.held = g.grp LEFT JOIN s ON s.held = g.grp AND s.doy = g.doy)
 SELECT "group", kind, count(*) AS n, round(avg(abs(fit - y)), 6) AS mae FROM p GROUP BY ALL""")
 def agg14(spark, d):
