@@ -33,8 +33,8 @@ class Plan:
     offset): the k-th of these pieces is in sequence first + k at that offset.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
-        self.capacity, self.sequences = capacity, 0
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, most: int = 3):
+        self.capacity, self.sequences, self.most = capacity, 0, most
         self.places: list[tuple[int, int, int, int, int]] = []
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
@@ -57,13 +57,13 @@ class Plan:
         free = self.left.copy()
         free[longest] -= 1
         there = free[: gap + 1] > 0
-        most = np.flatnonzero(there)
-        if not len(most) or 3 * most[-1] < gap:
+        known = np.flatnonzero(there)
+        if not len(known) or self.most * known[-1] < gap:
             return None
         if there[gap]:
             return (gap,)
-        pair = self._pair(free, there, gap)
-        if pair:
+        pair = self._pair(free, there, gap) if self.most > 1 else None
+        if pair or self.most < 3:
             return pair
         for c in np.flatnonzero(there[: gap // 3 + 1])[::-1]:
             free[c] -= 1
@@ -123,6 +123,24 @@ class Plan:
                     gaps[gap - x] = True
 
 
+def plan_for(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan with the fewest sequences of those that fill gaps with up to three, two or one pieces exactly, or with none.
+
+    A combination that fits exactly can use up pieces that longer ones need, so fewer of them are sometimes better. The
+    result never has more sequences than best fit alone; on ties the plan with larger combinations stands, and one that
+    meets the lower bound ends the search.
+    """
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best = None
+    for most in (3, 2, 1, 0):
+        plan = Plan(counts, capacity, most)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == bound:
+            break
+    return best
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece; null text is an empty document."""
     end = np.asarray([end_id], "<u4").tobytes()
@@ -152,7 +170,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     counted = lengths.groupBy("length").agg(F.count("*").alias("n"))
     counts = {int(r["length"]): int(r["n"]) for r in counted.collect()}  # at most `capacity` rows
-    plan = Plan(counts, capacity)
+    plan = plan_for(counts, capacity)
     places = np.array(sorted(plan.places), dtype=np.int64).reshape(-1, 5)
 
     own = lengths.columns
@@ -173,9 +191,15 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents, whole texts; see ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents with their places; repeated rows are documents of their own."""
+    """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of the end id. A text of any length is cut into pieces of ``capacity`` tokens, the last
+    one shorter; nothing is left out. Repeated rows are documents of their own, null ids are kept, and pieces of one length
+    are interchangeable, so ties only decide which of them lies where. No documents give no rows. Other columns are not read.
+    """
     return pack(pin(pieces(docs, path, capacity, end_id), "pieces"), capacity)

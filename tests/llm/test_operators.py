@@ -387,7 +387,7 @@ def test_packing(odd_docs, no_docs):
 def test_plan_places_every_piece_once(seed):
     rng = np.random.default_rng(seed)
     counts = Counter(int(x) for x in np.clip(rng.lognormal(3.2, 1, 3000), 1, 256))
-    plan = packing.Plan(dict(counts), 256)
+    plan = packing.plan_for(dict(counts), 256)
     ranks, fill = defaultdict(list), Counter()
     for length, first, times, seq, offset in plan.places:
         ranks[length] += range(first, first + times)
@@ -397,6 +397,22 @@ def test_plan_places_every_piece_once(seed):
     assert len(fill) <= 1.01 * sum(x * n for x, n in counts.items()) / 256 + 2
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_never_needs_more_than_best_fit_alone(seed):
+    """Odd lengths: exact combinations take the partners that long pieces need."""
+    rng = np.random.default_rng(seed)
+    counts = {int(x): int(rng.integers(1, 2000)) for x in range(1, 512, 2 if seed % 2 else 1)}
+    plan, alone = packing.plan_for(counts, 512), packing.Plan(counts, 512, 0)
+    assert -(-sum(x * n for x, n in counts.items()) // 512) <= plan.sequences <= alone.sequences
+    fill, ranks = Counter(), defaultdict(int)
+    for length, _, times, seq, offset in plan.places:
+        ranks[length] += times
+        for k in range(times):
+            assert fill[seq + k] == offset
+            fill[seq + k] += length
+    assert dict(ranks) == counts and max(fill.values()) <= 512 and len(fill) == plan.sequences
+
+
 # ------------------------------------------------------------------------------- HTML
 
 
