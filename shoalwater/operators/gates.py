@@ -67,6 +67,32 @@ def in_situ(model: DataFrame, truth: DataFrame, window: int = 60, train: float =
     return main.join(fixed, "station", "left").join(coarse("day", "daily_mae"), "station").join(coarse("month", "monthly_mae"), "station")
 
 
+def trajectory(columns: DataFrame, patches: DataFrame, target: float, surface: float, band: tuple[float, float, float], cast_m: float, cap_m: float, res_m: float) -> DataFrame:
+    """Can cold water be reached at each lead? spot, lead, iso, shallow, deep, reach, nearest, area, certain, possible, gradient.
+
+    ``columns``: spot, lead, depths, temps, a water column for each spot and lead; ``patches``: spot, depth, dist, the pixels around a spot.
+    The column is corrected and its isotherm taken with the band's bounds. ``reach``: a pixel lies at least as deep as the isotherm, within
+    the cast and not below the cap; ``certain`` and ``possible`` ask the same of the deep and the shallow bound. The
+    gradient is that of the corrected column at its isotherm. Without an isotherm nothing is reached.
+    """
+    key = columns.withColumn("node", F.struct("spot", "lead"))
+    iso = profiles.isotherm_band(key, target, surface, band).select("node.spot", "node.lead", F.col("depth").alias("iso"), "shallow", "deep")
+    fixed = columns.select("spot", "lead", "depths", profiles.corrected(F.col("depths"), F.col("temps"), surface, band[0]).alias("temps")).join(iso, ["spot", "lead"])
+    rows = fixed.select("spot", "lead", "iso", "shallow", "deep", profiles.local_gradient(F.col("depths"), F.col("temps"), F.col("iso")).alias("gradient"))
+    near = patches.where((F.col("dist") <= cast_m) & (F.col("depth") <= cap_m)).select("spot", "depth", "dist")
+    met = rows.join(near, "spot", "left")
+    ok = lambda bound: F.coalesce(F.col("depth") >= F.col(bound), F.lit(False))
+    return met.groupBy("spot", "lead", "iso", "shallow", "deep", "gradient").agg(
+        (F.count_if(ok("iso")) > 0).alias("reach"), F.min(F.when(ok("iso"), F.col("dist"))).alias("nearest"), (F.count_if(ok("iso")) * res_m * res_m).alias("area"),
+        (F.count_if(ok("deep")) > 0).alias("certain"), (F.count_if(ok("shallow")) > 0).alias("possible"))
+
+
+def reach_windows(points: DataFrame, width: int = 1000) -> DataFrame:
+    """Contiguous leads of a spot at which water is reached: spot, first_lead, last_lead, n, certain (at every one of them)."""
+    runs = events.islands(points.select(F.col("spot").alias("station"), "lead", "reach", "certain"), "reach", ["lead"], width)
+    return runs.groupBy(F.col("station").alias("spot"), "island").agg(F.min("lead").alias("first_lead"), F.max("lead").alias("last_lead"), F.count("*").alias("n"), F.every("certain").alias("certain")).drop("island")
+
+
 def in_situ_events(model: DataFrame, truth: DataFrame, drop_c: float = 4.0, persist_h: float = 12.0, tau: int = 1, window_us: int = 2 * DAY_US) -> DataFrame:
     """Episodes of sustained drops in the six-hour slots that both series hold: station, hits, misses, false_alarms, pod, far.
 

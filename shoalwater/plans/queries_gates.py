@@ -9,6 +9,7 @@ from ..session import new_path
 from ..sources import landed
 from .bindings import DAY_US, HOUR_US, NODES, PIXELS, PROFILES, READINGS, RIVER, TEMPS, load, nodes, pixels, profiles, readings, river, temps
 from .queries_events import DRIVE
+from .queries_profiles import _band_sql
 from .queries_reports import _rounded
 from .registry import query
 
@@ -47,6 +48,31 @@ def arr09(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("obs_iso", "raw_iso", "corr_iso", "abs_err", "persist_iso", "persist_abs_err")})
 
 
+# ------------------------------------------------------------------------------- trajectories
+
+_TRAJECTORY = f"""{PIXELS}, px AS (SELECT row % 5 AS spot, depth, (row * 7 + col * 3) % 100 AS dist FROM pixels WHERE (row * 7 + col * 3) % 100 <= 60 AND depth <= 22), {PROFILES}, {_band_sql('mid', 3.31)}, {_band_sql('low', 1.51)}, {_band_sql('high', 5.55)},
+i AS (SELECT mid.node, mid.node % 5 AS spot, mid.node // 5 AS lead, mid.depth AS iso, least(low.depth, high.depth) AS shallow, greatest(low.depth, high.depth) AS deep FROM mid JOIN low USING (node) JOIN high USING (node)),
+gr AS (SELECT i.node, arg_min(abs((t1 - t0) / (z1 - z0)), z0) AS gradient FROM i JOIN s_mid s ON s.node = i.node AND iso BETWEEN z0 AND z1 GROUP BY i.node),
+tj AS (SELECT i.spot, lead, iso, shallow, deep, gradient, count(*) FILTER (depth >= iso) > 0 AS reach, min(dist) FILTER (depth >= iso) AS nearest, count(*) FILTER (depth >= iso) * 100.0::DOUBLE AS area, count(*) FILTER (depth >= deep) > 0 AS certain, count(*) FILTER (depth >= shallow) > 0 AS possible FROM i LEFT JOIN gr USING (node) LEFT JOIN px ON px.spot = i.spot GROUP BY ALL)"""
+
+
+def _trajectory(spark, d):
+    """Leads of five spots: every profile is a spot's column at a lead; every pixel lies around a spot."""
+    columns = profiles(spark, d).select((F.col("node") % 5).alias("spot"), F.floor(F.col("node") / 5).alias("lead"), "depths", "temps")
+    patches = pixels(spark, d).select((F.col("row") % 5).alias("spot"), "depth", ((F.col("row") * 7 + F.col("col") * 3) % 100).alias("dist"))
+    return ops.trajectory(columns, patches, 10.0, 1.5, (3.31, 1.51, 5.55), 60, 22, 10.0)
+
+
+@query("ARR-08", f"WITH {_TRAJECTORY} SELECT spot, lead, round(iso, 6) AS iso, round(shallow, 6) AS shallow, round(deep, 6) AS deep, round(gradient, 6) AS gradient, reach, nearest, area, certain, possible FROM tj")
+def arr08(spark, d):
+    return _rounded(_trajectory(spark, d), "iso", "shallow", "deep", "gradient")
+
+
+@query("ARR-08-windows", f"WITH {_TRAJECTORY}, z AS (SELECT *, lead - row_number() OVER (PARTITION BY spot ORDER BY lead) AS island FROM tj WHERE reach) SELECT spot, min(lead) AS first_lead, max(lead) AS last_lead, count(*) AS n, bool_and(certain) AS certain FROM z GROUP BY spot, island")
+def arr08_windows(spark, d):
+    return ops.reach_windows(_trajectory(spark, d))
+
+
 # ------------------------------------------------------------------------------- in-situ report
 
 

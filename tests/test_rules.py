@@ -100,3 +100,15 @@ def test_logistic_fit_equals_newton(spark, seed):
     got = verify.logistic_fit(rows, "x", "y")
     b0, b1 = newton(x, y)
     assert got["n"] == 400 and math.isclose(got["a"], b0, rel_tol=1e-6) and math.isclose(got["b"], b1, rel_tol=1e-6) and math.isclose(got["s50"], -b0 / b1, rel_tol=1e-6)
+
+
+def test_trajectory_without_isotherm_or_pixels(spark):
+    columns = spark.createDataFrame([(1, 0, [1.0, 5.0, 9.0], [20.0, 14.0, 4.0]), (1, 12, [1.0, 5.0, 9.0], [20.0, 19.0, 18.0]), (2, 0, [1.0, 5.0, 9.0], [20.0, 14.0, 4.0]), (1, 24, [1.0, 5.0, 9.0], [20.0, 14.0, 4.0])], "spot int, lead int, depths array<double>, temps array<double>")
+    patches = spark.createDataFrame([(1, 6.0, 10.0), (1, 8.0, 30.0), (1, 40.0, 5.0), (1, None, 0.0), (1, 8.0, 99.0)], "spot int, depth double, dist double")
+    got = {(r["spot"], r["lead"]): r for r in gates.trajectory(columns, patches, 10.0, 0.0, (0.0, -4.0, 2.0), 60, 22, 2.0).collect()}
+    one = got[1, 0]
+    assert math.isclose(one["iso"], 6.6) and one["reach"] and one["nearest"] == 30.0 and one["area"] == 4.0 and math.isclose(one["gradient"], 2.5) and one["possible"]
+    assert got[1, 12]["iso"] is None and not got[1, 12]["reach"] and got[1, 12]["nearest"] is None and got[1, 12]["area"] == 0
+    assert not got[2, 0]["reach"] and len(got) == 4
+    windows = [tuple(r)[:4] for r in gates.reach_windows(gates.trajectory(columns, patches, 10.0, 0.0, (0.0, -4.0, 2.0), 60, 22, 2.0)).orderBy("first_lead").collect()]
+    assert windows == [(1, 0, 0, 1), (1, 24, 24, 1)]
