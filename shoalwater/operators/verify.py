@@ -17,11 +17,15 @@ def error_stats(rows: DataFrame, key: str, model: str, truth: str) -> DataFrame:
     m, t = finite(model), finite(truth)
     pairs = rows.select(key, m.alias("m"), t.alias("t")).where("m IS NOT NULL AND t IS NOT NULL").withColumn("e", F.col("m") - F.col("t"))
     e = F.col("e")
-    return pairs.groupingSets([[F.col(key)], []], F.col(key)).agg(
+    stats = pairs.groupingSets([[F.col(key)], []], F.col(key)).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("median_abs"), F.percentile(F.abs(e), F.lit(0.9)).alias("p90_abs"),
-        F.when((F.count("*") >= 2) & (F.stddev_pop("m") > 0) & (F.stddev_pop("t") > 0), F.corr("m", "t")).alias("r"),
+        F.when((F.count("*") >= 2) & (F.stddev_pop("m") > 0) & (F.stddev_pop("t") > 0), F.corr("m", "t")).alias("r"), F.grouping(key).alias("_all"),
     )
+    asked, size = {"median_abs": 0.5, "p90_abs": 0.9}, pairs.withColumn("_a", F.abs(e))
+    own = quantiles(size, "_a", [key], asked).select(F.col(key).alias("_key"), *asked, F.lit(0).alias("_each"))
+    every = quantiles(size, "_a", [], asked).select(F.lit(None).cast(pairs.schema[key].dataType).alias("_key"), *asked, F.lit(1).alias("_each"))
+    q = own.union(every)
+    return stats.join(q, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_all") == F.col("_each")), "left").select(key, "n", "mae", "bias", "rmse", *asked, "r")
 
 
 def best_baseline(persist, clim) -> Column:
@@ -182,6 +186,22 @@ def nth_smallest(rows: DataFrame, value: str, keys: list[str], n: Column, name:
     return asked.where((F.col("before") < F.col("_k")) & (F.col("_k") <= F.col("before") + F.col("n"))).select(*keys, F.col(value).alias(name))
 
 
+def quantiles(rows: DataFrame, value: str, keys: list[str], asked: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key (null is a key, too) with linear interpolation: keys and a column for each of ``asked``.
+
+    From counts per distinct value and their prefix sums (``value_ranks``): no task holds the values of a key.
+    """
+    named = {k: f"_q{i}" for i, k in enumerate(keys)}  # null keys meet as structs
+    safe = rows.where(F.col(value).isNotNull()).select(F.struct(*[F.col(k).alias(n) for k, n in named.items()], F.lit(0).alias("_")).alias("_k"), F.col(value).alias("_v"))
+    ranked = value_ranks(safe, "_v", ["_k"])
+    total = safe.groupBy("_k").agg(F.count("*").alias("_total"))
+    at = {name: (F.col("_total") - 1) * q for name, q in asked.items()}
+    held = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    ends = ranked.join(total, "_k").groupBy("_k", "_total").agg(*[F.max(F.when(held(f(pos)), F.col("_v"))).alias(f"{name}_{side}") for name, pos in at.items() for side, f in (("a", F.floor), ("z", F.ceil))])
+    between = lambda name, pos: F.col(f"{name}_a") + (pos - F.floor(pos)) * (F.col(f"{name}_z") - F.col(f"{name}_a"))
+    return ends.select(*[F.col(f"_k.{n}").alias(k) for k, n in named.items()], *[between(name, pos).alias(name) for name, pos in at.items()])
+
+
 def value_ranks(rows: DataFrame, value: str, keys: list[str], ranges: int = 64) -> DataFrame:
     """Per key and distinct value: n, how many rows have it, and before, how many have a smaller one.
 

@@ -245,8 +245,8 @@ def agg36(spark, d):
 
 @query("AGG-41", f"WITH {ERR} SELECT lead_h, round(quantile_cont(abs(p), 0.25), 6) AS p25, round(quantile_cont(abs(p), 0.9), 6) AS p90, round(quantile_cont(abs(p), 0.99), 6) AS p99 FROM err GROUP BY lead_h")
 def agg41(spark, d):
-    q = lambda x: F.round(F.percentile(F.abs("p"), F.lit(x)), 6)
-    return errors(spark, d).groupBy("lead_h").agg(q(0.25).alias("p25"), q(0.9).alias("p90"), q(0.99).alias("p99"))
+    e = errors(spark, d).select("lead_h", F.abs("p").alias("a"))
+    return _r(verify.quantiles(e, "a", ["lead_h"], {"p25": 0.25, "p90": 0.9, "p99": 0.99}), "p25", "p90", "p99")
 
 
 @query("AGG-42", f"WITH {ERR} SELECT site, part, day, lead_h, coalesce((abs(p) >= 5)::INT + (abs(p) >= 10)::INT + (abs(p) >= 20)::INT, 0) AS band FROM err")

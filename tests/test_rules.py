@@ -112,3 +112,18 @@ def test_trajectory_without_isotherm_or_pixels(spark):
     assert not got[2, 0]["reach"] and len(got) == 4
     windows = [tuple(r)[:4] for r in gates.reach_windows(gates.trajectory(columns, patches, 10.0, 0.0, (0.0, -4.0, 2.0), 60, 22, 2.0)).orderBy("first_lead").collect()]
     assert windows == [(1, 0, 0, 1), (1, 24, 24, 1)]
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.integers(0, 50)) + float(rng.random() < 0.3) / 3) for k in ("a", "b", None) for _ in range(500)] + [("one", 4.5), ("none", None)]
+    table = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: r for r in verify.quantiles(table, "v", ["k"], {"p25": 0.25, "p50": 0.5, "p99": 0.99, "p0": 0.0, "p100": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for k, r in got.items():
+        v = [x for y, x in rows if y == k and x is not None]
+        for name in ("p0", "p25", "p50", "p99", "p100"):
+            assert math.isclose(r[name], float(np.quantile(v, int(name[1:]) / 100)), rel_tol=1e-12, abs_tol=1e-12)
+    whole = verify.quantiles(table, "v", [], {"p90": 0.9}).collect()
+    assert len(whole) == 1 and math.isclose(whole[0]["p90"], float(np.quantile([x for _, x in rows if x is not None], 0.9)))
+    assert verify.quantiles(table.limit(0), "v", ["k"], {"p90": 0.9}).count() == 0
