@@ -116,20 +116,20 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A zstandard dictionary from the first ids of at most ``DICTIONARY_DOCS`` documents, those with the smallest hash.
+    """A zstandard dictionary from ids of at most ``DICTIONARY_DOCS`` documents, those with the smallest hash.
 
-    It only sets how well frames compress, not what they hold.
+    Of a long text a window at a hashed place is taken. The dictionary only sets how well frames compress, not what they hold.
     """
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            out = [e.encode(t[: DICTIONARY_IDS * 8])[: DICTIONARY_IDS * 4] for t in b.column(1).to_pylist()]
+            out = [e.encode(t)[: DICTIONARY_IDS * 4] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     # a threshold on the 64-bit hash leaves about twice as many, so only those are ordered
     near = texts_of(docs.where(F.xxhash64("doc_id") <= hash_bound(2 * DICTIONARY_DOCS, docs.count())))
-    chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(DICTIONARY_DOCS).select("doc_id", F.substring("t", 1, DICTIONARY_IDS * 8).alias("t"))
+    chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(DICTIONARY_DOCS).select("doc_id", F.substring("t", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("t") - DICTIONARY_IDS * 8)) + 1).cast("int"), F.lit(DICTIONARY_IDS * 8)).alias("t"))
     samples = [bytes(r["ids"]) for r in chosen.mapInArrow(ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s]).as_bytes()
@@ -192,13 +192,17 @@ class ShardReader:
         return self.frames.decompress(self._at(int(self.offsets[i]), int(self.offsets[i + 1] - self.offsets[i])))
 
 
-def write_shards(docs: DataFrame, out_dir: str, path: str, end_id: int = END_ID) -> tuple[DataFrame, bytes]:
+#: Documents and bytes after which a task begins another file: what it keeps of the index stays small.
+SHARD_DOCS, SHARD_BYTES = 1_000_000, 256 << 20
+
+
+def write_shards(docs: DataFrame, out_dir: str, path: str, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, bytes]:
     """Encode ``docs`` and write shards in ascending doc_id order (null ids first).
 
     Rows of equal doc_id are ordered by their texts' bytes, so reruns agree.
-    Returns the manifest (shard, file, n_docs, n_tokens, n_bytes, start) and the dictionary. A
-    task writes a file of its own name and only files in the manifest are read, so a task that
-    ran twice does no harm. ``out_dir``: a URI in the shared store.
+    Returns the manifest (shard, roll, file, n_docs, n_tokens, n_bytes, start) and the dictionary. A
+    task writes files of its own names, one after the other as they fill, and only files in the manifest are read, so a task that
+    ran twice does no harm. A text of any length is one frame. No documents give an empty manifest. Only doc_id and text are read. ``out_dir``: a URI in the shared store.
     """
     dictionary = train_dictionary(docs, path)
 
@@ -208,22 +212,30 @@ def write_shards(docs: DataFrame, out_dir: str, path: str, end_id: int = END_ID)
         e, end = encoder(path), struct.pack("<I", end_id)
         store, root = fs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
-        name, writer, tokens = f"{uuid.uuid4().hex}.ids", None, 0
+        writer, name, tokens, roll = None, "", 0, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            row = {"shard": TaskContext.get().partitionId(), "roll": roll, "file": name, "n_docs": len(writer.ids), "n_tokens": tokens, "n_bytes": writer.at}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("roll", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
+
         for b in batches:
-            if writer is None:
-                writer = ShardWriter(store.open_output_stream(f"{root}/{name}"), dictionary)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if writer is None:
+                    name, tokens = f"{uuid.uuid4().hex}.ids", 0
+                    writer = ShardWriter(store.open_output_stream(f"{root}/{name}"), dictionary)
                 ids = e.encode(text.as_py()) + end
                 writer.add(doc_id, ids)
                 tokens += len(ids) // 4
+                if len(writer.ids) >= shard_docs or writer.at >= shard_bytes:
+                    yield closed()
+                    writer, roll = None, roll + 1
         if writer is not None:
-            writer.close()
-            row = {"shard": TaskContext.get().partitionId(), "file": name, "n_docs": len(writer.ids), "n_tokens": tokens, "n_bytes": writer.at}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
+            yield closed()
 
     ordered = texts_of(docs).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "t")
-    shards = pin(ordered.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, n_bytes long"), "shards")
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    shards = pin(ordered.mapInArrow(run, "shard int, roll int, file string, n_docs long, n_tokens long, n_bytes long"), "shards")
+    before = W.orderBy("shard", "roll").rowsBetween(W.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), dictionary
 
 

@@ -333,9 +333,12 @@ def _ids(text):
     return _tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
-def test_token_files(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("shard_docs, shard_bytes", [(10**6, 10**9), (5, 10**9), (10**6, 3000)])
+def test_token_files(spark, odd_docs, no_docs, shard_docs, shard_bytes):
+    """One file a task, and files that are rolled by documents or by bytes."""
     out = common.new_path(spark, "tokens")
-    manifest, dictionary = tokens.write_shards(odd_docs, out, tokens.vocabulary_path())
+    manifest, dictionary = tokens.write_shards(odd_docs, out, tokens.vocabulary_path(), shard_docs=shard_docs, shard_bytes=shard_bytes)
+    assert (manifest.where("roll > 0").count() > 0) == (shard_docs < 10 or shard_bytes < 10**6) and manifest.where(f"n_docs > {shard_docs}").isEmpty()
     got = tokens.read_shards(manifest, out, dictionary).collect()
     want = Counter()
     for r in odd_docs.collect():
