@@ -46,13 +46,19 @@ def ring_area(edges: DataFrame) -> DataFrame:
     return edges.groupBy("polygon").agg((F.abs(F.sum(cross)) / 2).alias("area"))
 
 
-def box_proximity(points: DataFrame, others: DataFrame, metres: float = 250.0, cell: float = 0.01) -> DataFrame:
-    """First other point (smallest id) within a box of +/- metres around each point."""
+def box_proximity(points: DataFrame, others: DataFrame, metres: float = 250.0, cell: float | None = None) -> DataFrame:
+    """First other point (smallest id) within a box of +/- metres around each point: point, node.
+
+    A point meets the cells that its own box covers, whatever the limit and its latitude; cells are as wide as the box is high,
+    unless the caller says otherwise.
+    """
     dlat = metres / 111_000
+    cell = cell or max(0.001, 2 * dlat)
+    dlon = F.lit(dlat) / F.greatest(F.lit(0.2), F.cos(F.radians("lat")))
     at = lambda c: F.floor(F.col(c) / cell)
+    cells = lambda c, reach: F.explode(F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell)))
     o = others.select("node", F.col("lat").alias("olat"), F.col("lon").alias("olon"), at("lat").alias("r"), at("lon").alias("c"))
-    p = points.withColumn("r", F.explode(F.sequence(at("lat") - 1, at("lat") + 1))).withColumn("c", F.explode(F.sequence(at("lon") - 1, at("lon") + 1)))
-    dlon = F.lit(dlat) / F.greatest(F.lit(0.2), F.cos(F.radians("lat")))
+    p = points.withColumn("r", cells("lat", F.lit(dlat))).withColumn("c", cells("lon", dlon))
     return p.join(o, ["r", "c"]).where((F.abs(F.col("lat") - F.col("olat")) <= dlat) & (F.abs(F.col("lon") - F.col("olon")) <= dlon)).groupBy("point").agg(F.min("node").alias("node"))
 
 

@@ -329,8 +329,13 @@ def sign_test_days(rows: DataFrame, keys: list[str]) -> DataFrame:
     daily = rows.where("f IS NOT NULL AND b IS NOT NULL").groupBy(*keys, "day").agg(F.avg(F.abs("f")).alias("mf"), F.avg(F.abs("b")).alias("mb"))
     got = daily.groupBy(*keys).agg(F.count_if(F.col("mf") < F.col("mb")).alias("wins"), F.count_if(F.col("mf") > F.col("mb")).alias("losses"), F.count_if(F.col("mf") == F.col("mb")).alias("ties"))
     n, k = F.col("wins") + F.col("losses"), F.least("wins", "losses")
-    log_fact = F.aggregate(F.sequence(F.lit(0), n), F.array(F.lit(0.0)), lambda acc, i: F.when(i == 0, acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + F.log(i.cast("double"))))))
-    t = got.withColumn("n", n).withColumn("lf", log_fact)
-    term = lambda i: F.exp(F.element_at("lf", -1) - F.get("lf", i.cast("int")) - F.get("lf", (n - i).cast("int")) - n * F.log(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + term(i))
+    t = got.withColumn("n", n)
+    half = -n * F.log(F.lit(2.0))
+    pair = lambda c, total: F.struct(c.alias("c"), total.alias("total"))  # noqa: E731  (log of n over i, and the sum so far)
+
+    def add(acc: Column, i: Column) -> Column:
+        c = acc["c"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.when(i <= k, pair(c, acc["total"] + F.exp(c + half))).otherwise(acc)
+
+    tail = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), k).cast("int")), pair(F.lit(0.0), F.exp(half)), add)["total"]
     return t.select(*keys, "wins", "losses", "ties", F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).alias("p"))

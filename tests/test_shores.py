@@ -105,3 +105,19 @@ def test_merkle_finds_what_differs(spark):
 def test_merkle_of_missing_content(spark, content):
     files = spark.createDataFrame([("p", content)], "path string, content string")
     assert landed.merkle(files).count() == 2
+
+
+@pytest.mark.parametrize("metres", [50.0, 250.0, 5000.0])
+def test_box_proximity_at_any_reach_and_latitude(spark, metres):
+    rng = np.random.default_rng(1)
+    at = lambda n: [(i, float(lat), float(lon)) for i, (lat, lon) in enumerate(zip(rng.choice([48.0, 70.0, 82.0], n) + rng.random(n) * 0.2, rng.random(n) * 0.4 - 90))]
+    points, others = at(300), at(300)
+    d = metres / 111_000
+    want = {}
+    for i, lat, lon in points:
+        w = d / max(0.2, math.cos(math.radians(lat)))
+        near = [j for j, a, b in others if abs(a - lat) <= d and abs(b - lon) <= w]
+        if near:
+            want[i] = min(near)
+    got = {r["point"]: r["node"] for r in spatial.box_proximity(spark.createDataFrame(points, "point int, lat double, lon double"), spark.createDataFrame(others, "node int, lat double, lon double"), metres).collect()}
+    assert got == want
