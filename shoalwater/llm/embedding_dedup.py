@@ -260,8 +260,8 @@ def dedup(rows: DataFrame, window: int = WINDOW, cosine: float = COSINE, miss: f
 
     Vectors of different length are not compared. A null id, label or vector, a zero vector
     and one with null or non-finite components has no links; rows of equal vec_id are one
-    node of the graph but count as vectors. Equal vectors of a label are linked. An empty table gives
-    an empty one; other columns are not read. A link is missed at most ``miss`` of the time, all
+    node of the graph but count as vectors. Equal vectors of a label are linked. Vectors may have any length; those that
+    are long take more time a comparison. An empty table gives an empty one; other columns are not read. A link is missed at most ``miss`` of the time, all
     others are counted.
     """
     # a class: equal vectors of a label, by two 64-bit hashes

@@ -153,7 +153,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without white space; null counts as the empty
-    text, so all empty texts are one group. The longest original text stays, then the
+    text, so all empty texts are one group; a text of any length is hashed and compared whole. The longest original text stays, then the
     smallest doc_id (null ids last); of fully tied rows one stays. An empty table gives an
     empty table; other columns are not read.
     """

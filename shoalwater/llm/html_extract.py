@@ -525,7 +525,8 @@ def learn(sample: list[tuple[int | None, str]]) -> Trees:
 def extract(pages: DataFrame, trees: Trees) -> DataFrame:
     """page_id, url, text, n_chars of every row; a null or empty html gives the empty text.
 
-    Whole pages; repeated rows give repeated results; other columns are not read.
+    Whole pages of any length; repeated rows give repeated results; where keeping and dropping a block are equally likely, it
+    goes. An empty table gives an empty one; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Unigrams, *keep: str) -> DataFrame:
     The score is the winner's posterior for equal priors; of tied languages the first by code
     point wins. Null, empty and letterless texts are ``und`` with score 0, as is every text where
     nothing could be learned. Whole texts of any length; repeated rows give repeated results; an empty
-    table gives an empty one.
+    table gives an empty one. Other columns than text, doc_id and ``keep`` are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,7 @@ def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = E
     null source is a source of its own; a null id is ordered as the empty text; repeated rows
     are ordered among themselves by size and text, and equal rows get equal results up to
     the row that the budget's end cuts. An empty table gives an empty table. Columns of
-    ``docs`` named like the new ones are replaced. ``size``: another measure than words.
+    ``docs`` named like the new ones are replaced. A text of any length is one row, counted whole. ``size``: another measure than words.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     safe = {c: f"c{i}" for i, c in enumerate(own)}  # no column of the input can clash with a helper's

@@ -208,9 +208,10 @@ def _confirmed(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Null and wordless texts have an empty set and are linked with nothing. Rows of equal
-    doc_id are one node; rows with a null doc_id are linked with nothing. An empty table gives
-    an empty one; other columns are not read.
+    Null and wordless texts have an empty set and are linked with nothing. Texts of any length are taken whole, as
+    shingle hashes of one row. Rows of equal doc_id are one node, repeated rows each keep their row; rows with a null
+    doc_id are linked with nothing. Of equal sets the smallest doc_id stands for all. An empty table gives an empty one; other
+    columns are not read, whatever their names.
     """
     marks = pin(signed(docs), "signatures")
     known = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")

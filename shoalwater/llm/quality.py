@@ -126,7 +126,8 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; null and empty texts get the labels' mean.
 
     Whole texts of any length; repeated rows give repeated results; neighbours that tie at the last
-    place are chosen alike for equal texts. An empty table gives an empty one.
+    place are chosen by their float32 cosines, whose last bit may depend on the block, so only such ties can differ. An empty
+    table gives an empty one; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

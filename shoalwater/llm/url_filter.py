@@ -136,7 +136,8 @@ def judge(pages: DataFrame, rules: DataFrame, path_lengths: list[int], listed: D
     ``path_lengths``: the lengths of the keys' paths. The longest fitting rule gives rule and
     verdict; else the longest fitting listed key gives the verdict with a null rule; else
     ``default``. Null urls and urls without `://` have empty host and path and fit nothing.
-    Repeated rows give repeated results; an empty table gives an empty one. Lists of over
+    A key that is both blocked and allowed blocks. Urls of any length are judged whole. Only page_id and url are read, so other
+    columns may have any name. Repeated rows give repeated results; an empty table gives an empty one. Lists of over
     ``max_bits`` bits of filters take one pass over the pages for each part of the keys.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
