@@ -19,15 +19,17 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], before: dict[str
     """``rows`` with columns that depend on all rows of their key up to them, in ``order`` (its first column is the time).
 
     ``before``: the last value that is not null in the rows before a row; ``so_far``: the same with the row itself;
-    ``sums``: the sum up to and with the row, 0 for null. Rows move once, by key and bucket; null keys are a key of their own.
+    ``sums``: the sum up to and with the row, 0 for null. Rows are read twice and move once, by key and bucket; null keys are a key of their own.
     """
     last, sums = {**(before or {}), **(so_far or {})}, sums or {}
     own = rows.columns
-    base = rows.withColumns({"_k": F.struct(*keys), "_b": F.floor(F.col(order[0]) / width), **{f"_v_{n}": c for n, c in last.items()}, **{f"_s_{n}": F.coalesce(c, F.lit(0)).cast("long") for n, c in sums.items()}}).repartition("_k", "_b")
+    flat = rows.withColumns({"_k": F.struct(*keys), "_b": F.floor(F.col(order[0]) / width), **{f"_v_{n}": c for n, c in last.items()}, **{f"_s_{n}": F.coalesce(c, F.lit(0)).cast("long") for n, c in sums.items()}})
+    base = flat.repartition("_k", "_b")
     w = W.partitionBy("_k", "_b").orderBy(*order)
     ends = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_v_{n}") for n in last] + [F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums]
     earlier = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    states = base.groupBy("_k", "_b").agg(*ends).select("_k", "_b", *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last], *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
+    # from the rows as they lie: reduced where they are, so only states move here
+    states = flat.groupBy("_k", "_b").agg(*ends).select("_k", "_b", *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last], *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
     local = {n: F.last(f"_v_{n}", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1 if n in (before or {}) else 0)) for n in last}
     local |= {n: F.sum(f"_s_{n}").over(w.rowsBetween(W.unboundedPreceding, 0)) for n in sums}
     both = base.withColumns({f"_l_{n}": c for n, c in local.items()}).join(states, ["_k", "_b"], "left")
