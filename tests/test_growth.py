@@ -41,3 +41,22 @@ def test_nearest_in_time_meets_two_rows(spark, dense):
             gap, _, rid, temp = min(near, key=lambda x: x[:3])
             want[r["event_id"]] = (gap, rid, temp)
     assert {r["event_id"]: (r["gap_us"], r["rid"], r["temp_c"]) for r in got.collect()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("back, ahead", [(24, 0), (0, 30), (6, 6), (3, 11)])
+def test_framed_equals_whole_frames(spark, back, ahead):
+    rows = series(spark, back)
+    w = W.partitionBy("station").orderBy("us").rangeBetween(-back * HOUR, ahead * HOUR)
+    v = F.col("temp_c")
+    kinds = {"s": ("sum", v), "n": ("count", v), "lo": ("min", v), "hi": ("max", v)}
+    got = scan.framed(rows, ["station"], {**kinds, "f": ("first", F.col("dir_deg"))}, back * HOUR, ahead * HOUR, tie=("event_id",))
+    first = F.min_by(F.struct("dir_deg"), F.struct("us", "event_id")).over(w)["dir_deg"]
+    want = rows.withColumns({**{n: getattr(F, k)(c).over(w) for n, (k, c) in kinds.items()}, "f": first})
+    assert by_id(got, want.columns) == by_id(want, want.columns)
+    assert not SLIDING.search(plan(got))
+
+
+def test_wind_run_has_no_sliding_frame(spark):
+    got = events.wind_run(series(spark, 5))
+    assert not SLIDING.search(plan(got))
+    assert got.count() > 400
