@@ -60,3 +60,13 @@ def test_wind_run_has_no_sliding_frame(spark):
     got = events.wind_run(series(spark, 5))
     assert not SLIDING.search(plan(got))
     assert got.count() > 400
+
+
+def test_drops_have_no_sliding_frame(spark):
+    rows = series(spark, 6)
+    w = W.partitionBy("station").orderBy("us").rangeBetween(-scan.DAY_US, 0)
+    want = rows.withColumn("drop_c", F.max("temp_c").over(w) - F.col("temp_c"))
+    got = events.dropped(rows, scan.DAY_US)
+    assert by_id(got, want.columns) == by_id(want, want.columns)
+    for df in (got, events.onsets(rows, 4.0, 2.0), events.drop_events(rows)):
+        assert not SLIDING.search(plan(df))
