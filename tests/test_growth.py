@@ -70,3 +70,12 @@ def test_drops_have_no_sliding_frame(spark):
     assert by_id(got, want.columns) == by_id(want, want.columns)
     for df in (got, events.onsets(rows, 4.0, 2.0), events.drop_events(rows)):
         assert not SLIDING.search(plan(df))
+
+
+def test_smoothed_direction_has_no_sliding_frame(spark):
+    rows = series(spark, 7)
+    w, r = W.partitionBy("station").orderBy("us").rangeBetween(-6 * HOUR, 6 * HOUR), F.radians("dir_deg")
+    want = {r["event_id"]: r["d"] for r in rows.withColumn("d", F.pmod(F.degrees(F.atan2(F.avg(F.sin(r)).over(w), F.avg(F.cos(r)).over(w))), F.lit(360.0))).collect()}
+    got = reports.smoothed_direction(rows)
+    assert not SLIDING.search(plan(got))
+    assert {r["event_id"]: r["dir"] for r in got.collect()} == pytest.approx(want)
