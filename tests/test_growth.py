@@ -79,3 +79,9 @@ def test_smoothed_direction_has_no_sliding_frame(spark):
     got = reports.smoothed_direction(rows)
     assert not SLIDING.search(plan(got))
     assert {r["event_id"]: r["dir"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_setup_response_has_no_sliding_frame(spark):
+    got = events.setup_response(series(spark, 8), share=0.1)
+    assert not SLIDING.search(plan(got))
+    assert got.count() > 5
