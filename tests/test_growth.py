@@ -1,12 +1,14 @@
 """Steps whose work once grew with the square of the rows that share a time, a place or a key: their results, and that the plan holds no such step."""
 
+import math
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from shoalwater.operators import events, reports, scan
+from shoalwater.functions import exprs
+from shoalwater.operators import events, reports, scan, spatial
 
 HOUR = scan.HOUR_US
 SLIDING = re.compile(r"RangeFrame, (?!unboundedpreceding)")
@@ -85,3 +87,14 @@ def test_setup_response_has_no_sliding_frame(spark):
     got = events.setup_response(series(spark, 8), share=0.1)
     assert not SLIDING.search(plan(got))
     assert got.count() > 5
+
+
+def test_nearest_point_compares_places_not_rows(spark):
+    place = lambda name, m, extra: spark.range(400).select(F.col("id").alias(name), (F.lit(48.0) + F.col("id") % m / 50).alias("lat"), (F.lit(-90.0) + F.col("id") % (m + 1) / 40).alias("lon"), *extra)
+    points, nodes = place("point", 7, []), place("node", 5, [(F.col("id") % 3).cast("double").alias("depth")])
+    got = spatial.nearest_point(points, nodes, 3.0, least_depth=1.0)
+    assert "Deduplicate [lat" in plan(got) and "Aggregate [lat" in plan(got)
+    km = exprs.haversine_km("lat", "lon", "nlat", "nlon")
+    pairs = points.crossJoin(nodes.where("depth >= 1").select("node", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"))).withColumn("km", km).where("km <= 3")
+    want = {r["point"]: tuple(r["m"]) for r in pairs.groupBy("point").agg(F.min(F.struct("km", "node")).alias("m")).collect()}
+    assert {r["point"]: (r["km"], r["node"]) for r in got.collect()} == {p: want.get(p, (None, None)) for p in range(400)} and 0 < len(want) < 400
