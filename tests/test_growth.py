@@ -98,3 +98,17 @@ def test_nearest_point_compares_places_not_rows(spark):
     pairs = points.crossJoin(nodes.where("depth >= 1").select("node", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"))).withColumn("km", km).where("km <= 3")
     want = {r["point"]: tuple(r["m"]) for r in pairs.groupBy("point").agg(F.min(F.struct("km", "node")).alias("m")).collect()}
     assert {r["point"]: (r["km"], r["node"]) for r in got.collect()} == {p: want.get(p, (None, None)) for p in range(400)} and 0 < len(want) < 400
+
+
+def test_bearing_sends_no_grid_to_the_driver(spark):
+    pixels = spark.range(30 * 20).select(F.floor(F.col("id") / 20).alias("row"), (F.col("id") % 20).alias("col"), F.when(F.col("id") % 7 != 0, (F.col("id") * 37 % 101).cast("double")).alias("depth"))
+    spots = spark.range(60).select(F.col("id").alias("spot"), (F.col("id") * 7 % 30).alias("row"), (F.col("id") * 3 % 20).alias("col"), F.lit(None).cast("long").alias("hint"))
+    got = spatial.offshore_bearing(pixels, spots, 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    v = {(r["row"], r["col"]): r["depth"] for r in pixels.where("depth IS NOT NULL").collect()}
+    for s in got.join(spots, "spot").collect():
+        box = {k: x for k, x in v.items() if abs(k[0] - s["row"]) <= 3 and abs(k[1] - s["col"]) <= 3}
+        east = sum(x - box[r, c - 1] for (r, c), x in box.items() if (r, c - 1) in box)
+        north = -sum(x - box[r - 1, c] for (r, c), x in box.items() if (r - 1, c) in box)
+        want = math.degrees(math.atan2(east, north)) % 360 if abs(east) > 1e-9 or abs(north) > 1e-9 else None
+        assert s["bearing"] == (None if want is None else pytest.approx(want))
