@@ -112,3 +112,17 @@ def test_bearing_sends_no_grid_to_the_driver(spark):
         north = -sum(x - box[r - 1, c] for (r, c), x in box.items() if (r - 1, c) in box)
         want = math.degrees(math.atan2(east, north)) % 360 if abs(east) > 1e-9 or abs(north) > 1e-9 else None
         assert s["bearing"] == (None if want is None else pytest.approx(want))
+
+
+def test_gap_fill_runs_over_pieces(spark):
+    rng = np.random.default_rng(3)
+    rows = [("rs"[i % 2], i // 2, 99_000 + 20 * (i // 2), float(i % 11) if rng.random() < 0.4 else None) for i in range(400)]
+    got = spatial.gap_fill(spark.createDataFrame(rows, "river string, idx int, dist_m int, v double").repartition(3), "v", 80)
+    assert "unboundedfollowing" not in plan(got)
+    want = {}
+    for river in "rs":
+        known = [(d, v) for r, _, d, v in rows if r == river and v is not None]
+        for _, i, d, v in (r for r in rows if r[0] == river):
+            a, z = max((k for k in known if k[0] <= d), default=None), min((k for k in known if k[0] >= d), default=None)
+            want[river, i] = v if v is not None else a[1] + (d - a[0]) / (z[0] - a[0]) * (z[1] - a[1]) if a and z and z[0] - a[0] <= 80 else None
+    assert {(r["river"], r["idx"]): r["filled"] for r in got.collect()} == pytest.approx(want)
