@@ -126,3 +126,13 @@ def test_gap_fill_runs_over_pieces(spark):
             a, z = max((k for k in known if k[0] <= d), default=None), min((k for k in known if k[0] >= d), default=None)
             want[river, i] = v if v is not None else a[1] + (d - a[0]) / (z[0] - a[0]) * (z[1] - a[1]) if a and z and z[0] - a[0] <= 80 else None
     assert {(r["river"], r["idx"]): r["filled"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_j05_model_takes_all_rows(spark):
+    from shoalwater.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    g = spark.read.parquet(f"{data}/lineitem.parquet").withColumn("f", F.col("l_quantity") + (F.col("l_discount") - 0.05) * 100)
+    days = g.groupBy(F.col("l_suppkey").alias("site"), F.unix_date(F.col("l_shipdate").cast("date")).alias("day")).agg(F.avg("f").alias("m"), F.count_if(F.col("l_partkey") % 3 == 0).alias("t")).where("t > 0")
+    want = {(r["site"], r["day"]): r["m"] for r in days.collect()}
+    assert {(r["site"], r["day"]): r["model"] for r in registry.QUERIES["J-05"](spark, data).collect()} == pytest.approx(want, abs=1e-5)
