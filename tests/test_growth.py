@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from shoalwater.functions import exprs
-from shoalwater.operators import events, reports, scan, spatial
+from shoalwater.operators import events, gates, reports, scan, spatial
 
 HOUR = scan.HOUR_US
 SLIDING = re.compile(r"RangeFrame, (?!unboundedpreceding)")
@@ -136,3 +136,42 @@ def test_j05_model_takes_all_rows(spark):
     days = g.groupBy(F.col("l_suppkey").alias("site"), F.unix_date(F.col("l_shipdate").cast("date")).alias("day")).agg(F.avg("f").alias("m"), F.count_if(F.col("l_partkey") % 3 == 0).alias("t")).where("t > 0")
     want = {(r["site"], r["day"]): r["m"] for r in days.collect()}
     assert {(r["site"], r["day"]): r["model"] for r in registry.QUERIES["J-05"](spark, data).collect()} == pytest.approx(want, abs=1e-5)
+
+
+def test_settings_share_one_search_for_runs(spark, monkeypatch):
+    calls, found = [], events.onsets
+    monkeypatch.setattr(events, "onsets", lambda *a, **k: calls.append(a) or found(*a, **k))
+    rows = series(spark, 9)
+    got = {(r["station"], r["persist_h"]): r["n"] for r in gates.episode_counts(rows, 4.0, [1.0, 4.0]).collect()}
+    assert len(calls) == 1
+    for h in (1.0, 4.0):
+        want = {r["station"]: r["count"] for r in gates.onset_episodes(rows, 4.0, h).groupBy("station").count().collect()}
+        assert {s: n for (s, p), n in got.items() if p == h} == {s: want.get(s, 0) for s in "ab"}
+
+
+def test_lit_minutes_are_sought_once_a_place(spark):
+    places = spark.range(300).select(F.col("id").alias("point"), (F.lit(48.0) + F.col("id") % 3).alias("lat"), F.lit(-89.0).alias("lon"), F.lit(172).alias("doy"))
+    got = reports.light_windows(places)
+    assert "Deduplicate [lat" in plan(got)
+    assert got.count() == 300 and got.select("rise", "sets").distinct().count() <= 3
+
+
+def test_isotherms_meet_depths_not_pixels(spark):
+    rng = np.random.default_rng(4)
+    columns = spark.createDataFrame([(i % 2, i // 2, [1.0, 5.0, 10.0, 20.0], sorted((float(x) for x in rng.uniform(2, 18, 4)), reverse=True)) for i in range(60)], "spot long, lead long, depths array<double>, temps array<double>")
+    pixels = [(int(rng.integers(0, 2)), float(rng.integers(1, 30)), float(rng.integers(0, 90))) for _ in range(300)]
+    got = gates.trajectory(columns, spark.createDataFrame(pixels, "spot long, depth double, dist double"), 10.0, 1.5, (3.31, 1.51, 5.55), 60, 22, 10.0).collect()
+    assert len(got) == 60 and 0 < sum(r["reach"] for r in got) < 60
+    for r in got:
+        near = [(d, m) for s, d, m in pixels if s == r["spot"] and m <= 60 and d <= 22]
+        hit = [m for d, m in near if r["iso"] is not None and d >= r["iso"]]
+        deep, shallow = (any(r[b] is not None and d >= r[b] for d, _ in near) for b in ("deep", "shallow"))
+        assert (r["reach"], r["nearest"], r["area"], r["certain"], r["possible"]) == (bool(hit), min(hit, default=None), len(hit) * 100.0, deep, shallow)
+    rows = spark.createDataFrame([(0, 1.0, 5.0)], "spot long, depth double, dist double")
+    assert "count_if" not in plan(gates.trajectory(columns, rows, 10.0, 1.5, (3.31, 1.51, 5.55), 60, 22, 10.0))
+
+
+def test_median_of_a_class_is_not_one_buffer(spark):
+    from shoalwater.plans import registry
+
+    assert "median(" not in plan(registry.QUERIES["AGG-22"](spark, "/root/testdata/sf0.001"))
