@@ -178,7 +178,9 @@ def agg20(spark, d):
 def agg22(spark, d):
     spine = spark.createDataFrame([(0,), (1,), (2,), (99,)], "cls long")
     e = errors(spark, d).withColumn("cls", F.col("site") % 3)
-    return spine.join(e, "cls", "left").groupBy("cls").agg(F.coalesce(F.round(F.median("p"), 6) + F.lit(0.0), F.lit(0.0)).alias("delta"), F.count("p").alias("n"))
+    n = e.where("p IS NOT NULL").groupBy("cls").agg(F.count("*").alias("n"))
+    found = spine.join(verify.quantiles(e, "p", ["cls"], {"median": 0.5}), "cls", "left").join(n, "cls", "left")
+    return found.select("cls", F.coalesce(F.round("median", 6) + F.lit(0.0), F.lit(0.0)).alias("delta"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("AGG-24", f"""WITH {ERR}, q AS (SELECT lead_h, abs(f) AS a, row_number() OVER (PARTITION BY lead_h ORDER BY abs(f)) AS rn, count(*) OVER (PARTITION BY lead_h) AS n FROM err), l AS (SELECT lead_h, any_value(n) AS n, avg(a) AS mae, max(a) FILTER (rn = round_even(0.9::DOUBLE * (n - 1), 0)::BIGINT + 1) AS p90 FROM q GROUP BY lead_h)
