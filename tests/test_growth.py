@@ -175,3 +175,31 @@ def test_median_of_a_class_is_not_one_buffer(spark):
     from shoalwater.plans import registry
 
     assert "median(" not in plan(registry.QUERIES["AGG-22"](spark, "/root/testdata/sf0.001"))
+
+
+def test_only_k_nodes_of_a_place_are_compared(spark):
+    grid = spark.range(12).select(F.col("id").alias("row"), F.lit(0).alias("col"), F.lit(0).alias("x"), F.col("id").alias("y"))
+    nodes = spark.range(300).select(F.col("id").alias("node"), (F.col("id") % 2).alias("x"), (F.col("id") % 3 * 2).alias("y"), F.when(F.col("id") % 5 != 0, F.col("id").cast("double")).alias("v"))
+    got = spatial.scattered(grid, nodes, 3, 4)
+    assert "windowspecdefinition(x#" in plan(got)
+    known = [tuple(r) for r in nodes.collect()]
+    for r in got.collect():
+        near = sorted((x * x + (y - r["row"]) ** 2, n, v) for n, x, y, v in known if x * x + (y - r["row"]) ** 2 <= 9)[:4]
+        some = [(1 / (d + 1e-6), v) for d, _, v in near if v is not None]
+        want = None if not near else 999.0 if len(near) - len(some) > len(near) / 2 else sum(w * v for w, v in some) / sum(w for w, _ in some)
+        assert r["v"] == (None if want is None else pytest.approx(want))
+
+
+def test_bends_copy_a_station_to_few_cells(spark):
+    import inspect
+
+    assert inspect.signature(spatial.bend_radius).parameters["cell"].default >= 400
+    s = spark.range(120).select(F.lit("r").alias("river"), F.col("id").alias("idx"), (F.col("id") * 10.0).alias("x"), (F.sin(F.col("id") / 9) * 60).alias("y"), F.lit(30.0).alias("width"))
+    radius = lambda c: {r["idx"]: r["radius"] for r in spatial.bend_radius(s, "x", "y", cell=c).collect()}
+    assert radius(400.0) == pytest.approx(radius(50.0)) and len(radius(400.0)) > 100
+
+
+def test_river_is_numbered_in_pieces(spark):
+    from shoalwater.plans import bindings
+
+    assert "row_number" not in plan(bindings.river(spark, "/root/testdata/sf0.001"))
