@@ -156,6 +156,20 @@ def test_lit_minutes_are_sought_once_a_place(spark):
     assert got.count() == 300 and got.select("rise", "sets").distinct().count() <= 3
 
 
+def test_every_minute_of_the_day_is_looked_at(spark):
+    where = [(48.0, -89.0), (48.537, -89.421), (-33.3, 151.2), (0.0, 0.0), (80.0, 20.0)]  # the last has days without light and without dark
+    places = spark.createDataFrame([(3 * i + k, *where[i], d) for i in range(len(where)) for k in range(3) for d in (15, 105, 172, 265, 355, 366)], "point long, lat double, lon double, doy int")
+    want = {}
+    for i, (lat, lon) in enumerate(where):
+        for d in (15, 105, 172, 265, 355, 366):
+            la, decl = math.radians(lat), math.radians(-23.44 * math.cos(2 * math.pi / 365 * (d + 10)))
+            up = [m for m in range(1440) if math.degrees(math.asin(math.sin(la) * math.sin(decl) + math.cos(la) * math.cos(decl) * math.cos(math.radians((m - lon * 4) / 4 - 180 + lon)))) >= -0.833]
+            want |= {(3 * i + k, d): (up[0], up[-1]) for k in range(3) if up}
+    assert {(r["point"], r["doy"]): (r["rise"], r["sets"]) for r in reports.light_windows(places).collect()} == want
+    assert (0, 1439) in want.values() and (12, 355) not in want
+    assert {m % 5 for v in want.values() for m in v} == set(range(5))
+
+
 def test_isotherms_meet_depths_not_pixels(spark):
     rng = np.random.default_rng(4)
     columns = spark.createDataFrame([(i % 2, i // 2, [1.0, 5.0, 10.0, 20.0], sorted((float(x) for x in rng.uniform(2, 18, 4)), reverse=True)) for i in range(60)], "spot long, lead long, depths array<double>, temps array<double>")
